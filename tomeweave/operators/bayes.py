@@ -8,17 +8,21 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tomeweave.operators.evaluate import label_list
+from tomeweave.sources.workspace import materialise
 
 
 @dataclass(frozen=True)
 class BayesModel:
-    """``terms``: one row per training term with its weight per class, ``c0, c1, ...``."""
+    """``terms``: a table of one row per training term with its weight per class, ``c0, c1, ...``.
+
+    ``priors`` holds each class's share of the training documents, ``masses`` the smoothed
+    total weight of its terms.
+    """
 
     labels: tuple[str, ...]
+    priors: tuple[float, ...]
+    masses: tuple[float, ...]
     terms: DataFrame
-    totals: DataFrame
-    priors: DataFrame
     smoothing: float
 
     def log_weight(self, i: int) -> Column:
@@ -30,7 +34,6 @@ def fit(
     counts: DataFrame,
     docs: DataFrame,
     label: str = "label",
-    labels: Sequence[str] | None = None,
     weight: str = "tf",
     smoothing: float = 1.0,
 ) -> BayesModel:
@@ -38,25 +41,31 @@ def fit(
 
     The classes are columns, so term weights and scores are plain sums: partial sums are
     built before each shuffle, and no class x vocabulary product is ever laid out as rows.
+    The term table is written once; the driver sees one number per class.
     """
-    labels = tuple(label_list(docs, label) if labels is None else labels)
-
-    def per_class(value: Column) -> list[Column]:
-        return [
-            F.sum(F.when(F.col(label) == c, value).otherwise(0)).cast("double").alias(f"c{i}")
-            for i, c in enumerate(labels)
-        ]
-
-    terms = counts.groupBy("term").agg(*per_class(F.col(weight)))
-    totals = terms.agg(
-        F.count("*").alias("size"), *[F.sum(f"c{i}").alias(f"c{i}") for i in range(len(labels))]
-    )
-    priors = docs.agg(F.count("*").alias("n"), *per_class(F.lit(1)))
-    return BayesModel(labels, terms, totals, priors, smoothing)
+    sizes = {r[label]: r["n"] for r in docs.groupBy(label).agg(F.count("*").alias("n")).collect()}
+    labels = tuple(sorted(sizes))
+    weights = [
+        F.sum(F.when(F.col(label) == c, F.col(weight)).otherwise(0)).cast("double").alias(f"c{i}")
+        for i, c in enumerate(labels)
+    ]
+    terms = materialise(counts.groupBy("term").agg(*weights), "term-weights")
+    sums = [F.coalesce(F.sum(f"c{i}"), F.lit(0.0)).alias(f"c{i}") for i in range(len(labels))]
+    totals = terms.agg(F.count("*").alias("size"), *sums).first()
+    masses = tuple(totals[f"c{i}"] + smoothing * totals["size"] for i in range(len(labels)))
+    n = sum(sizes.values())
+    return BayesModel(labels, tuple(sizes[c] / n for c in labels), masses, terms, smoothing)
 
 
-def score(model: BayesModel, counts: DataFrame, docs: DataFrame, key: str, weight: str = "tf") -> DataFrame:
-    """``key, scores``: joint log likelihood per class, in label order.
+def score(
+    model: BayesModel,
+    counts: DataFrame,
+    docs: DataFrame,
+    key: str,
+    keep: Sequence[str] = (),
+    weight: str = "tf",
+) -> DataFrame:
+    """``key, keep..., scores``: joint log likelihood per class, in label order.
 
     Terms outside the vocabulary are dropped; a document without known terms keeps the prior.
     """
@@ -66,24 +75,21 @@ def score(model: BayesModel, counts: DataFrame, docs: DataFrame, key: str, weigh
         F.sum("_w").alias("_len"),
         *[F.sum(F.col("_w") * model.log_weight(i)).alias(f"_s{i}") for i in classes],
     )
-    everything = F.struct("*")
-    totals = model.totals.agg(F.first(everything).alias("t")).scalar()
-    priors = model.priors.agg(F.first(everything).alias("p")).scalar()
-    scored = docs.select(key).join(sums, key, "left").withColumns({"_t": totals, "_p": priors})
-
-    def class_score(i: int) -> Column:
-        mass = F.col(f"_t.c{i}") + F.lit(model.smoothing) * F.col("_t.size")
-        return (
-            F.log(F.col(f"_p.c{i}") / F.col("_p.n"))
-            + F.coalesce(F.col(f"_s{i}"), F.lit(0.0))
-            - F.coalesce(F.col("_len"), F.lit(0)) * F.log(mass)
-        )
-
+    length = F.coalesce(F.col("_len"), F.lit(0))
     entries = [
-        F.struct(F.lit(c).alias("label"), class_score(i).alias("score"))
+        F.struct(
+            F.lit(c).alias("label"),
+            (
+                F.log(F.lit(model.priors[i]))
+                + F.coalesce(F.col(f"_s{i}"), F.lit(0.0))
+                - length * F.log(F.lit(model.masses[i]))
+            ).alias("score"),
+        )
         for i, c in enumerate(model.labels)
     ]
-    return scored.select(key, F.array(*entries).alias("scores"))
+    return docs.select(key, *keep).join(sums, key, "left").select(
+        key, *keep, F.array(*entries).alias("scores")
+    )
 
 
 def predict(scored: DataFrame, keep: Sequence[str]) -> DataFrame:
@@ -115,13 +121,11 @@ def probabilities(scored: DataFrame, key: str) -> DataFrame:
 
 def feature_weights(model: BayesModel) -> DataFrame:
     """``label, term, weight``: smoothed log likelihood of each term per class."""
-    totals = model.totals.agg(F.first(F.struct("*")).alias("t")).scalar()
-    alpha = F.lit(model.smoothing)
     entries = [
         F.struct(
             F.lit(c).alias("label"),
-            (model.log_weight(i) - F.log(F.col(f"_t.c{i}") + alpha * F.col("_t.size"))).alias("weight"),
+            (model.log_weight(i) - F.log(F.lit(model.masses[i]))).alias("weight"),
         )
         for i, c in enumerate(model.labels)
     ]
-    return model.terms.withColumn("_t", totals).select("term", F.inline(F.array(*entries)))
+    return model.terms.select("term", F.inline(F.array(*entries)))

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Estimator, Pipeline, PipelineModel
+from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (
     LogisticRegression,
     LogisticRegressionModel,
@@ -18,6 +18,7 @@ from pyspark.ml.classification import (
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import (
     CountVectorizer,
+    CountVectorizerModel,
     NGram,
     Normalizer,
     RegexTokenizer,
@@ -34,6 +35,7 @@ from pyspark.sql import functions as F
 
 from tomeweave.functions.text import WORD, hash_bucket
 from tomeweave.operators.stages import STATS_COLUMNS, BlockWeight, DocumentStats, SmoothedIdf
+from tomeweave.sources.workspace import materialise
 
 # Every step of the fit is one job; more tasks than this much data needs only add latency.
 ROWS_PER_TASK = 10000
@@ -187,6 +189,7 @@ class TextClassifier:
 def train(
     train_rows: DataFrame,
     label: str = "label",
+    text: str = "text",
     stages: Sequence | None = None,
     strategy: str = "ovr",
     c: float = 1.0,
@@ -196,10 +199,15 @@ def train(
     """Fit features and classifier on labelled texts. Class indices follow label order."""
     n = train_rows.count()
     indexer = StringIndexer(inputCol=label, outputCol="label_index", stringOrderType="alphabetAsc")
-    features = Pipeline(stages=list(tfidf_stages() if stages is None else stages)).fit(train_rows)
     indexed = indexer.fit(train_rows)
-    ready = indexed.transform(features.transform(train_rows)).select("features", "label_index")
-    ready = ready.coalesce(max(1, -(-n // ROWS_PER_TASK))).persist()
+    features, ready = fit_features(
+        indexed.transform(train_rows), tfidf_stages() if stages is None else stages, text
+    )
+    # Attribute names of every term in the schema would travel with each task of each step.
+    vectors = F.col("features").alias("features", metadata={})
+    index = F.col("label_index").alias("label_index", metadata={})
+    ready = ready.select(vectors, index).coalesce(max(1, -(-n // ROWS_PER_TASK)))
+    ready = materialise(ready, "features").persist()
     try:
         model = classifier(n, strategy, c, penalty, max_iter=max_iter).fit(ready)
     finally:
@@ -207,6 +215,26 @@ def train(
     return TextClassifier(tuple(indexed.labels), features, model)
 
 
+def fit_features(
+    rows: DataFrame, stages: Sequence, text: str = "text"
+) -> tuple[PipelineModel, DataFrame]:
+    """Fit the stages in turn; the texts are read for the vocabulary and once more for counts.
+
+    The counts are written to the shared folder, and later stages fit on them: they are far
+    smaller than the texts, and a lost executor does not send the fit back to the tokenizer.
+    Stages that read the text stand before the vectorizer.
+    """
+    fitted: list[Transformer] = []
+    for stage in stages:
+        model = stage.fit(rows) if isinstance(stage, Estimator) else stage
+        fitted.append(model)
+        rows = model.transform(rows)
+        if isinstance(model, CountVectorizerModel):
+            spent = [f.name for f in rows.schema if f.dataType.simpleString() == "array<string>"]
+            rows = materialise(rows.drop(text, *spent), "counts")
+    return PipelineModel(fitted), rows
+
+
 def probability_rows(scored: DataFrame, key: str, proba: str = "proba") -> DataFrame:
     """``key, label, probability``: one row per document and class."""
     return scored.select(key, F.inline(proba))
@@ -231,39 +259,46 @@ def grid_search(
     """
     spark = rows.sparkSession
     n = rows.count() * (folds - 1) // folds
-    folded = rows.withColumn("_fold", hash_bucket(F.col(key), folds).cast("int"))
-    evaluator = MulticlassClassificationEvaluator(labelCol="label_index", metricName="accuracy")
     indexer = StringIndexer(inputCol=label, outputCol="label_index", stringOrderType="alphabetAsc")
-    folded = indexer.fit(rows).transform(folded).persist()
+    folded = (
+        indexer.fit(rows)
+        .transform(rows)
+        .withColumn("_fold", hash_bucket(F.col(key), folds).cast("int"))
+    )
+    evaluator = MulticlassClassificationEvaluator(labelCol="label_index", metricName="accuracy")
     best, results = None, []
-    try:
-        for gram in ngrams:
-            stages = tfidf_stages(ngram=gram, analyzer=analyzer)
-            vectorizer = next(s for s in stages if isinstance(s, CountVectorizer))
-            lr = classifier(n, "multinomial", max_iter=max_iter)
-            grid = (
-                ParamGridBuilder()
-                .addGrid(vectorizer.vocabSize, list(vocab_sizes))
-                .addGrid(lr.regParam, [1.0 / (c * max(n, 1)) for c in costs])
-                .addGrid(lr.elasticNetParam, [1.0 if p == "l1" else 0.0 for p in penalties])
-                .build()
-            )
-            search = CrossValidator(
-                estimator=Pipeline(stages=[*stages, lr]),
-                estimatorParamMaps=grid,
-                evaluator=evaluator,
-                numFolds=folds,
-                foldCol="_fold",
-                parallelism=parallelism,
-            ).fit(folded)
-            for params, score in zip(grid, search.avgMetrics):
-                cost = min(costs, key=lambda c: abs(1.0 / (c * max(n, 1)) - params[lr.regParam]))
-                penalty = "l1" if params[lr.elasticNetParam] == 1.0 else "l2"
-                results.append((gram, params[vectorizer.vocabSize], float(cost), penalty, float(score)))
-            if best is None or max(search.avgMetrics) > max(best.avgMetrics):
-                best = search
-    finally:
-        folded.unpersist()
+    for gram in ngrams:
+        stages = tfidf_stages(ngram=gram, analyzer=analyzer)
+        first = next(i for i, s in enumerate(stages) if isinstance(s, CountVectorizer))
+        vectorizer = stages[first]
+        # Tokens do not depend on the parameters: they are built once for all fits.
+        tokens = PipelineModel(stages[:first]).transform(folded)
+        tokens = materialise(
+            tokens.select(vectorizer.getInputCol(), "label_index", "_fold"), "tokens"
+        )
+        lr = classifier(n, "multinomial", max_iter=max_iter)
+        grid = (
+            ParamGridBuilder()
+            .addGrid(vectorizer.vocabSize, list(vocab_sizes))
+            .addGrid(lr.regParam, [1.0 / (c * max(n, 1)) for c in costs])
+            .addGrid(lr.elasticNetParam, [1.0 if p == "l1" else 0.0 for p in penalties])
+            .build()
+        )
+        search = CrossValidator(
+            estimator=Pipeline(stages=[*stages[first:], lr]),
+            estimatorParamMaps=grid,
+            evaluator=evaluator,
+            numFolds=folds,
+            foldCol="_fold",
+            parallelism=parallelism,
+        ).fit(tokens)
+        for params, score in zip(grid, search.avgMetrics):
+            cost = min(costs, key=lambda c: abs(1.0 / (c * max(n, 1)) - params[lr.regParam]))
+            penalty = "l1" if params[lr.elasticNetParam] == 1.0 else "l2"
+            size = params[vectorizer.vocabSize]
+            results.append((gram, size, float(cost), penalty, float(score)))
+        if best is None or max(search.avgMetrics) > max(best.avgMetrics):
+            best = search
     schema = "ngram INT, vocab_size INT, cost DOUBLE, penalty STRING, accuracy DOUBLE"
     return best, spark.createDataFrame(results, schema)
 

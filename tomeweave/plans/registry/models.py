@@ -24,8 +24,7 @@ def _parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 def _bayes(spark: SparkSession, d: str) -> tuple[bayes.BayesModel, DataFrame]:
     train, test = _parts(spark, d)
     model = bayes.fit(term_counts(train, ["label"]), train)
-    scored = bayes.score(model, term_counts(test, ["doc_id"]), test, "doc_id")
-    return model, scored.join(test.select("doc_id", "label"), "doc_id")
+    return model, bayes.score(model, term_counts(test, ["doc_id"]), test, "doc_id", ["label"])
 
 
 def nb_scores(spark: SparkSession, d: str) -> DataFrame:
