@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tomeweave.functions.text import let
 from tomeweave.sources.workspace import materialise
 
 
@@ -101,22 +102,34 @@ def predict(scored: DataFrame, keep: Sequence[str]) -> DataFrame:
 
 def probabilities(scored: DataFrame, key: str) -> DataFrame:
     """``key, proba``: ``array<struct<label, probability>>`` by softmax inside the row."""
-    top = F.array_max(F.transform("scores", lambda s: s["score"]))
-    powers = scored.select(
-        key,
-        F.transform(
-            "scores",
-            lambda s: F.struct(s["label"].alias("label"), F.exp(s["score"] - top).alias("e")),
-        ).alias("_e"),
-    )
-    total = F.aggregate("_e", F.lit(0.0), lambda a, x: a + x["e"])
-    return powers.withColumn("_sum", total).select(
-        key,
-        F.transform(
-            "_e",
-            lambda x: F.struct(x["label"].alias("label"), (x["e"] / F.col("_sum")).alias("probability")),
-        ).alias("proba"),
-    )
+
+    def softmax(scores: Column) -> Column:
+        top = F.array_max(F.transform(scores, lambda s: s["score"]))
+        powers = let(
+            top,
+            lambda m: F.transform(
+                scores, lambda s: F.struct(s["label"].alias("label"), F.exp(s["score"] - m).alias("e"))
+            ),
+        )
+        return let(
+            powers,
+            lambda es: let(
+                F.aggregate(es, F.lit(0.0), lambda total, x: total + x["e"]),
+                lambda total: F.transform(
+                    es,
+                    lambda x: F.struct(
+                        x["label"].alias("label"), (x["e"] / total).alias("probability")
+                    ),
+                ),
+            ),
+        )
+
+    return scored.select(key, let(F.col("scores"), softmax).alias("proba"))
+
+
+def score_rows(scored: DataFrame, keep: Sequence[str], column: str = "scores") -> DataFrame:
+    """``keep..., label, score`` rows (or probabilities). Outer, as no array is empty."""
+    return scored.select(*keep, F.inline_outer(column))
 
 
 def feature_weights(model: BayesModel) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tomeweave.functions.text import WORD, hash_bucket
+from tomeweave.functions.text import WORD, hash_bucket, let
 from tomeweave.operators.stages import STATS_COLUMNS, BlockWeight, DocumentStats, SmoothedIdf
 from tomeweave.sources.workspace import materialise
 
@@ -155,10 +155,13 @@ class TextClassifier:
     def _probabilities(self) -> Column:
         if isinstance(self.model, LogisticRegressionModel):
             return vector_to_array("probability")
-        margins = vector_to_array("rawPrediction")
-        sigmoid = F.transform(margins, lambda m: 1.0 / (1.0 + F.exp(-m)))
-        total = F.aggregate(sigmoid, F.lit(0.0), lambda a, p: a + p)
-        return F.transform(sigmoid, lambda p: p / total)
+        sigmoid = F.transform(vector_to_array("rawPrediction"), lambda m: 1.0 / (1.0 + F.exp(-m)))
+        return let(
+            sigmoid,
+            lambda ps: F.transform(
+                ps, lambda p: p / F.aggregate(ps, F.lit(0.0), lambda total, x: total + x)
+            ),
+        )
 
     def coefficients(self, spark) -> DataFrame:
         """``label, term, weight`` rows. As large as the model, which the driver holds anyway."""
@@ -206,8 +209,8 @@ def train(
     # Attribute names of every term in the schema would travel with each task of each step.
     vectors = F.col("features").alias("features", metadata={})
     index = F.col("label_index").alias("label_index", metadata={})
-    ready = ready.select(vectors, index).coalesce(max(1, -(-n // ROWS_PER_TASK)))
-    ready = materialise(ready, "features").persist()
+    ready = materialise(ready.select(vectors, index), "features")
+    ready = ready.coalesce(max(1, -(-n // ROWS_PER_TASK))).persist()
     try:
         model = classifier(n, strategy, c, penalty, max_iter=max_iter).fit(ready)
     finally:
@@ -236,8 +239,12 @@ def fit_features(
 
 
 def probability_rows(scored: DataFrame, key: str, proba: str = "proba") -> DataFrame:
-    """``key, label, probability``: one row per document and class."""
-    return scored.select(key, F.inline(proba))
+    """``key, label, probability``: one row per document and class.
+
+    No array is empty; the outer form keeps the optimizer from testing that by computing the
+    whole model a second time in a filter.
+    """
+    return scored.select(key, F.inline_outer(proba))
 
 
 def grid_search(

@@ -17,6 +17,7 @@ from tomeweave.operators.groups import bottom_features, first_per_group, keep_fi
 from tomeweave.operators.profile import histogram, measure, profile
 from tomeweave.operators.terms import split_by_hash
 from tomeweave.sources import files as src
+from tomeweave.sources.workspace import materialise
 
 
 def book_texts(raw: DataFrame, keep: Sequence[str] = (), text: str = "text") -> DataFrame:
@@ -72,7 +73,8 @@ def build_catalog(
     """Catalog rows for pending books, and every pending book's status.
 
     ``books(file_name)``, ``responses(title, author, body)`` unique by title and author,
-    ``pages(url, html)`` and ``catalog`` in the books schema.
+    ``pages(url, html)`` and ``catalog`` in the books schema. Responses are parsed and pages
+    scanned once, into tables that the later steps share.
     """
     name = F.col("file_name")
     todo = (
@@ -86,9 +88,11 @@ def build_catalog(
             identifiers.extract_identifiers(identifiers.parse_response(F.col("body"))).alias("ids"),
         )
     )
+    todo = materialise(todo, "candidates")
     wanted = todo.select(F.explode("ids").alias("isbn")).distinct()
     found = wanted.withColumn("url", names.book_page_url(base, F.col("isbn"))).join(pages, "url")
     tags = tag_counts(found, ["isbn"]).select("isbn", "label", F.col("n").alias("weight"))
+    tags = materialise(tags, "tags")
     resolved = cat.resolve_candidates(
         todo, catalog, tags.select("isbn").distinct(), legacy=legacy
     )
@@ -177,7 +181,7 @@ def train_and_evaluate(
     """Hold-out evaluation of the text classifier; one fit serves every result."""
     train_rows, test_rows = split_by_hash(docs.select(key, label, text), key)
     model = linear.train(train_rows, label, **options)
-    scored = model.score(test_rows)
+    scored = materialise(model.score(test_rows).drop(text), "scored")
     predictions = scored.select(key, label, "prediction")
     matrix = evaluate.confusion_matrix(predictions, label)
     weights = model.coefficients(docs.sparkSession)

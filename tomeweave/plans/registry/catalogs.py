@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tomeweave.functions.identifiers import safe_isbn_number
 from tomeweave.operators import catalog as cat
 from tomeweave.operators import labels
-from tomeweave.plans.registry.tables import documents, sql_list, table
+from tomeweave.plans.registry.tables import documents, rows, sql_list, table
 from tomeweave.sources import sinks
 from tomeweave.sources.workspace import fresh_path
 from tomeweave.streaming.ingest import ingest_first_per_key, ingest_new, stream_table
@@ -27,7 +27,7 @@ def _tag_votes(spark: SparkSession, d: str) -> DataFrame:
         F.array(*[F.lit(t) for t in TAGS]),
         (1 + (F.col("event_id") * 7 + F.col("user_id")) % len(TAGS)).cast("int"),
     )
-    votes = table(spark, d, "events").select(
+    votes = rows(spark, d, "events", "event_id").select(
         F.floor(F.col("event_id") / 4).alias("entity"), pick.alias("label"), F.floor("value").alias("v")
     )
     return votes.groupBy("entity", "label").agg(F.sum("v").cast("bigint").alias("weight"))
@@ -101,7 +101,7 @@ def _first_candidate(spark: SparkSession, d: str, legacy: bool) -> DataFrame:
     numbers = F.transform(
         F.sequence(F.lit(0), F.lit(3)), lambda i: ((c * 7 + i * (13 + k % 5)) % 2000).cast("string")
     )
-    books = table(spark, d, "orders").select(
+    books = rows(spark, d, "orders", "o_orderkey").select(
         k.alias("file_name"),
         F.when(k % 11 == 0, F.array().cast("array<string>")).otherwise(numbers).alias("ids"),
     )

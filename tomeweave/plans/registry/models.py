@@ -28,7 +28,7 @@ def _bayes(spark: SparkSession, d: str) -> tuple[bayes.BayesModel, DataFrame]:
 
 
 def nb_scores(spark: SparkSession, d: str) -> DataFrame:
-    rows = _bayes(spark, d)[1].select("doc_id", F.inline("scores"))
+    rows = bayes.score_rows(_bayes(spark, d)[1], ["doc_id"])
     return rows.withColumn("score", F.round("score", 4))
 
 
@@ -38,12 +38,12 @@ def nb_predict(spark: SparkSession, d: str) -> DataFrame:
 
 def nb_argmax(spark: SparkSession, d: str) -> DataFrame:
     """The same prediction from score rows."""
-    rows = _bayes(spark, d)[1].select("doc_id", F.inline("scores"))
+    rows = bayes.score_rows(_bayes(spark, d)[1], ["doc_id"])
     return evaluate.argmax_label(rows, "doc_id")
 
 
 def nb_proba(spark: SparkSession, d: str) -> DataFrame:
-    rows = bayes.probabilities(_bayes(spark, d)[1], "doc_id").select("doc_id", F.inline("proba"))
+    rows = bayes.score_rows(bayes.probabilities(_bayes(spark, d)[1], "doc_id"), ["doc_id"], "proba")
     return rows.withColumn("probability", F.round("probability", 4))
 
 

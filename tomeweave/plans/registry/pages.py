@@ -18,7 +18,7 @@ from tomeweave.operators import extract, labels
 from tomeweave.plans import jobs
 from tomeweave.plans.registry import tables
 from tomeweave.plans.registry.catalogs import TAGS, TARGET_SQL
-from tomeweave.plans.registry.tables import sql_list, table
+from tomeweave.plans.registry.tables import rows, sql_list, table
 
 BASE = "https://books.example"
 ROOT = "/shelf"
@@ -50,7 +50,7 @@ def _book_pages(spark: SparkSession, d: str) -> DataFrame:
     )
     count = F.when(i % 3 != 0, _text('  <a title="', i % 1000, ' people shelved this">\n')).otherwise("")
     return _page_of_lines(
-        table(spark, d, "events"),
+        rows(spark, d, "events", "event_id"),
         40,
         "isbn",
         f'<html>\n{vocab.TAG_NAME_LINE} href="/genres/before">\n<p>{vocab.TAG_SECTION_START}1">shelves\n',
@@ -70,7 +70,7 @@ def _listing_pages(spark: SparkSession, d: str) -> DataFrame:
     )
     count = F.when(i % 5 != 0, _text("   ", F.format_number(i * 37, 0), " books\n")).otherwise("no count\n")
     return _page_of_lines(
-        table(spark, d, "events"),
+        rows(spark, d, "events", "event_id"),
         500,
         "page",
         f"9,999 before\n{vocab.LISTING_SECTION_START}\n12 before any name\n",
@@ -198,7 +198,7 @@ def identifiers_from_json(spark: SparkSession, d: str) -> DataFrame:
             .otherwise(_text(short, ", ", long))
         )
 
-    orders = table(spark, d, "orders").select("o_orderkey", _responses(k, k % 6, entry).alias("body"))
+    orders = rows(spark, d, "orders", "o_orderkey").select("o_orderkey", _responses(k, k % 6, entry).alias("body"))
     ids = extract_identifiers(parse_response(F.col("body")))
     return orders.select("o_orderkey", ids.alias("ids")).select(
         "o_orderkey", F.size("ids").cast("bigint").alias("n_ids"), F.array_join("ids", ",").alias("ids")

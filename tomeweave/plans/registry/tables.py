@@ -16,6 +16,11 @@ def documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     return spread(table(spark, folder, "documents").select("doc_id", *columns), "doc_id")
 
 
+def rows(spark: SparkSession, folder: str, name: str, key: str) -> DataFrame:
+    """A narrow table that costly expressions run over, likewise over all cores."""
+    return spread(table(spark, folder, name), key)
+
+
 def pages(spark: SparkSession, folder: str) -> DataFrame:
     return spread(table(spark, folder, "pages"), "page_id")
 
