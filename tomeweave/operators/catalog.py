@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tomeweave.functions.names import rebase_path, status_of_name, strip_prefix
 from tomeweave.operators.groups import keep_first
+from tomeweave.sources.workspace import materialise
 
 BOOKS_SCHEMA = (
     "isbn STRING, title STRING, author STRING, gtype STRING, genres_scraped MAP<STRING, BIGINT>, "
@@ -60,8 +61,9 @@ def resolve_candidates(
     candidate the first by key is processed, the others are duplicates. ``legacy`` leaves
     duplicates pending.
 
-    Both lookups are one join with a table unique by candidate. The winners are joined back on
-    the book itself, so a candidate that a third of all books share is never one join key.
+    Both lookups are one join with a table unique by candidate; it is stored first, which lets
+    the join split the partition of a candidate that a third of all books share. The winners
+    are joined back on the book itself.
     """
     known = (
         catalog.select(isbn, F.lit(True).alias("_held"))
@@ -69,6 +71,7 @@ def resolve_candidates(
         .groupBy(isbn)
         .agg(F.bool_or("_held").alias("_held"))
     )
+    known = materialise(known, "known")
     candidates = books.select(key, F.posexplode_outer(ids).alias("_pos", isbn))
     stop = F.when(F.col("_held").isNotNull(), F.struct("_pos", isbn, "_held"))
     stops = (

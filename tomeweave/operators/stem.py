@@ -10,15 +10,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tomeweave.functions.text import let
+from tomeweave.functions.text import alphabetic_only, let, word_tokens
+from tomeweave.sources.workspace import materialise
 
-_CONSONANTS = "[^aeiou][^aeiouy]*"
-_VOWELS = "[aeiouy][aeiou]*"
-_ANY_PAIR = f"^(?:{_CONSONANTS})?{_VOWELS}{_CONSONANTS}"
-_ONE_PAIR = f"^(?:{_CONSONANTS})?{_VOWELS}{_CONSONANTS}(?:{_VOWELS})?$"
-_TWO_PAIRS = f"{_ANY_PAIR}{_VOWELS}{_CONSONANTS}"
-_HAS_VOWEL = f"^(?:{_CONSONANTS})?[aeiouy]"
-_SHORT = f"^{_CONSONANTS}[aeiouy][^aeiouwxy]$"
+CONSONANTS = "[^aeiou][^aeiouy]*"
+VOWELS = "[aeiouy][aeiou]*"
+ANY_PAIR = f"^(?:{CONSONANTS})?{VOWELS}{CONSONANTS}"
+ONE_PAIR = f"^(?:{CONSONANTS})?{VOWELS}{CONSONANTS}(?:{VOWELS})?$"
+TWO_PAIRS = f"{ANY_PAIR}{VOWELS}{CONSONANTS}"
+HAS_VOWEL = f"^(?:{CONSONANTS})?[aeiouy]"
+SHORT = f"^{CONSONANTS}[aeiouy][^aeiouwxy]$"
 
 # Suffix -> replacement, applied where the stem has a vowel-consonant pair.
 LONG_SUFFIXES = {
@@ -86,7 +87,7 @@ def _replace_suffix(word: Column, table: dict[str, str]) -> Column:
     def apply(w: Column) -> Column:
         stem, suffix = _stem_and_suffix(w, table)
         new = F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), suffix)
-        return F.when((suffix != "") & stem.rlike(_ANY_PAIR), F.concat(stem, new)).otherwise(w)
+        return F.when((suffix != "") & stem.rlike(ANY_PAIR), F.concat(stem, new)).otherwise(w)
 
     return let(word, apply)
 
@@ -112,7 +113,7 @@ def _mend(word: Column) -> Column:
         .when(
             (F.right(w, F.lit(1)) == F.substring(w, -2, 1)) & w.rlike("[^aeiouylsz]$"), _cut(w, 1)
         )
-        .when(w.rlike(_SHORT), F.concat(w, F.lit("e")))
+        .when(w.rlike(SHORT), F.concat(w, F.lit("e")))
         .otherwise(w),
     )
 
@@ -122,8 +123,8 @@ def _past_forms(word: Column) -> Column:
         stem, suffix = _stem_and_suffix(w, ("eed", "ed", "ing"))
         return (
             F.when(suffix == "", w)
-            .when(suffix == "eed", F.when(stem.rlike(_ANY_PAIR), _cut(w, 1)).otherwise(w))
-            .when(stem.rlike(_HAS_VOWEL), _mend(stem))
+            .when(suffix == "eed", F.when(stem.rlike(ANY_PAIR), _cut(w, 1)).otherwise(w))
+            .when(stem.rlike(HAS_VOWEL), _mend(stem))
             .otherwise(w)
         )
 
@@ -134,7 +135,7 @@ def _final_y(word: Column) -> Column:
     return let(
         word,
         lambda w: F.when(
-            F.endswith(w, F.lit("y")) & _cut(w, 1).rlike(_HAS_VOWEL),
+            F.endswith(w, F.lit("y")) & _cut(w, 1).rlike(HAS_VOWEL),
             F.concat(_cut(w, 1), F.lit("i")),
         ).otherwise(w),
     )
@@ -143,7 +144,7 @@ def _final_y(word: Column) -> Column:
 def _last_suffix(word: Column) -> Column:
     def apply(w: Column) -> Column:
         stem, suffix = _stem_and_suffix(w, LAST_SUFFIXES)
-        fits = (suffix != "") & stem.rlike(_TWO_PAIRS) & ((suffix != "ion") | stem.rlike("[st]$"))
+        fits = (suffix != "") & stem.rlike(TWO_PAIRS) & ((suffix != "ion") | stem.rlike("[st]$"))
         return F.when(fits, stem).otherwise(w)
 
     return let(word, apply)
@@ -152,7 +153,7 @@ def _last_suffix(word: Column) -> Column:
 def _final_e(word: Column) -> Column:
     def apply(w: Column) -> Column:
         stem = _cut(w, 1)
-        drop = stem.rlike(_TWO_PAIRS) | (stem.rlike(_ONE_PAIR) & ~stem.rlike(_SHORT))
+        drop = stem.rlike(TWO_PAIRS) | (stem.rlike(ONE_PAIR) & ~stem.rlike(SHORT))
         return F.when(F.endswith(w, F.lit("e")) & drop, stem).otherwise(w)
 
     return let(word, apply)
@@ -161,7 +162,7 @@ def _final_e(word: Column) -> Column:
 def _final_double_l(word: Column) -> Column:
     return let(
         word,
-        lambda w: F.when(F.endswith(w, F.lit("ll")) & w.rlike(_TWO_PAIRS), _cut(w, 1)).otherwise(w),
+        lambda w: F.when(F.endswith(w, F.lit("ll")) & w.rlike(TWO_PAIRS), _cut(w, 1)).otherwise(w),
     )
 
 
@@ -174,14 +175,22 @@ def stem(word: Column) -> Column:
     )
 
 
+def stemmed_tokens(text: Column) -> Column:
+    """A tokenizer: the stems of a text's alphabetic tokens, in order."""
+    return F.transform(alphabetic_only(word_tokens(text)), stem)
+
+
 def stem_vocabulary(vocabulary: DataFrame) -> DataFrame:
     """Add ``stem`` to a table of distinct terms."""
     return vocabulary.withColumn("stem", stem(F.col("term")))
 
 
 def stemmed_counts(counts: DataFrame, key: str) -> DataFrame:
-    """``key, stem, tf`` from ``key, term, tf``: each distinct term is stemmed once."""
-    stems = stem_vocabulary(counts.select("term").distinct())
+    """``key, stem, tf`` from ``key, term, tf``: each distinct term is stemmed once.
+
+    The stems are stored, so that the join may split the partitions of frequent terms.
+    """
+    stems = materialise(stem_vocabulary(counts.select("term").distinct()), "stems")
     return (
         counts.join(stems, "term")
         .groupBy(key, "stem")

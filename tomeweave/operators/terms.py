@@ -17,6 +17,7 @@ from tomeweave.functions.text import (
     word_tokens,
 )
 from tomeweave.operators.groups import top_n_per_group
+from tomeweave.sources.workspace import materialise
 
 Tokenizer = Callable[[Column], Column]
 
@@ -66,19 +67,24 @@ def top_terms(counts: DataFrame, label: str, n: int = 25) -> DataFrame:
 
 
 def inverse_document_frequency(counts: DataFrame, docs: DataFrame) -> DataFrame:
-    """``term, df, idf`` with idf = ln((1 + n) / (1 + df)) + 1, n the number of ``docs``."""
+    """``term, df, idf`` with idf = ln((1 + n) / (1 + df)) + 1, n the number of ``docs``.
+
+    Written as a table: it is fitted once and applied to several inputs, and a join can only
+    split a hot term's partition if the other side is shuffled for that join alone, which an
+    aggregate by the same key is not.
+    """
     n_docs = docs.agg(F.count("*").alias("n")).scalar()
     df = counts.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
-    return df.select("term", "df", idf.alias("idf"))
+    return materialise(df.select("term", "df", idf.alias("idf")), "idf")
 
 
 def tfidf(counts: DataFrame, idf: DataFrame, key: str) -> DataFrame:
     """Add ``tfidf``: tf * idf, scaled to unit length per document.
 
-    Terms the vocabulary lacks are dropped. The vocabulary is joined without a hint: it is
-    broadcast only if measured small, and the shuffled join splits the partitions of terms
-    that nearly every document holds. A document's rows are bounded by its own vocabulary.
+    Terms the vocabulary lacks are dropped. The vocabulary, a stored table, is joined without a
+    hint: it is broadcast only if measured small, and the shuffled join splits the partitions of
+    terms that nearly every document holds. A document's rows are bounded by its own vocabulary.
     """
     weighted = counts.join(idf.select("term", "idf"), "term").withColumn(
         "_w", F.col("tf") * F.col("idf")
@@ -94,5 +100,5 @@ def alphabetic_vocabulary(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def drop_stop_words(counts: DataFrame, stop_words: DataFrame) -> DataFrame:
-    """Anti join with a table of stop words, for lists too long for an expression."""
-    return counts.join(stop_words.select("term").distinct(), "term", "left_anti")
+    """Anti join with a stored table of stop words, for lists too long for an expression."""
+    return counts.join(stop_words.select("term"), "term", "left_anti")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomeweave.functions import clean, names
@@ -113,22 +113,31 @@ def drop_marked_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 # Files in several charsets, composed from each document.
-def charset_filter(spark: SparkSession, d: str) -> DataFrame:
-    text = F.col("text")
-    narrow = text.rlike(r"^[\x00-\xff]*$") & (F.col("doc_id") % 2 == 0)
-    docs = documents(spark, d, "text").select(
-        "doc_id",
+def _files(spark: SparkSession, d: str, text: Column) -> DataFrame:
+    narrow = F.col("text").rlike(r"^[\x00-\xff]*$") & (F.col("doc_id") % 2 == 0)
+    return documents(spark, d, "text").select(
+        F.col("doc_id").cast("string").alias("path"),
         F.when(narrow, F.encode(text, "ISO-8859-1")).otherwise(F.encode(text, "UTF-8")).alias("content"),
     )
+
+
+def charset_filter(spark: SparkSession, d: str) -> DataFrame:
     content = F.col("content")
-    decoded = docs.select(
-        "doc_id", clean.charset_of(content).alias("charset"), clean.decode_bytes(content).alias("text")
+    decoded = _files(spark, d, F.col("text")).select(
+        "path", clean.charset_of(content).alias("charset"), clean.decode_bytes(content).alias("text")
     )
     return decoded.filter(clean.usable_charset(F.col("charset"))).select(
-        "doc_id", "charset", F.md5("text").alias("text_md5")
+        "path", "charset", F.md5("text").alias("text_md5")
     )
 
 
+def sanitize_corpus(spark: SparkSession, d: str) -> DataFrame:
+    """Raw files with CR LF line ends and a licence around the text."""
+    wrapped = F.concat(F.lit("licence\r\n*** START ***\r\n"), "text", F.lit("\r\n*** END ***\r\nlicence"))
+    cleaned = jobs.sanitize_corpus(_files(spark, d, wrapped), ["ISO-8859-1", "UTF-8"])
+    return cleaned.select("path", "charset", F.md5("text").alias("text_md5"))
+
+
 def first_per_directory(spark: SparkSession, d: str) -> DataFrame:
     return first_per_group(_mirror(spark, d)).select("dir", "file_name", "doc_id")
 
@@ -239,6 +248,7 @@ QUERIES = {
     "strip_boilerplate": strip_boilerplate,
     "drop_marked_lines": drop_marked_lines,
     "charset_filter": charset_filter,
+    "sanitize_corpus": sanitize_corpus,
     "first_per_group": first_per_directory,
     "first_per_group_usable": first_usable_per_directory,
     "pack_names": pack_names,
@@ -249,6 +259,13 @@ QUERIES = {
     "read_catalog_columns": read_catalog_columns,
 }
 
+_CHARSETS_SQL = r"""
+select doc_id::varchar as path, text,
+       case when regexp_full_match(text, '[\x00-\x7f]*') then 'ascii'
+            when doc_id % 2 = 0 and regexp_full_match(text, '[\x{0}-\x{ff}]*') then 'ISO-8859-1'
+            else 'UTF-8' end as charset
+from documents"""
+
 ORACLES = {
     "profile_by_source": f"""
 select source, count(*) as n_docs, avg({_LINES}) as avg_lines, avg({_CHARS}) as avg_chars
@@ -288,13 +305,10 @@ select doc_id, md5(coalesce(list_aggregate(
          [x for x in string_split(text, chr(10)) if not (contains(x, 'the') or contains(x, 'que'))],
          'string_agg', chr(10)), '')) as text_md5
 from documents""",
-    "charset_filter": r"""
-select doc_id,
-       case when regexp_full_match(text, '[\x00-\x7f]*') then 'ascii'
-            when doc_id % 2 = 0 and regexp_full_match(text, '[\x{0}-\x{ff}]*') then 'ISO-8859-1'
-            else 'UTF-8' end as charset,
-       md5(text) as text_md5
-from documents""",
+    "charset_filter": f"select path, charset, md5(text) as text_md5 from ({_CHARSETS_SQL})",
+    "sanitize_corpus": f"""
+select path, charset, md5(trim(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), {_STRIP})) as text_md5
+from ({_CHARSETS_SQL}) where charset <> 'ascii'""",
     "first_per_group": f"""
 with {_MIRROR_SQL},
 first as (select *, row_number() over (partition by dir order by file_name) as rn from mirror)

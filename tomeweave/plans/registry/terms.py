@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tomeweave.functions.text import alphabetic_only
 from tomeweave.operators import terms
-from tomeweave.operators.stem import stem_vocabulary, stemmed_counts
+from tomeweave.operators import stem as stemmer
+from tomeweave.operators.stem import stem_vocabulary, stemmed_counts, stemmed_tokens
 from tomeweave.plans.registry.tables import documents, sql_list, table
+from tomeweave.sources.workspace import materialise
 
 # A literal stop list over the languages of the corpus, the same on both sides.
 STOP_WORDS = ("the", "of", "and", "to", "in", "that", "is", "le", "la", "les", "de", "et", "der", "die", "und", "el", "que", "en", "los")
@@ -76,7 +79,17 @@ def alpha_stem_vocab(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stemmed_term_counts(spark: SparkSession, d: str) -> DataFrame:
-    return stemmed_counts(counts(spark, d), "doc_id")
+    alphabetic = terms.term_counts(
+        documents(spark, d, "text"), ["doc_id"], tokenizer=lambda t: alphabetic_only(terms.word_tokens(t))
+    )
+    return stemmed_counts(alphabetic, "doc_id")
+
+
+def stemmed_tokens_per_document(spark: SparkSession, d: str) -> DataFrame:
+    """Stems in reading order, as the pluggable tokenizer gives them."""
+    docs = documents(spark, d, "text")
+    stems = docs.select("doc_id", F.array_join(stemmed_tokens(F.col("text")), " ").alias("stems"))
+    return stems.select("doc_id", F.md5("stems").alias("stems_md5"))
 
 
 def stop_word_filter(spark: SparkSession, d: str) -> DataFrame:
@@ -90,7 +103,7 @@ def stop_word_anti_join(spark: SparkSession, d: str) -> DataFrame:
     c = counts(spark, d)
     n = documents(spark, d).agg(F.count("*").alias("n")).scalar()
     frequent = terms.document_frequency(c).filter(F.col("df") * 2 > n).select("term")
-    return terms.drop_stop_words(c, frequent).select("doc_id", "term", "tf")
+    return terms.drop_stop_words(c, materialise(frequent, "stop-words")).select("doc_id", "term", "tf")
 
 
 def _ngram_totals(spark: SparkSession, d: str, tokenizer) -> DataFrame:
@@ -127,6 +140,7 @@ QUERIES = {
     "alphabetic_vocabulary": alphabetic_vocabulary,
     "alpha_stem_vocab": alpha_stem_vocab,
     "stemmed_term_counts": stemmed_term_counts,
+    "stemmed_tokens": stemmed_tokens_per_document,
     "stop_word_filter": stop_word_filter,
     "stop_word_anti_join": stop_word_anti_join,
     "word_trigrams": word_trigrams,
@@ -162,7 +176,86 @@ counts as (
 select g as term, count(*) as df, sum(tf)::bigint as n from counts group by g"""
 
 
+def _replaced_sql(table: dict[str, str], condition: str, ion: bool = False) -> str:
+    """The first suffix that fits, longest first, replaced if its stem meets the condition."""
+    cases = []
+    for suffix in sorted(table, key=len, reverse=True):
+        stem = f"left(w, length(w) - {len(suffix)})"
+        test = f"regexp_matches({stem}, '{condition}')"
+        if ion and suffix == "ion":
+            test += f" and regexp_matches({stem}, '[st]$')"
+        cases.append(
+            f"when suffix(w, '{suffix}') then case when {test} then {stem} || '{table[suffix]}' else w end"
+        )
+    return "case " + " ".join(cases) + " else w end"
+
+
+_STEMS_SQL = rf"""
+words as (
+  select term, count(*) as n from (select unnest({_TOKENS}) as term from documents)
+  where regexp_full_match(term, '[\p{{L}}\s]+') group by term),
+plurals as (
+  select term, case when suffix(term, 'sses') or suffix(term, 'ies') then left(term, length(term) - 2)
+                    when regexp_matches(term, '[^s]s$') then left(term, length(term) - 1)
+                    else term end as w
+  from words),
+cuts as (
+  select term, w,
+         case when suffix(w, 'eed') then null
+              when suffix(w, 'ed') and regexp_matches(left(w, length(w) - 2), '{stemmer.HAS_VOWEL}')
+                then left(w, length(w) - 2)
+              when suffix(w, 'ing') and regexp_matches(left(w, length(w) - 3), '{stemmer.HAS_VOWEL}')
+                then left(w, length(w) - 3) end as cut
+  from plurals),
+past as (
+  select term,
+         case when suffix(w, 'eed') and regexp_matches(left(w, length(w) - 3), '{stemmer.ANY_PAIR}')
+                then left(w, length(w) - 1)
+              when cut is null then w
+              when regexp_matches(cut, '(at|bl|iz)$') then cut || 'e'
+              when length(cut) > 1 and right(cut, 1) = left(right(cut, 2), 1)
+                   and right(cut, 1) not in ('a', 'e', 'i', 'o', 'u', 'y', 'l', 's', 'z')
+                then left(cut, length(cut) - 1)
+              when regexp_matches(cut, '{stemmer.SHORT}') then cut || 'e'
+              else cut end as w
+  from cuts),
+final_y as (
+  select term, case when suffix(w, 'y') and regexp_matches(left(w, length(w) - 1), '{stemmer.HAS_VOWEL}')
+                    then left(w, length(w) - 1) || 'i' else w end as w
+  from past),
+long_suffix as (select term, {_replaced_sql(stemmer.LONG_SUFFIXES, stemmer.ANY_PAIR)} as w from final_y),
+middle as (select term, {_replaced_sql(stemmer.MIDDLE_SUFFIXES, stemmer.ANY_PAIR)} as w from long_suffix),
+last_suffix as (
+  select term, {_replaced_sql(dict.fromkeys(stemmer.LAST_SUFFIXES, ""), stemmer.TWO_PAIRS, ion=True)} as w
+  from middle),
+final_e as (
+  select term,
+         case when suffix(w, 'e') and (
+                regexp_matches(left(w, length(w) - 1), '{stemmer.TWO_PAIRS}')
+                or (regexp_matches(left(w, length(w) - 1), '{stemmer.ONE_PAIR}')
+                    and not regexp_matches(left(w, length(w) - 1), '{stemmer.SHORT}')))
+              then left(w, length(w) - 1) else w end as w
+  from last_suffix),
+stems as (
+  select term, n,
+         case when length(term) <= 2 then term
+              when suffix(w, 'll') and regexp_matches(w, '{stemmer.TWO_PAIRS}') then left(w, length(w) - 1)
+              else w end as stem
+  from final_e join words using (term))"""
+
 ORACLES = {
+    "alpha_stem_vocab": f"with {_STEMS_SQL} select term, n, stem from stems",
+    "stemmed_term_counts": f"""
+with {TERM_COUNTS_SQL}, {_STEMS_SQL}
+select doc_id, stem, sum(tf)::bigint as tf from counts join stems using (term) group by all""",
+    "stemmed_tokens": rf"""
+with {_STEMS_SQL},
+tokens as (
+  select doc_id, unnest(ts) as term, generate_subscripts(ts, 1) as i from (
+    select doc_id, [x for x in {_TOKENS} if regexp_full_match(x, '[\p{{L}}\s]+')] as ts from documents)),
+joined as (
+  select doc_id, string_agg(stem, ' ' order by i) as stems from tokens join stems using (term) group by doc_id)
+select doc_id, md5(coalesce(stems, '')) as stems_md5 from documents left join joined using (doc_id)""",
     "term_frequency": f"with {TERM_COUNTS_SQL} select doc_id, term, tf from counts",
     "document_frequency": f"with {TERM_COUNTS_SQL}, {_FREQUENCY_SQL} select term, df, n from frequency",
     "vocabulary_cut": f"""

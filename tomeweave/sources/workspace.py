@@ -11,18 +11,20 @@ _CONF = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's folder; a temporary one only in local mode, where none is named."""
-    named = spark.conf.get(_CONF, None)
+    """The folder the session names; a temporary one only in local mode, where none is named."""
+    named = spark.conf.get(_CONF, None) or spark.sparkContext.getCheckpointDir()
     if not named:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"{_CONF} must name a folder that every executor can reach")
-        named = tempfile.mkdtemp(prefix="tomeweave-")
-        spark.conf.set(_CONF, named)
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tomeweave-"))
+        named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    """A new path below the application's own subfolder, which may be deleted after it."""
+    application = spark.sparkContext.applicationId
+    return f"{shared_folder(spark)}/{application}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -15,13 +15,14 @@ from tomeweave.operators.groups import keep_first
 from tomeweave.sources.files import RAW_SCHEMA
 
 
-def stream_raw_files(spark: SparkSession, root: str) -> DataFrame:
+def stream_raw_files(spark: SparkSession, root: str, files_per_batch: int = 100_000) -> DataFrame:
     """``path, label, file_name, charset, text`` of each file, as files arrive."""
     path, content = F.col("path"), F.col("content")
     return (
         spark.readStream.format("binaryFile")
         .schema(RAW_SCHEMA)
         .option("recursiveFileLookup", "true")
+        .option("maxFilesPerTrigger", files_per_batch)
         .load(root)
         .select(
             path,
