@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import urlsplit
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -97,6 +99,12 @@ def parent_path_of(path: Column) -> Column:
     return F.substring(path, F.lit(1), cut)
 
 
+def relative_to(path: Column, root: str) -> Column:
+    """What follows the root in a path, whatever scheme and host either is written with."""
+    bare = urlsplit(root).path.rstrip("/")
+    return F.substring(path, F.locate(bare, path) + len(bare), F.length(path))
+
+
 def strip_prefix(name: Column, prefix: str) -> Column:
     return F.when(
         F.startswith(name, F.lit(prefix)), F.substring(name, F.lit(len(prefix) + 1), F.length(name))

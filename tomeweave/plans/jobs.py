@@ -44,15 +44,18 @@ def build_corpus(
 ) -> DataFrame:
     """``path, title, author, name, text``: the first file of each listed directory, cleaned.
 
-    The choice works on the listing alone; contents are opened for the join only.
+    The choice works on the listing alone and is stored, so that it can be broadcast to the
+    scan of the contents if it is measured small.
     """
     directories = src.read_directory_list(spark, directory_list, mirror)
     if marker is not None:
         directories = cat.resume_from(directories, marker, "entry", "pos")
-    wanted = directories.select(F.concat(F.lit("file:"), F.regexp_replace("dir", "^file:/*", "/")).alias("dir"))
-    listed = src.list_files(spark, mirror).join(wanted, "dir", "left_semi")
-    chosen = first_per_group(listed.select("dir", "file_name", "path"))
-    raw = src.read_raw_files(spark, mirror).join(chosen.select("path"), "path", "left_semi")
+    here = names.relative_to(F.col("dir"), mirror)
+    wanted = directories.select(here.alias("dir"))
+    listed = src.list_files(spark, mirror).select(here.alias("dir"), "file_name", "path")
+    chosen = first_per_group(src.existing_directories(listed, wanted))
+    chosen = materialise(chosen.select("path"), "chosen")
+    raw = src.read_raw_files(spark, mirror).join(chosen, "path", "left_semi")
     texts = raw.select("path", F.decode("content", "ISO-8859-1").alias("text"))
     return book_texts(texts, ["path"])
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tomeweave.plans.registry import catalogs, corpus, models, pages, terms
+from tomeweave.plans.registry import catalogs, corpus, files, models, pages, terms
 
-_MODULES = (corpus, terms, models, catalogs, pages)
+_MODULES = (corpus, files, terms, models, catalogs, pages)
 
 
 def all_queries() -> dict:

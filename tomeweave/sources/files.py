@@ -86,7 +86,7 @@ def read_directory_list(spark: SparkSession, path: str, root: str) -> DataFrame:
 
 
 def existing_directories(directories: DataFrame, files: DataFrame) -> DataFrame:
-    """The listed directories that hold files."""
+    """The rows of one side whose directory the other side holds."""
     return directories.join(files.select("dir"), "dir", "left_semi")
 
 
