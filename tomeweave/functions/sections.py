@@ -17,12 +17,12 @@ def after_first(text: Column, marker: str) -> Column:
 
 def between(text: Column, opening: str, closing: str) -> Column:
     """Text from the first ``opening`` to the next ``closing``; '' without the opening."""
-    rest = F.when(F.contains(text, F.lit(opening)), after_first(text, opening)).otherwise("")
-    return F.substring_index(rest, closing, 1)
 
+    def cut(t: Column) -> Column:
+        rest = F.when(F.contains(t, F.lit(opening)), after_first(t, opening)).otherwise("")
+        return F.substring_index(rest, closing, 1)
 
-def _next_line(text: Column) -> Column:
-    return F.when(F.contains(text, F.lit("\n")), after_first(text, "\n")).otherwise("")
+    return let(text, cut)
 
 
 def extract_section(
@@ -38,15 +38,21 @@ def extract_section(
     left out and the end marker's line is the last one of the section.
     """
 
-    def cut(body: Column) -> Column:
+    def next_line(text: Column) -> Column:
+        return F.when(F.contains(text, F.lit("\n")), after_first(text, "\n")).otherwise("")
+
+    def opened(p: Column) -> Column:
+        after = after_first(p, start)
+        body = let(after, next_line) if by_line else after
+        missing = F.lit("") if on_missing == "empty" else p
+        return F.when(F.contains(p, F.lit(start)), body).otherwise(missing)
+
+    def closed(body: Column) -> Column:
         head = F.substring_index(body, end, 1)
         if not by_line:
             return head
         tail = F.substring_index(after_first(body, end), "\n", 1)
         return F.when(F.contains(body, F.lit(end)), F.concat(head, F.lit(end), tail)).otherwise(body)
 
-    after = after_first(page, start)
-    body = F.when(F.contains(page, F.lit(start)), _next_line(after) if by_line else after).otherwise(
-        F.lit("") if on_missing == "empty" else page
-    )
-    return let(body, cut)
+    # Bound step by step: each holds most of the page, and is used several times.
+    return let(let(page, opened), closed)

@@ -34,8 +34,11 @@ def _named_counts(
 
     def entry(chunk: Column, pos: Column) -> Column:
         counts = F.filter(F.slice(F.split(chunk, "\n"), 2, F.length(chunk)), is_count)
-        n = F.when(F.size(counts) > 0, count_of(F.element_at(counts, -1))).otherwise(
-            F.lit(0).cast("bigint")
+        n = let(
+            counts,
+            lambda cs: F.when(F.size(cs) > 0, count_of(F.element_at(cs, -1))).otherwise(
+                F.lit(0).cast("bigint")
+            ),
         )
         name = name_of(F.substring_index(chunk, "\n", 1))
         return F.struct(name.alias("label"), pos.cast("bigint").alias("pos"), n.alias("n"))

@@ -97,8 +97,13 @@ def consolidate(
 
 
 def explode_tags(df: DataFrame, keep: Sequence[str], tags: str = "mapped") -> DataFrame:
-    """Map form -> rows ``keep..., label, weight``."""
-    return df.select(*keep, F.explode(tags).alias("label", "weight"))
+    """Map form -> rows ``keep..., label, weight``.
+
+    The outer form with the filter behind it builds each map once; the inner form makes the
+    optimizer test the size of the map before, by building it there too.
+    """
+    rows = df.select(*keep, F.explode_outer(tags).alias("label", "weight"))
+    return rows.filter(F.col("label").isNotNull())
 
 
 def collect_tags(rows: DataFrame, key: Sequence[str], label: str = "label", weight: str = "weight") -> DataFrame:

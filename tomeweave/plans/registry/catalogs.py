@@ -107,8 +107,8 @@ def _first_candidate(spark: SparkSession, d: str, legacy: bool) -> DataFrame:
     )
     customers = table(spark, d, "customer")
     isbn = F.col("c_custkey").cast("string").alias("isbn")
-    catalog = customers.filter(F.col("c_custkey") % 17 == 0).select(isbn)
-    tagged = customers.filter(F.col("c_custkey") % 7 == 0).select(isbn)
+    catalog = customers.filter(F.col("c_mktsegment") == "BUILDING").select(isbn)
+    tagged = customers.filter(F.col("c_acctbal") < 0).select(isbn)
     return cat.resolve_candidates(books, catalog, tagged, legacy=legacy)
 
 
@@ -166,7 +166,7 @@ def append_catalog(spark: SparkSession, d: str) -> DataFrame:
     path = fresh_path(spark, "catalog")
     sinks.ensure_table(spark, path, cat.LISTING_SCHEMA)
     entries = _catalog(spark, d, "O").withColumn("name", F.col("dl_url"))
-    files = table(spark, d, "orders").filter(F.col("o_custkey") % 2 == 0).select(
+    files = table(spark, d, "orders").filter(F.col("o_totalprice") < 100000).select(
         F.concat(F.lit("dl/"), F.col("o_orderkey").cast("string")).alias("name")
     )
     sinks.append_existing(entries, files, path)
@@ -280,9 +280,9 @@ with books as (
   where o_orderkey % 11 <> 0),
 candidates as (select file_name, pos, (c * 7 + pos * (13 + file_name % 5)) % 2000 as id from books),
 hits as (
-  select file_name, pos, id, id % 17 = 0 as held,
+  select file_name, pos, id, c_mktsegment = 'BUILDING' as held,
          row_number() over (partition by file_name order by pos) as rn
-  from candidates where id in (select c_custkey from customer) and (id % 17 = 0 or id % 7 = 0)),
+  from candidates join customer on id = c_custkey where c_mktsegment = 'BUILDING' or c_acctbal < 0),
 stops as (
   select *, row_number() over (partition by id, held order by file_name) as claim from hits where rn = 1)
 select o_orderkey as file_name, id::varchar as isbn,
@@ -348,7 +348,7 @@ select o_orderkey::varchar as isbn,
 from orders where o_orderstatus <> 'P' or o_orderpriority = '1-URGENT'""",
     "append_catalog": f"""
 select c.* from ({_catalog_sql("O")}) c
-where c.dl_url in (select 'dl/' || o_orderkey from orders where o_custkey % 2 = 0)
+where c.dl_url in (select 'dl/' || o_orderkey from orders where o_totalprice < 100000)
 union all
 select c.* from ({_catalog_sql("F")}) c where genre = '5-LOW'""",
     "write_texts": """

@@ -53,7 +53,7 @@ def first_file_of_each(spark: SparkSession, d: str) -> DataFrame:
 
 
 def build_corpus(spark: SparkSession, d: str) -> DataFrame:
-    """Raw books of the even items are listed; every third of them is not in English."""
+    """The longer raw books are listed; every third of them is not in English."""
     i = F.col("item_id")
     book = F.concat(
         F.lit("Title: Book "),
@@ -65,7 +65,7 @@ def build_corpus(spark: SparkSession, d: str) -> DataFrame:
         F.lit("\n*** END ***"),
     )
     root, listing = _tree(spark, d, book), fresh_path(spark, "listing")
-    items = table(spark, d, "benchmark").filter(i % 2 == 0)
+    items = table(spark, d, "benchmark").filter(F.length("text") > 300)
     items.select(F.concat(F.lit("/item="), i.cast("string"))).write.text(listing)
     corpus = jobs.build_corpus(spark, root, listing)
     return corpus.select("title", "author", "name", F.length("text").cast("bigint").alias("n_chars"))
@@ -105,7 +105,7 @@ select 'item=' || item_id as dir, strlen(text)::bigint + 1 as length from benchm
     "build_corpus": r"""
 select 'Book ' || item_id as title, 'A/B' as author, 'Book ' || item_id || '%%%AB.txt' as name,
        strlen(trim(text, chr(10) || ' '))::bigint as n_chars
-from benchmark where item_id % 2 = 0 and item_id % 3 <> 0""",
+from benchmark where length(text) > 300 and item_id % 3 <> 0""",
     "ingest_files": r"""
 select 'item=' || item_id as label,
        case when regexp_full_match(text, '(?s)[\x00-\x7f]*') then 'ascii' else 'UTF-8' end as charset,

@@ -136,12 +136,12 @@ def listing_books(spark: SparkSession, d: str) -> DataFrame:
 
 
 def listing_catalog(spark: SparkSession, d: str) -> DataFrame:
+    """One shelf was filled before, and the files of another did not arrive."""
     categories, store = _shelves(spark, d)
     files = jobs.listing_entries(categories, store, BASE, ROOT).select("local_file")
-    size = F.length("local_file")
-    return jobs.build_listing_catalog(
-        categories, store, files.filter(size % 5 == 0), files.filter(size % 2 == 0), BASE, ROOT
-    )
+    before = files.filter(F.contains("local_file", F.lit("/ASIA/")))
+    now = files.filter(~F.contains("local_file", F.lit("/AFRICA/")))
+    return jobs.build_listing_catalog(categories, store, before, now, BASE, ROOT)
 
 
 def pages_per_category(spark: SparkSession, d: str) -> DataFrame:
@@ -207,7 +207,7 @@ def identifiers_from_json(spark: SparkSession, d: str) -> DataFrame:
 
 def _catalog_update(spark: SparkSession, d: str) -> jobs.CatalogUpdate:
     i = F.col("doc_id")
-    docs = tables.documents(spark, d, "source")
+    docs = tables.documents(spark, d, "lang", "source")
     prefix = F.when(i % 10 == 0, "$$$").when(i % 10 == 1, "~~~").otherwise("")
     books = docs.select(_text(prefix, "Book ", i, "%%%", F.col("source"), ".txt").alias("file_name"))
 
@@ -215,7 +215,8 @@ def _catalog_update(spark: SparkSession, d: str) -> jobs.CatalogUpdate:
         first = _identifier("ISBN_10", (i * 3) % 150)
         return F.when(n == 1, first).otherwise(_identifier("ISBN_13", F.floor(i / 2) % 300))
 
-    responses = docs.filter(i % 6 != 5).select(
+    # No search was answered for the Spanish texts.
+    responses = docs.filter(F.col("lang") != "es").select(
         _text("Book ", i).alias("title"),
         F.col("source").alias("author"),
         _responses(i, F.lit(2).cast("bigint"), entry).alias("body"),
@@ -223,7 +224,7 @@ def _catalog_update(spark: SparkSession, d: str) -> jobs.CatalogUpdate:
     pages = _book_pages(spark, d).select(
         names.book_page_url(BASE, F.col("isbn").cast("string")).alias("url"), "html"
     )
-    held = table(spark, d, "customer").filter(F.col("c_custkey") % 23 == 0)
+    held = table(spark, d, "customer").filter(F.col("c_mktsegment") == "BUILDING")
     catalog = held.select(F.col("c_custkey").cast("string").alias("isbn"))
     return jobs.build_catalog(books, responses, pages, catalog, BASE)
 
@@ -312,15 +313,15 @@ books as (
 _LEDGER_SQL = f"""
 {_TAG_SQL},
 todo as (
-  select doc_id, source, 'Book ' || doc_id || '%%%' || source || '.txt' as file_name
+  select doc_id, lang, source, 'Book ' || doc_id || '%%%' || source || '.txt' as file_name
   from documents where doc_id % 10 > 1),
 candidates as (
-  select doc_id, 1 as pos, (doc_id * 3) % 150 as id from todo where doc_id % 6 <> 5
+  select doc_id, 1 as pos, (doc_id * 3) % 150 as id from todo where lang <> 'es'
   union all
-  select doc_id, 2, (doc_id // 2) % 300 from todo where doc_id % 6 <> 5),
+  select doc_id, 2, (doc_id // 2) % 300 from todo where lang <> 'es'),
 known as (
   select id, bool_or(held) as held from (
-    select c_custkey as id, true as held from customer where c_custkey % 23 = 0
+    select c_custkey as id, true as held from customer where c_mktsegment = 'BUILDING'
     union all select page, false from last_places) group by id),
 hits as (
   select c.*, k.held, row_number() over (partition by doc_id order by pos) as rn
@@ -370,7 +371,7 @@ with {_LISTED_SQL}
 select title, author, genre, local_file,
        '{BASE}/send/1:text:.txt:text/' || id || '/' || id || '.txt' as dl_url,
        '{BASE}/titles/' || id || '.html' as info_url
-from books where length(local_file) % 5 <> 0 and length(local_file) % 2 = 0""",
+from books where genre not in ('ASIA', 'AFRICA')""",
     "pages_per_category": f"""
 with sizes as (
   select n_name as category, ceil(count(*) / 10.0)::bigint as pages
