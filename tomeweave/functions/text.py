@@ -84,11 +84,12 @@ def word_ngrams(tokens: Column, n: int) -> Column:
 def char_ngrams(text: Column, n: int) -> Column:
     """Overlapping runs of ``n`` characters of the lower-cased text, long blanks made one.
 
-    The look-ahead consumes nothing, so one linear pass yields the run at every position;
-    ``substr`` would walk the UTF-8 bytes from the start for each of them.
+    The pattern looks ahead for the run and consumes one character, so a single linear pass
+    yields the run at every position; ``substr`` would walk the UTF-8 bytes from the start for
+    each of them.
     """
     flat = F.regexp_replace(F.lower(text), r"\s\s+", " ")
-    return F.regexp_extract_all(flat, F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1))
+    return F.regexp_extract_all(flat, F.lit(rf"(?s)(?=(.{{{n}}}))."), F.lit(1))
 
 
 def run_lengths(items: Column) -> Column:

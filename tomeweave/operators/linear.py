@@ -55,7 +55,7 @@ def tfidf_stages(
     """Tokens -> counts -> idf -> unit length, as pipeline stages."""
     if analyzer == "char":
         flat = rf"regexp_replace(lower(`{text}`), r'\s\s+', ' ')"
-        grams = rf"regexp_extract_all({flat}, r'(?s)(?=(.{{{ngram}}}))', 1)"
+        grams = rf"regexp_extract_all({flat}, r'(?s)(?=(.{{{ngram}}})).', 1)"
         stages: list = [SQLTransformer(statement=f"SELECT *, {grams} AS grams FROM __THIS__")]
         column = "grams"
     else:

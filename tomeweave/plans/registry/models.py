@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from tomeweave.functions.text import WORD
 from tomeweave.operators import bayes, evaluate, linear
 from tomeweave.operators.groups import bottom_features, top_features
-from tomeweave.operators.terms import split_by_hash, term_counts
+from tomeweave.operators.terms import inverse_document_frequency, split_by_hash, term_counts, tfidf
 from tomeweave.plans import jobs
 from tomeweave.plans.registry.tables import documents, table
 from tomeweave.plans.registry.terms import BUCKET_SQL, STOP_WORDS, TERM_COUNTS_SQL
+from tomeweave.sources import sinks
+from tomeweave.sources.workspace import fresh_path
 
 
 def _parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -47,6 +49,33 @@ def nb_proba(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("probability", F.round("probability", 4))
 
 
+def nb_tfidf_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Naive Bayes over tf-idf weights instead of counts, both fitted on the training texts."""
+    train, test = _parts(spark, d)
+    counts = term_counts(train, ["doc_id", "label"])
+    idf = inverse_document_frequency(counts, train)
+    model = bayes.fit(tfidf(counts, idf, "doc_id"), train, weight="tfidf")
+    known = tfidf(term_counts(test, ["doc_id"]), idf, "doc_id")
+    rows = bayes.score_rows(bayes.score(model, known, test, "doc_id", weight="tfidf"), ["doc_id"])
+    return rows.withColumn("score", F.round("score", 4))
+
+
+def write_probabilities(spark: SparkSession, d: str) -> DataFrame:
+    """The probability rows as JSON files, read back."""
+    path = fresh_path(spark, "probabilities")
+    rows = nb_proba(spark, d)
+    sinks.write_probabilities(rows, path, "json")
+    return spark.read.schema(rows.schema).json(path)
+
+
+def lr_saved(spark: SparkSession, d: str) -> DataFrame:
+    """A model saved, loaded and applied."""
+    train, test = _parts(spark, d)
+    path = fresh_path(spark, "classifier")
+    sinks.save_classifier(linear.train(train), path)
+    return sinks.load_classifier(path).score(test).select("doc_id", "label", "prediction")
+
+
 def nb_top_features(spark: SparkSession, d: str) -> DataFrame:
     return _features(spark, d, top_features)
 
@@ -187,6 +216,9 @@ QUERIES = {
     "nb_predict": nb_predict,
     "nb_argmax": nb_argmax,
     "nb_proba": nb_proba,
+    "nb_tfidf_scores": nb_tfidf_scores,
+    "write_probabilities": write_probabilities,
+    "lr_saved": lr_saved,
     "nb_top_features": nb_top_features,
     "nb_bottom_features": nb_bottom_features,
     "confusion_matrix": confusion_matrix,
@@ -220,8 +252,7 @@ prior as (
   select lang as label, ln(count(*) / (1.0e0 * sum(count(*)) over ())) as prior
   from documents where {BUCKET_SQL} >= 25 group by lang)"""
 
-_SCORES_SQL = f"""
-{_MODEL_SQL},
+_SCORING_SQL = f"""
 test as (select doc_id, lang from documents where {BUCKET_SQL} < 25),
 known as (select c.doc_id, c.term, c.tf from counts c join vocabulary v on c.term = v.term
           where c.doc_id in (select doc_id from test)),
@@ -240,6 +271,22 @@ predicted as (
     select *, row_number() over (partition by doc_id order by score desc, label) as rn from scores)
   where rn = 1)"""
 
+_SCORES_SQL = f"{_MODEL_SQL}, {_SCORING_SQL}"
+
+# The same scores where a document's term counts as its tf-idf weight.
+_TFIDF_MODEL_SQL = _MODEL_SQL.replace(
+    TERM_COUNTS_SQL,
+    f"""
+{TERM_COUNTS_SQL.replace("counts as", "raw_counts as")},
+idf as (
+  select term,
+         ln((1 + (select count(*) from documents where {BUCKET_SQL} >= 25)) / (1.0e0 + count(*))) + 1 as idf
+  from raw_counts where {BUCKET_SQL} >= 25 group by term),
+weighted as (select doc_id, lang, term, tf * idf as w from raw_counts join idf using (term)),
+counts as (
+  select doc_id, lang, term, w / sqrt(sum(w * w) over (partition by doc_id)) as tf from weighted)""",
+)
+
 _MATRIX_SQL = f"""
 {_SCORES_SQL},
 seen as (select label as c from predicted union select prediction from predicted),
@@ -248,6 +295,11 @@ matrix as (
   from seen a cross join seen b left join predicted p on p.label = a.c and p.prediction = b.c
   group by all)"""
 
+_PROBA_SQL = f"""
+with {_SCORES_SQL},
+e as (select doc_id, label, exp(score - max(score) over (partition by doc_id)) as e from scores)
+select doc_id, label, round(e / sum(e) over (partition by doc_id), 4) as probability from e"""
+
 _FEATURES_SQL = f"""
 {_MODEL_SQL},
 weights as (
@@ -257,12 +309,13 @@ weights as (
 
 ORACLES = {
     "nb_scores": f"with {_SCORES_SQL} select doc_id, label, round(score, 4) as score from scores",
+    "nb_tfidf_scores": f"""
+with {_TFIDF_MODEL_SQL}, {_SCORING_SQL}
+select doc_id, label, round(score, 4) as score from scores""",
     "nb_predict": f"with {_SCORES_SQL} select doc_id, label, prediction from predicted",
     "nb_argmax": f"with {_SCORES_SQL} select doc_id, prediction from predicted",
-    "nb_proba": f"""
-with {_SCORES_SQL},
-e as (select doc_id, label, exp(score - max(score) over (partition by doc_id)) as e from scores)
-select doc_id, label, round(e / sum(e) over (partition by doc_id), 4) as probability from e""",
+    "nb_proba": _PROBA_SQL,
+    "write_probabilities": _PROBA_SQL,
     "nb_top_features": f"""
 with {_FEATURES_SQL}
 select * from (
