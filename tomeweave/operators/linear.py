@@ -258,7 +258,7 @@ def grid_search(
     analyzer: str = "word",
     folds: int = 3,
     max_iter: int = 50,
-    parallelism: int = 2,
+    parallelism: int = 4,
 ) -> tuple[CrossValidatorModel, DataFrame]:
     """Cross-validated accuracy of every combination; folds come from a hash of the key.
 
@@ -282,7 +282,7 @@ def grid_search(
         tokens = PipelineModel(stages[:first]).transform(folded)
         tokens = materialise(
             tokens.select(vectorizer.getInputCol(), "label_index", "_fold"), "tokens"
-        )
+        ).coalesce(max(1, -(-n // ROWS_PER_TASK)))
         lr = classifier(n, "multinomial", max_iter=max_iter)
         grid = (
             ParamGridBuilder()
