@@ -192,7 +192,8 @@ def write_texts(spark: SparkSession, d: str) -> DataFrame:
 
 def _documents_stream(spark: SparkSession, d: str) -> DataFrame:
     schema = table(spark, d, "documents").schema
-    return stream_table(spark, d, schema, "documents.parquet")
+    # A pattern, as the table may be one file as well as a directory of them.
+    return stream_table(spark, f"{d}/documents.parquet*", schema)
 
 
 def ingest_incremental(spark: SparkSession, d: str) -> DataFrame:

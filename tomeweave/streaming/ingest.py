@@ -34,9 +34,11 @@ def stream_raw_files(spark: SparkSession, root: str, files_per_batch: int = 100_
     )
 
 
-def stream_table(spark: SparkSession, folder: str, schema, glob: str = "*.parquet") -> DataFrame:
-    """Rows of Parquet files as they arrive in a folder."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(folder)
+def stream_table(spark: SparkSession, path: str, schema, files_per_batch: int = 100_000) -> DataFrame:
+    """Rows of a Parquet table's files as they arrive."""
+    return (
+        spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    )
 
 
 def ingest_new(rows: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
