@@ -146,7 +146,8 @@ def resume_marker(spark: SparkSession, d: str) -> DataFrame:
 
 def safe_isbn_cast(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
-    isbn = F.concat(F.lpad(k.cast("string"), 9, "0"), F.when(k % 11 == 10, "X").otherwise((k % 11).cast("string")))
+    check = F.when(k % 11 == 10, "X").otherwise((k % 11).cast("string"))
+    isbn = F.concat(F.lpad(k.cast("string"), 9, "0"), check)
     keys = table(spark, d, "orders").select("o_orderkey", isbn.alias("isbn"))
     return keys.withColumn("number", safe_isbn_number(F.col("isbn")))
 

@@ -65,10 +65,15 @@ def _raw_books(spark: SparkSession, d: str) -> DataFrame:
     head = F.concat(
         F.lit("A preface.\nTitle: Draft "),
         number,
-        F.when(i % 3 == 0, F.concat(F.lit("\nTitle:  Book/"), number, F.lit(" of "), F.col("source"), F.lit(" "))).otherwise(""),
+        F.when(
+            i % 3 == 0,
+            F.concat(F.lit("\nTitle:  Book/"), number, F.lit(" of "), F.col("source"), F.lit(" ")),
+        ).otherwise(""),
         F.lit("\nAuthor: Writer "),
         F.col("lang"),
-        F.when(i % 4 == 0, "\nLanguage: French").when(i % 4 == 1, "\nEnglish is its Language: yes").otherwise("\nLanguage: English"),
+        F.when(i % 4 == 0, "\nLanguage: French")
+        .when(i % 4 == 1, "\nEnglish is its Language: yes")
+        .otherwise("\nLanguage: English"),
         F.lit("\nTitle: too late\n*** START OF THE TEXT ***\n"),
     )
     book = F.concat(head, "text", F.lit("\n*** END OF THE TEXT ***\nAuthor: Someone Else\n"))
@@ -288,8 +293,7 @@ with b as (
          case when doc_id % 3 = 0 then ' Book/' || doc_id || ' of ' || source || ' '
               else 'Draft ' || doc_id end as raw_title,
          'Writer ' || lang as author,
-         case when doc_id % 5 = 0 then replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))
-              else replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) end as body
+         replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) as body
   from documents where doc_id % 4 <> 0)
 select doc_id, trim(raw_title) as title, author,
        replace(trim(raw_title), '/', '') || '%%%' || author || '.txt' as name,
@@ -307,7 +311,8 @@ select doc_id, md5(coalesce(list_aggregate(
 from documents""",
     "charset_filter": f"select path, charset, md5(text) as text_md5 from ({_CHARSETS_SQL})",
     "sanitize_corpus": f"""
-select path, charset, md5(trim(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), {_STRIP})) as text_md5
+select path, charset,
+       md5(trim(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), {_STRIP})) as text_md5
 from ({_CHARSETS_SQL}) where charset <> 'ascii'""",
     "first_per_group": f"""
 with {_MIRROR_SQL},

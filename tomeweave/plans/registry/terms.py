@@ -13,7 +13,11 @@ from tomeweave.plans.registry.tables import documents, sql_list, table
 from tomeweave.sources.workspace import materialise
 
 # A literal stop list over the languages of the corpus, the same on both sides.
-STOP_WORDS = ("the", "of", "and", "to", "in", "that", "is", "le", "la", "les", "de", "et", "der", "die", "und", "el", "que", "en", "los")
+STOP_WORDS = (
+    *("the", "of", "and", "to", "in", "that", "is"),
+    *("le", "la", "les", "de", "et", "en", "que"),
+    *("der", "die", "und", "el", "los"),
+)
 
 _TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')"
 TERM_COUNTS_SQL = f"""
