@@ -26,6 +26,7 @@ from pyspark.ml.feature import (
     StandardScaler,
     StopWordsRemover,
     StringIndexer,
+    StringIndexerModel,
     VectorAssembler,
 )
 from pyspark.ml.functions import vector_to_array
@@ -200,11 +201,11 @@ def train(
     max_iter: int = 100,
 ) -> TextClassifier:
     """Fit features and classifier on labelled texts. Class indices follow label order."""
-    n = train_rows.count()
-    indexer = StringIndexer(inputCol=label, outputCol="label_index", stringOrderType="alphabetAsc")
-    indexed = indexer.fit(train_rows)
+    sizes = {r[0]: r[1] for r in train_rows.groupBy(label).count().collect()}
+    n, labels = sum(sizes.values()), sorted(sizes)
+    indexer = StringIndexerModel.from_labels(labels, inputCol=label, outputCol="label_index")
     features, ready = fit_features(
-        indexed.transform(train_rows), tfidf_stages() if stages is None else stages, text
+        indexer.transform(train_rows), tfidf_stages() if stages is None else stages, text
     )
     # Attribute names of every term in the schema would travel with each task of each step.
     vectors = F.col("features").alias("features", metadata={})
@@ -215,7 +216,7 @@ def train(
         model = classifier(n, strategy, c, penalty, max_iter=max_iter).fit(ready)
     finally:
         ready.unpersist()
-    return TextClassifier(tuple(indexed.labels), features, model)
+    return TextClassifier(tuple(labels), features, model)
 
 
 def fit_features(
