@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import io
+import os
+import zipfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tomeweave.sources.workspace import fresh_path
+
 # The characters that part words in every contract of this package: space, tab to carriage return.
 BLANK = r"[\x20\x09-\x0D]"
 NOT_BLANK = r"[^\x20\x09-\x0D]"
@@ -23,3 +29,31 @@ def word_count(text: Column) -> Column:
     whole = F.concat(F.coalesce(text, F.lit("")), F.lit(" x"))
     one_each = F.regexp_replace(whole, f"{BLANK}*+{NOT_BLANK}++{BLANK}*+", "x")
     return (F.length(one_each) - 1).cast("long")
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, wherever the driver imported it from.
+
+    The archive goes through the shared folder, once per application.
+    """
+    application = spark.sparkContext.applicationId
+    if application in _shipped:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    archive = io.BytesIO()
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(root)))
+    target = f"{fresh_path(spark, 'code')}/{os.path.basename(root)}.zip"
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+    out.write(bytearray(archive.getvalue()))
+    out.close()
+    spark.sparkContext.addPyFile(target)
+    _shipped.add(application)

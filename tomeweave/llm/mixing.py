@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tomeweave.llm.common import table, word_count
+from tomeweave.llm.common import ship, table, word_count
 from tomeweave.sources.workspace import materialise
 
 # Units of one block: bounds the rows of a task's group, not the result.
@@ -134,6 +134,7 @@ def _decide(seed: int, level: int, last: bool):
 
 def balanced_sample(units: DataFrame, seed: int = 0) -> DataFrame:
     """``_unit, _taken`` (0 or 1) for ``_unit, _source, _size, _p``: the cube method per source."""
+    ship(units.sparkSession)
     pending, decided, level = materialise(units, "cube"), [], 0
     while True:
         counts = pending.groupBy("_source").agg(F.count("*").alias("_n"))

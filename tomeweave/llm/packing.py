@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tomeweave.llm.common import table
+from tomeweave.llm.common import ship, table
 
 SCHEMA = "doc_id LONG, start LONG, length LONG, doc_tokens LONG, sequence_id LONG, offset LONG, ids BINARY"
 _ARROW = pa.schema(
@@ -184,6 +184,7 @@ def pack(docs: DataFrame, window: int = 2048, end: int = 1, vocabulary: str | No
 
     ``ids`` holds little-endian unsigned 32-bit token ids. ``sequence_id`` is unique over tasks.
     """
+    ship(docs.sparkSession)
     vocabulary = vocabulary or default_vocabulary()
     mark = np.array([end], "<u4").tobytes()
 
