@@ -2,8 +2,8 @@
 
 Every document of a source has the same expected number of copies r = target / size of its
 source. ``floor(r)`` copies are certain; the fractional rest is an inclusion probability. The
-flight phase moves the probabilities of three units at a time along the null space of two
-constraints, the expected number of documents and of tokens, until one of the three is 0 or 1.
+flight phase moves the probabilities of a few units at a time along the null space of two
+constraints, the expected number of documents and of tokens, until one of them is 0 or 1.
 Units are dealt to blocks of bounded size, whose few undecided units meet again in the next
 round, until one block per source is left. There the last dozen units are the landing problem:
 the subset closest to the expected totals is taken.
@@ -32,6 +32,8 @@ from tomeweave.sources.workspace import materialise
 BLOCK = 1024
 # Undecided units of a source that are settled together at the end.
 LANDING = 12
+# Units whose probabilities move together.
+ACTIVE = 12
 EPS = 1e-9
 
 _STATE = "_unit BINARY, _source STRING, _size LONG, _p DOUBLE, _taken INT"
@@ -68,65 +70,66 @@ def source_targets(
     )
 
 
-def _move(p: list[float], s: list[float], active: list[int], rng: np.random.Generator) -> None:
-    """One step of the flight: at least one of the three units reaches 0 or 1."""
-    a, b, c = active
-    u = (s[b] - s[c], s[c] - s[a], s[a] - s[b])
-    if u == (0.0, 0.0, 0.0):
-        u = (1.0, -1.0, 0.0)
-    up = down = float("inf")
-    for i, d in zip(active, u):
-        if d > 0:
-            up, down = min(up, (1 - p[i]) / d), min(down, p[i] / d)
-        elif d < 0:
-            up, down = min(up, p[i] / -d), min(down, (1 - p[i]) / -d)
-    step = up if rng.random() * (up + down) < down else -down
-    for i, d in zip(active, u):
-        x = p[i] + step * d
-        p[i] = 0.0 if x < EPS else 1.0 if x > 1 - EPS else x
-
-
-def flight(p: list[float], s: list[float], rng: np.random.Generator, keep: int) -> None:
-    """Decide units in place until at most ``max(keep, 2)`` probabilities are fractional."""
-    for i, x in enumerate(p):
-        p[i] = 0.0 if x < EPS else 1.0 if x > 1 - EPS else x
-    todo = [i for i, x in enumerate(p) if 0.0 < x < 1.0]
-    active, at = [], 0
-    while True:
-        active = [i for i in active if 0.0 < p[i] < 1.0]
-        while len(active) < 3 and at < len(todo):
-            active.append(todo[at])
-            at += 1
-        if len(active) < 3 or len(active) + len(todo) - at <= keep:
-            return
-        _move(p, s, active, rng)
-
+def _move(p: np.ndarray, s: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """One step of the flight over active units, largest first: one reaches 0 or 1 at least.
 
-def landing(p: list[float], s: list[float]) -> None:
+    The direction is the largest unit's axis, projected onto the null space of the two
+    constraints; so large units are settled while smaller ones can still make up for them.
+    """
+    n = len(p)
+    off = s - s.mean()
+    spread = off @ off
+    off = off / np.sqrt(spread) if spread > EPS else np.zeros(n)
+    free = 1 - 1 / n - off * off  # squared length of each axis' projection
+    i = int(np.argmax(free > 1e-6))
+    u = -1 / n - off[i] * off
+    u[i] += 1
+    u[np.abs(u) < 1e-12] = 0.0
+    with np.errstate(divide="ignore", invalid="ignore"):
+        up = np.where(u > 0, (1 - p) / u, np.where(u < 0, p / -u, np.inf)).min()
+        down = np.where(u > 0, p / u, np.where(u < 0, (1 - p) / -u, np.inf)).min()
+    p = p + (up if rng.random() * (up + down) < down else -down) * u
+    p[p < EPS] = 0.0
+    p[p > 1 - EPS] = 1.0
+    return p
+
+
+def flight(p: np.ndarray, s: np.ndarray, rng: np.random.Generator, keep: int) -> None:
+    """Decide units in place, in the order given, until at most ``max(keep, 2)`` are fractional."""
+    p[p < EPS] = 0.0
+    p[p > 1 - EPS] = 1.0
+    todo = np.flatnonzero((p > 0) & (p < 1))
+    active, at = todo[:ACTIVE], min(ACTIVE, len(todo))
+    while len(active) + len(todo) - at > max(keep, 2):
+        p[active] = _move(p[active], s[active], rng)
+        active = active[(p[active] > 0) & (p[active] < 1)]
+        more = todo[at : at + ACTIVE - len(active)]
+        active, at = np.concatenate([active, more]), at + len(more)
+
+
+def landing(p: np.ndarray, s: np.ndarray) -> None:
     """Settle the last units: the subset nearest to the expected tokens, then documents."""
-    last = [i for i, x in enumerate(p) if 0.0 < x < 1.0]
-    if not last:
+    last = np.flatnonzero((p > 0) & (p < 1))
+    if not len(last):
         return
     subsets = (np.arange(1 << len(last))[:, None] >> np.arange(len(last))) & 1
-    sizes, q = np.array([s[i] for i in last]), np.array([p[i] for i in last])
-    tokens = np.abs(subsets @ sizes - q @ sizes) / max(sizes.mean(), 1.0)
-    documents = np.abs(subsets.sum(axis=1) - q.sum())
-    for i, x in zip(last, subsets[np.argmin(tokens + 0.01 * documents)]):
-        p[i] = float(x)
+    tokens = np.abs(subsets @ s[last] - p[last] @ s[last]) / max(s[last].mean(), 1.0)
+    documents = np.abs(subsets.sum(axis=1) - p[last].sum())
+    p[last] = subsets[np.argmin(tokens + 0.01 * documents)]
 
 
 def _decide(seed: int, level: int, last: bool):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         # The largest are decided first, so that small ones are left to even out the rest.
         group = group.sort_values(["_size", "_unit"], ascending=[False, True], ignore_index=True)
-        p, s = group["_p"].tolist(), group["_size"].astype(float).tolist()
+        p, s = group["_p"].to_numpy(float, copy=True), group["_size"].to_numpy(float)
         name = f"{seed}|{level}|{group['_source'].iloc[0]}|{group['_block'].iloc[0]}"
         rng = np.random.default_rng(zlib.crc32(name.encode("utf-8", "surrogatepass")))
         flight(p, s, rng, LANDING if last else 2)
         if last:
             landing(p, s)
         group["_p"] = p
-        group["_taken"] = [int(x) if x in (0.0, 1.0) else -1 for x in p]
+        group["_taken"] = np.where((p > 0) & (p < 1), -1, p).astype(np.int32)
         return group[["_unit", "_source", "_size", "_p", "_taken"]]
 
     return run

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from tomeweave.llm import mixing, packing
+from tomeweave.llm import exact_search, mixing, neighbour_tree, packing
 
 QUERIES = {
+    "op1_norm_bucketed_top_k": exact_search.query,
     "op4_mix_to_target_weights": mixing.query,
+    "op8_k_means_tree_neighbours": neighbour_tree.query,
     "op10_sum_of_squares_packing": packing.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_norm_bucketed_top_k": exact_search.SQL,
+}
