@@ -16,6 +16,7 @@ names cannot clash.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,11 @@ _ARROW = pa.schema(
     + [("ids", pa.binary())]
 )
 # Words whose ids a Python worker remembers; beyond it the memory starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 1_200_000
+# Marks that the tokenizer parts from the letters before them.
+MARKS = ".,;:!?%$#&*()"
+# Words that one call of the tokenizer takes; characters whose words are looked up together.
+TOGETHER, CHARACTERS = 1000, 1_000_000
 # Rows of an output batch.
 ROWS = 2000
 # str.split() parts at these too, the tokenizer does not.
@@ -45,42 +50,68 @@ def default_vocabulary() -> str:
 
 
 class Encoder:
-    """Token ids of a text as little-endian unsigned 32-bit integers, remembered word by word.
+    """Token ids of texts as little-endian unsigned 32-bit integers, remembered word by word.
 
     The tokenizer drops blanks and never joins what they part, so a text's ids are those of its
-    blank-separated words in turn.
+    blank-separated words in turn. Words of letters alone, which make up almost all of the new
+    ones, are encoded many at a time and parted again at the tokens that end a word.
     """
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.words: dict[str, bytes] = {}
+        words = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(words.values()) + 1, bool)
+        self.ends[[i for w, i in words.items() if w.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in encoded]
 
-    def __call__(self, text: str) -> bytes:
-        if any(c in text for c in _ODD):
-            return self._encode([text])[0]
-        words = text.split()
-        known = self.words
-        new = [w for w in set(words) if w not in known]
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words that are one run of letters each."""
+        out: list[bytes] = []
+        joined = [" ".join(words[i : i + TOGETHER]) for i in range(0, len(words), TOGETHER)]
+        for ids in self._encode(joined):
+            ends = 4 * (1 + np.flatnonzero(self.ends[np.frombuffer(ids, "<u4")]))
+            starts = [0, *ends[:-1].tolist()]
+            out += [ids[i:j] for i, j in zip(starts, ends.tolist())]
+        return out
+
+    def _learn(self, new: set[str]) -> None:
+        known = self.known
+        # Marks after letters are encoded apart from them; ASCII letters are lower-cased.
+        stems, letters, others = [], set(), []
+        for w in new:
+            s = w.rstrip(MARKS)
+            s = s.lower() if s.isascii() else s
+            if s.isalpha() and (s.isascii() or s.lower().isalpha() and is_normalized("NFC", s)):
+                stems.append((w, s, w[len(s) :]))
+                letters.add(s)
+            else:
+                others.append(w)
+        todo = [s for s in letters if s not in known]
+        known.update(zip(todo, self._letters(todo)))
+        others += [t for t in {t for _, _, t in stems} if t and t not in known]
+        known.update(zip(others, self._encode(others)))
+        known[""] = b""
+        known.update([(w, known[s] + known[t]) for w, s, t in stems])
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        words = [t.split() for t in texts]
+        new = set().union(*words) - self.known.keys()
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known.clear()
+            new = set().union(*words)
         if new:
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = list(set(words))
-            # Letters are lower-cased and a full stop or comma after them is a token of its own.
-            stems = {w: w.lower().rstrip(".,") for w in new}
-            stems = {w: s for w, s in stems.items() if s.isascii() and s.isalpha() and w.isascii()}
-            tails = {w: w[len(s):] for w, s in stems.items()}
-            wanted = {*stems.values(), *tails.values(), *(w for w in new if w not in stems)}
-            wanted = [w for w in wanted if w and w not in known]
-            known.update(zip(wanted, self._encode(wanted)))
-            known[""] = b""
-            known.update((w, known[s] + known[tails[w]]) for w, s in stems.items())
-        return b"".join(map(known.__getitem__, words))
+            self._learn(new)
+        get = self.known.__getitem__
+        return [
+            self._encode([t])[0] if any(c in t for c in _ODD) else b"".join(map(get, w))
+            for t, w in zip(texts, words)
+        ]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -179,6 +210,21 @@ def _rows(sequence: int, pieces: list[tuple]) -> Iterator[tuple]:
         offset += length
 
 
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
+    """Ids and texts, about CHARACTERS at a time."""
+    for batch in batches:
+        docs, texts, size = [], [], 0
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            text = text.as_py() or ""
+            docs.append(doc)
+            texts.append(text)
+            size += len(text)
+            if size >= CHARACTERS:
+                yield docs, texts
+                docs, texts, size = [], [], 0
+        yield docs, texts
+
+
 def pack(docs: DataFrame, window: int = 2048, end: int = 1, vocabulary: str | None = None) -> DataFrame:
     """Pieces of all documents: where each lies in its document and its sequence, and its ids.
 
@@ -201,10 +247,9 @@ def pack(docs: DataFrame, window: int = 2048, end: int = 1, vocabulary: str | No
             rows.clear()
             return out
 
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encode(text.as_py() or "") + mark
-                for pieces in packer.add(doc, ids):
+        for docs_, texts in _groups(batches):
+            for doc, ids in zip(docs_, encode(texts)):
+                for pieces in packer.add(doc, ids + mark):
                     rows.extend(_rows(sequence, pieces))
                     sequence += 1
                 if len(rows) >= ROWS:
