@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from tomeweave.llm import exact_search, mixing, neighbour_tree, packing
+from tomeweave.llm import chat, exact_search, licences, mixing, neighbour_tree, packing
 
 QUERIES = {
     "op1_norm_bucketed_top_k": exact_search.query,
+    "op3_prefix_target_chat": chat.query,
     "op4_mix_to_target_weights": mixing.query,
+    "op7_licence_labels": licences.query,
     "op8_k_means_tree_neighbours": neighbour_tree.query,
     "op10_sum_of_squares_packing": packing.query,
 }
 
 ORACLES: dict[str, str] = {
     "op1_norm_bucketed_top_k": exact_search.SQL,
+    "op3_prefix_target_chat": chat.SQL,
 }
