@@ -15,6 +15,8 @@ names cannot clash.
 
 from __future__ import annotations
 
+import gc
+import re
 from collections.abc import Iterator
 from unicodedata import is_normalized
 
@@ -36,11 +38,13 @@ REMEMBERED = 1_200_000
 # Marks that the tokenizer parts from the letters before them.
 MARKS = ".,;:!?%$#&*()"
 # Words that one call of the tokenizer takes; characters whose words are looked up together.
-TOGETHER, CHARACTERS = 1000, 1_000_000
+TOGETHER, CHARACTERS = 1000, 2_000_000
 # Rows of an output batch.
 ROWS = 2000
-# str.split() parts at these too, the tokenizer does not.
-_ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
+STOP = re.compile(r"(?<=[a-z])([.,])(?=[ \n])")
+# str.split() parts at the first four, the tokenizer does not; the others have lower cases that
+# depend on their neighbours, or begin special tokens.
+_ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "Σ", "<|")
 
 
 def default_vocabulary() -> str:
@@ -82,25 +86,30 @@ class Encoder:
 
     def _learn(self, new: set[str]) -> None:
         known = self.known
-        # Marks after letters are encoded apart from them; ASCII letters are lower-cased.
+        # Marks after letters are encoded apart from them.
         stems, letters, others = [], set(), []
         for w in new:
             s = w.rstrip(MARKS)
-            s = s.lower() if s.isascii() else s
-            if s.isalpha() and (s.isascii() or s.lower().isalpha() and is_normalized("NFC", s)):
-                stems.append((w, s, w[len(s) :]))
+            if s.isalpha():
                 letters.add(s)
+                if len(s) < len(w):
+                    stems.append((w, s, w[len(s) :]))
             else:
                 others.append(w)
         todo = [s for s in letters if s not in known]
         known.update(zip(todo, self._letters(todo)))
         others += [t for t in {t for _, _, t in stems} if t and t not in known]
         known.update(zip(others, self._encode(others)))
-        known[""] = b""
         known.update([(w, known[s] + known[t]) for w, s, t in stems])
 
+    def _plain(self, text: str) -> bool:
+        """Whether lower-casing and parting a text's words here leaves its ids as they are."""
+        return not any(c in text for c in _ODD) and is_normalized("NFC", text)
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        words = [t.split() for t in texts]
+        plain = [self._plain(t) for t in texts]
+        # Stops after a letter are words of their own, so fewer words are new.
+        words = [STOP.sub(r" \1", t.lower()).split() if ok else [] for t, ok in zip(texts, plain)]
         new = set().union(*words) - self.known.keys()
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
@@ -109,8 +118,7 @@ class Encoder:
             self._learn(new)
         get = self.known.__getitem__
         return [
-            self._encode([t])[0] if any(c in t for c in _ODD) else b"".join(map(get, w))
-            for t, w in zip(texts, words)
+            b"".join(map(get, w)) if ok else self._encode([t])[0] for t, w, ok in zip(texts, words, plain)
         ]
 
 
@@ -235,6 +243,8 @@ def pack(docs: DataFrame, window: int = 2048, end: int = 1, vocabulary: str | No
     mark = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Nothing here forms cycles, and the many remembered words are dear to walk through.
+        gc.disable()
         encode, packer = encoder(vocabulary), Packer(window)
         sequence = TaskContext.get().partitionId() << 33
         rows: list[tuple] = []
@@ -257,6 +267,7 @@ def pack(docs: DataFrame, window: int = 2048, end: int = 1, vocabulary: str | No
         for pieces in packer.close():
             rows.extend(_rows(sequence, pieces))
             sequence += 1
+        gc.enable()
         yield flush()
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
