@@ -57,3 +57,8 @@ def ship(spark: SparkSession) -> None:
     out.close()
     spark.sparkContext.addPyFile(target)
     _shipped.add(application)
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """A stored table, to be broadcast if it has no more than so many rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("merge")

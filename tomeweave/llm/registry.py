@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
-from tomeweave.llm import chat, exact_search, licences, mixing, neighbour_tree, packing
+from tomeweave.llm import (
+    chat,
+    exact_search,
+    licences,
+    line_dedup,
+    mixing,
+    neighbour_tree,
+    packing,
+    secrets,
+    toxicity,
+)
 
 QUERIES = {
     "op1_norm_bucketed_top_k": exact_search.query,
+    "op2_ordinal_toxicity": toxicity.query,
     "op3_prefix_target_chat": chat.query,
     "op4_mix_to_target_weights": mixing.query,
+    "op6_decoded_layer_secrets": secrets.query,
     "op7_licence_labels": licences.query,
     "op8_k_means_tree_neighbours": neighbour_tree.query,
+    "op9_segment_line_dedup": line_dedup.query,
     "op10_sum_of_squares_packing": packing.query,
 }
 
