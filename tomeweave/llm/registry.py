@@ -11,6 +11,7 @@ from tomeweave.llm import (
     neighbour_tree,
     packing,
     secrets,
+    shingle_join,
     toxicity,
 )
 
@@ -19,6 +20,7 @@ QUERIES = {
     "op2_ordinal_toxicity": toxicity.query,
     "op3_prefix_target_chat": chat.query,
     "op4_mix_to_target_weights": mixing.query,
+    "op5_count_tree_jaccard": shingle_join.query,
     "op6_decoded_layer_secrets": secrets.query,
     "op7_licence_labels": licences.query,
     "op8_k_means_tree_neighbours": neighbour_tree.query,
@@ -29,4 +31,5 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op1_norm_bucketed_top_k": exact_search.SQL,
     "op3_prefix_target_chat": chat.SQL,
+    "op5_count_tree_jaccard": shingle_join.SQL,
 }
