@@ -1,8 +1,8 @@
 r"""Licence scan by a positional index of rare words.
 
-The words of short licence templates are indexed by position. Of a file, only its licence words of
-the highest inverse document frequency (counted over all documents) are looked up. Each occurrence
-votes, through the postings, for the place where a template would have to start; a template is
+The words of short licence templates are indexed by position, of each template only those of the
+highest inverse document frequency, counted over all documents. A file's words that are among them
+are looked up. Each occurrence votes, through the postings, for the place where a template would have to start; a template is
 found where at least two of those words agree on that place and the template's mandatory key
 phrase stands at its relative position.
 
@@ -11,7 +11,7 @@ Words are runs of digits, letters a-z (A-Z lower-cased) and everything beyond AS
 
 Defined results: NULL and empty texts have no words and no labels. A row's labels come from its
 own text, so repeated rows give equal rows, and rows that share an id do not mix. Overlapping
-places all count. Of equal frequencies the alphabetically first word is looked up. An empty table
+places all count. Of equal frequencies the alphabetically first word is indexed. An empty table
 gives no rows. Other columns are not read.
 """
 
@@ -53,8 +53,8 @@ TEMPLATES = (
     ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software released into the public domain"),
 )
 
-# How many of a file's licence words are looked up, and how many must agree on a place.
-LOOKED_UP, AGREE = 12, 2
+# How many words of a template are indexed, and how many must agree on a place.
+INDEXED, AGREE = 4, 2
 
 
 def normal(text: Column) -> Column:
@@ -94,8 +94,8 @@ def _label_of(part: Column, phrases: Mapping[str, str]) -> Column:
 def scan(docs: DataFrame, templates=TEMPLATES, phrases: Mapping[str, str] = PHRASES) -> DataFrame:
     """One row per document: word count, places of the phrases, and labels with a score.
 
-    ``score`` is 1 where a phrase stands, else the best share of a template's looked-up words
-    that agree on its place.
+    ``score`` is 1 where a phrase stands, else the best share of a template's indexed places that
+    agree on its start.
     """
     spark = docs.sparkSession
     vocabulary = sorted({w for _, t, _ in templates for w in t.split()})
@@ -104,9 +104,10 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases: Mapping[str, str] = PHRA
 
     held = texts.select(F.explode(F.array_intersect(F.split(lowered(F.col("words")), " "), known)).alias("word"))
     frequency = {r["word"]: r["count"] for r in held.groupBy("word").count().collect()}
-    # Rarest first; of a word that no document holds it does not matter.
-    order = sorted(vocabulary, key=lambda w: (frequency.get(w, 0), w))
-    by_rarity = F.array(*map(F.lit, order))
+    rarest = [
+        sorted(set(t.split()), key=lambda w: (frequency.get(w, 0), w))[:INDEXED] for _, t, _ in templates
+    ]
+    indexed = F.array(*map(F.lit, sorted({w for words in rarest for w in words})))
 
     keys = sorted({key for _, _, key in templates})
     parts = _starting_at(F.col("words"), phrases)
@@ -124,8 +125,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases: Mapping[str, str] = PHRA
             F.when(mentions(keys), key_parts).alias("key_parts"),
             F.split(F.trim(lowered(F.col("words"))), " ").alias("low"),
         )
-        # Their order by rarity is kept.
-        .withColumn("rare", F.slice(F.array_intersect(by_rarity, "low"), 1, LOOKED_UP))
+        .withColumn("rare", F.array_intersect(indexed, "low"))
         .select(
             "doc_id",
             "h",
@@ -139,7 +139,6 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases: Mapping[str, str] = PHRA
             F.transform(
                 "key_parts", lambda p: F.struct(counted(p).alias("n"), _label_of(p, {k: k for k in keys}).alias("keys"))
             ).alias("key_parts"),
-            "rare",
             F.when(
                 F.size("rare") >= AGREE,
                 F.filter(
@@ -152,11 +151,14 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases: Mapping[str, str] = PHRA
     )
 
     postings = [
-        (w, number, at) for number, (_, t, _) in enumerate(templates) for at, w in enumerate(t.split())
+        (w, number, at)
+        for number, (_, t, _) in enumerate(templates)
+        for at, w in enumerate(t.split())
+        if w in rarest[number]
     ]
     index = F.broadcast(_literal(spark, postings, "word", "template", "at"))
     votes = (
-        rows.select("doc_id", "h", "rare", F.explode("found").alias("f"))
+        rows.select("doc_id", "h", F.explode("found").alias("f"))
         .join(index.alias("i"), F.col("f.word") == F.col("i.word"))
         .select(
             "doc_id", "h", "template", (F.col("f.at") - F.col("i.at")).alias("start"),
@@ -186,7 +188,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases: Mapping[str, str] = PHRA
         .join(F.broadcast(key_rows), "key")
         .select("doc_id", "h", "template", (F.col("word_at") - F.col("at")).cast("int").alias("start"))
     )
-    lengths = F.array(*[F.lit(len(t.split())) for _, t, _ in templates])
+    places = F.array(*[F.lit(sum(n == number for _, n, _ in postings)) for number in range(len(templates))])
     labels = F.array(*[F.lit(label) for label, _, _ in templates])
     ballots = votes.select("*", F.lit(False).alias("key")).unionByName(
         verified.select("*", F.lit(0).cast("long").alias("agrees"), F.lit(True).alias("key"))
@@ -197,7 +199,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases: Mapping[str, str] = PHRA
         .where(F.col("verified") & (F.col("agree") >= AGREE))
         .select(
             "doc_id", "h", F.get(labels, F.col("template")).alias("label"),
-            F.least(F.lit(1.0), F.col("agree") / F.least(F.get(lengths, F.col("template")), F.lit(LOOKED_UP))).alias("share"),
+            (F.col("agree") / F.get(places, F.col("template"))).alias("share"),
         )
         .groupBy("doc_id", "h")
         .agg(F.collect_set("label").alias("extra"), F.max("share").alias("share"))
