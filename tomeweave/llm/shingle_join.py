@@ -334,6 +334,8 @@ def _meeting(dealt: DataFrame, meet: DataFrame, run, schema: str) -> DataFrame:
     key = ["tree", "left", "right"]
     left = dealt.join(meet.withColumnRenamed("left", "block"), ["tree", "block"]).withColumnRenamed("block", "left")
     right = dealt.join(meet.withColumnRenamed("right", "block"), ["tree", "block"]).withColumnRenamed("block", "right")
+    # Both sides come from one table; the second gets columns of its own.
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])
 
     def both(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         return run(a.sort_values("sig", ignore_index=True), b.sort_values("sig", ignore_index=True))
