@@ -6,10 +6,12 @@ halves under n, and probes, for length n - 1, the substrings where a half would
 character been added. Candidates are verified by a banded bit-parallel edit distance: one bit for
 each diagonal of the band, one register for each number of edits.
 
-A half that many lines share would make a pair of any two of them. Such lines are told apart by
-halving the other half again: the index is then on all but a quarter of the line, and so on, until
-groups are small or the open window is one character wide. There equal signatures are links by
-themselves, found by equality on that character, so no group of any size is ever paired out.
+A half that many lines share would make a pair of any two of them, and long halves are slow to
+verify. So the lines that share a half are told apart by parting the other half again: the index
+is then on all of the line but one small window, and so on, until groups are small and windows
+short; only the window is left to verify. Where groups stay large down to a window of a single
+character, equal signatures are links by themselves, found by equality on that character, so no
+group of any size is ever paired out.
 
 Links join into classes; the first line of a class, by document id and place, stays, the others
 are taken out of their documents. Lines below ``least`` characters are left alone.
@@ -31,6 +33,8 @@ from tomeweave.sources.workspace import materialise
 
 # Characters from which a line counts, and lines of a signature that are still paired.
 LEAST, MANY = 20, 32
+# Characters of a window that is verified, and how often a window is halved from round to round.
+OPEN, HALVINGS = 64, 3
 # Rows up to which a stored table of narrow rows is broadcast.
 SMALL = 500_000
 
@@ -115,18 +119,18 @@ def line_links(docs: DataFrame, least: int = LEAST, many: int = MANY) -> DataFra
     level, edges, lines = 1, [], None
     while True:
         sigs = materialise(_shared(_signatures(rows, level)), f"line-signatures-{level}")
-        crowded = F.col("n") > many
+        few, short, single = F.col("n") <= many, F.col("open") <= OPEN, F.col("open") == 1
         if lines is None:
             lines = _lines_of(docs, sigs, least)
-        edges.append(_paired(sigs.where(~crowded), lines))
-        hot = sigs.where(crowded)
-        if hot.isEmpty():
+        edges.append(_paired(sigs.where(few & short), lines))
+        edges.append(_settled(sigs.where(~few & single), lines))
+        deeper = sigs.where(~(few & short) & ~single)
+        if deeper.isEmpty():
             break
-        # One open character: equality on it settles the rest.
-        edges.append(_settled(hot.where("open = 1"), lines))
-        deeper = hot.where("open > 1").select("h", "probe", F.explode(F.array(F.col("w") * 2, F.col("w") * 2 + 1)).alias("w"))
-        rows = lines.join(deeper.distinct(), "h").select("h", "line", "probe", "w")
-        level += 1
+        parts = F.transform(F.sequence(F.lit(0), F.lit((1 << HALVINGS) - 1)), lambda i: F.col("w") * (1 << HALVINGS) + i)
+        deeper = deeper.select("h", "probe", F.explode(parts).alias("w")).distinct()
+        rows = lines.join(deeper, "h").select("h", "line", "probe", "w")
+        level += HALVINGS
     links = edges[0]
     for more in edges[1:]:
         links = links.unionByName(more)
@@ -154,14 +158,19 @@ def _lines_of(docs: DataFrame, sigs: DataFrame, least: int) -> DataFrame:
 
 def _paired(sigs: DataFrame, lines: DataFrame) -> DataFrame:
     """Verified links between an indexed line and another of its signature, indexed or probing."""
-    a = sigs.where("NOT probe").select("sig", F.col("h").alias("a"))
-    b = sigs.select("sig", F.col("h").alias("b"), "probe")
-    pairs = a.join(b, "sig").where("a <> b AND (probe OR a < b)").select("a", "b").distinct()
-    texts = pairs.join(lines.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(
-        lines.select(F.col("h").alias("b"), F.col("line").alias("y")), "b"
+    # All but the window is equal: only that is compared, a character more where it is a probe's.
+    size = F.col("open") + F.col("probe").cast("int")
+    opened = sigs.join(lines, "h").select(
+        "sig", "h", "probe", F.split(F.substring("line", F.col("low") + 1, size), "").alias("letters")
     )
-    letters = texts.select("a", "b", F.split("x", "").alias("x"), F.split("y", "").alias("y"))
-    return materialise(letters.where(within(F.col("x"), F.col("y"), 1)).select("a", "b"), "line-links")
+    opened = materialise(opened, "line-windows")
+    a = opened.where("NOT probe").select("sig", F.col("h").alias("a"), F.col("letters").alias("x"))
+    b = opened.select("sig", F.col("h").alias("b"), F.col("letters").alias("y"), "probe")
+    pairs = a.join(b, "sig").where("a <> b AND (probe OR a < b)").select("a", "b", "x", "y")
+    # The work is in the comparison: small data, but not for one task.
+    tasks = 4 * sigs.sparkSession.sparkContext.defaultParallelism
+    near = pairs.repartition(tasks, "a", "b").where(within(F.col("x"), F.col("y"), 1))
+    return materialise(near.select("a", "b").distinct(), "line-links")
 
 
 def _settled(sigs: DataFrame, lines: DataFrame) -> DataFrame:
