@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ def binaries(rows: np.ndarray) -> list[bytes]:
 
 def _dense(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows padded with zeros to ``dims``, and which of them are whole and finite."""
-    lengths = np.array([-1 if n is None else n for n in pa.compute.list_value_length(column).to_pylist()], int)
+    lengths = np.array([-1 if n is None else n for n in pc.list_value_length(column).to_pylist()], int)
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)  # NULL becomes NaN
     rows, ok = np.zeros((len(lengths), dims)), lengths >= 0
     if ok.all() and (lengths == dims).all():
