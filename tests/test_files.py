@@ -102,10 +102,11 @@ def test_ensure_append_upsert_write(spark, tmp_path):
     sinks.write_upsert(old, new, ["k"], str(tmp_path / "v2"))
     assert [tuple(r) for r in files.read_catalog(spark, str(tmp_path / "v2")).collect()] == [("a", 2)]
     texts = spark.createDataFrame(
-        [("t", "a", "x", 1, "first"), ("t", "a", "x", 2, "last")], "title string, author string, label string, i int, text string"
+        [("n", "x", 1, "first"), ("n", "x", 2, "last"), ("n", "x", 2, "last"), (None, "x", 1, "nameless")],
+        "name string, label string, i int, text string",
     )
     sinks.write_texts(texts, str(tmp_path / "texts"), [F.col("i")])
-    assert [r["text"] for r in spark.read.parquet(str(tmp_path / "texts")).collect()] == ["last"]
+    assert sorted(r["text"] for r in spark.read.parquet(str(tmp_path / "texts")).collect()) == ["last", "nameless"]
     proba = spark.createDataFrame([(1, "x", 0.5)], "k int, label string, probability double")
     sinks.write_probabilities(proba, str(tmp_path / "p"), "json")
     assert spark.read.json(str(tmp_path / "p")).count() == 1
@@ -187,7 +188,10 @@ def test_shared_folder_is_the_configured_one(spark):
     assert workspace.materialise(spark.range(3), "ids").count() == 3
 
 
-def test_spread_leaves_wide_inputs_alone(spark):
-    wide = spark.range(0, 100, 1, 16)
-    assert workspace.spread(wide, "id") is wide
-    assert workspace.spread(spark.range(0, 100, 1, 1), "id").rdd.getNumPartitions() == 4
+def test_spread_is_the_sessions_choice(spark):
+    rows = spark.range(0, 100, 1, 1)
+    assert workspace.spread(rows, "id").rdd.getNumPartitions() == 4
+    chosen = spark.conf.get(workspace.SPREAD)
+    spark.conf.unset(workspace.SPREAD)
+    assert workspace.spread(rows, "id") is rows
+    spark.conf.set(workspace.SPREAD, chosen)

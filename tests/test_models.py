@@ -117,11 +117,39 @@ def test_grid_search_covers_every_combination(docs):
     assert max(best.avgMetrics) == results.agg(F.max("accuracy")).first()[0]
 
 
+def test_grid_search_over_block_weights(docs):
+    _, results = linear.grid_search(
+        docs, "doc_id", vocab_sizes=(20,), weights=((1.0, 0.75), None), costs=(1.0,), penalties=("l2",), folds=2, max_iter=3
+    )
+    got = {(r["tfidf_weight"], r["stats_weight"]) for r in results.collect()}
+    assert got == {(1.0, 0.75), (None, None)}
+
+
+def test_vocabulary_is_whole_and_does_not_depend_on_partitions(spark, monkeypatch):
+    rows = [(i, f"tie{i % 40} tie{(i + 1) % 40} w{i}") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    found = [
+        next(s.vocabulary for s in Pipeline(stages=linear.tfidf_stages(vocab_size=size)).fit(df.repartition(n)).stages if hasattr(s, "vocabulary"))
+        for size, n in ((25, 1), (25, 7), (None, 3))
+    ]
+    assert found[0] == found[1] == sorted(f"tie{i}" for i in range(40))[:25]
+    assert len(found[2]) == 240
+    monkeypatch.setattr(stages, "MOST_TERMS", 10)
+    with pytest.raises(ValueError, match="240 terms"):
+        Pipeline(stages=linear.tfidf_stages()).fit(df)
+
+
+def test_split_keeps_rows_without_a_key(spark):
+    df = spark.createDataFrame([(1,), (None,), (2,)], "k int")
+    train, test = split_by_hash(df, "k")
+    assert train.count() + test.count() == 3 and train.filter("k is null").count() == 1
+
+
 def test_predictions_fill_the_catalog(spark, docs):
-    model = linear.train(docs, max_iter=10)
+    scored = linear.train(docs, max_iter=10).score(docs)
+    predictions = scored.select(F.col("doc_id").cast("string").alias("isbn"), "prediction")
     catalog = spark.createDataFrame([("0", None), ("999", "old"), ("998", None)], "isbn string, genres_predicted string")
-    texts = docs.select(F.col("doc_id").cast("string").alias("isbn"), "text")
-    got = {r["isbn"]: r["genres_predicted"] for r in linear.predict_into_catalog(model, catalog, texts).collect()}
+    got = {r["isbn"]: r["genres_predicted"] for r in linear.predict_into_catalog(predictions, catalog).collect()}
     assert got["999"] == "old" and got["998"] is None and got["0"] in WORDS
 
 
@@ -130,5 +158,6 @@ def test_mllib_bayes_agrees_with_the_relational_one(spark, small):
 
     a = models.nb_mllib(spark, small).withColumnRenamed("prediction", "mllib")
     both = a.join(models.nb_predict(spark, small), ["doc_id", "label"])
+    assert both.count() > 0
     # The smoothed prior may tip a close call.
     assert both.filter("mllib <> prediction").count() <= 0.05 * both.count()

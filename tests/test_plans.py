@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import contextlib
 import io
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from tomeweave.operators import bayes, catalog, groups, labels, profile, terms
+from tomeweave.operators import bayes, catalog, groups, labels, profile, stem, terms
+from tomeweave.sources import workspace
 
 
 def plan(df):
@@ -47,17 +49,32 @@ def test_columns_and_filters_reach_the_scan(spark, small):
     assert "ReadSchema: struct<o_orderkey:bigint,o_orderstatus:string>" in out.getvalue()
 
 
-def test_only_fixed_rules_are_broadcast_by_hint(spark, small, no_broadcast):
+def test_only_fixed_rules_are_broadcast_by_hint(spark, small, no_broadcast, monkeypatch):
     tags = scan(spark, small, "events").select(
         F.col("user_id").alias("entity"), F.col("event_type").alias("label"), F.lit(1).alias("weight")
     )
     text = plan(labels.consolidate(tags))
     assert text.count("BroadcastExchange") == 1 and text.count("Exchange hashpartitioning") == 1
     counts = terms.term_counts(scan(spark, small, "documents"), ["doc_id"])
+    monkeypatch.setattr(workspace, "FEW", 0)
     weighted = plan(terms.tfidf(counts, terms.inverse_document_frequency(counts, scan(spark, small, "documents")), "doc_id"))
     assert "BroadcastExchange" not in weighted and "SortMergeJoin" in weighted
 
 
+def test_exploded_tokens_are_never_built_into_a_table(spark, small):
+    """Spark takes an exploded array for as small as its scan; the stored side is marked instead."""
+    docs = scan(spark, small, "documents").select("doc_id", "text", F.col("lang").alias("label"))
+    counts = terms.term_counts(docs, ["doc_id"])
+    model = bayes.fit(terms.term_counts(docs, ["label"]), docs)
+    for df in (
+        terms.tfidf(counts, terms.inverse_document_frequency(counts, docs), "doc_id"),
+        bayes.score(model, counts, docs, "doc_id"),
+        stem.stemmed_counts(counts, "doc_id"),
+    ):
+        text = plan(df)
+        assert "BroadcastHashJoin" in text and not re.search(r"\[term[^\n]*Inner, BuildLeft", text)
+
+
 def test_ranking_keeps_few_rows_per_task(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("g"), F.col("id").alias("v"))
     text = plan(groups.top_n_per_group(df, ["g"], [F.desc("v")], 10))
@@ -71,8 +88,9 @@ def test_first_of_a_group_is_chosen_by_partial_aggregates(spark):
 
 
 @pytest.fixture
-def tiny_partitions(spark, no_broadcast):
-    """Sizes at which a few thousand rows count as skewed."""
+def tiny_partitions(spark, no_broadcast, monkeypatch):
+    """Sizes at which a few thousand rows count as skewed, and no stored table as small."""
+    monkeypatch.setattr(workspace, "FEW", 0)
     names = {
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",

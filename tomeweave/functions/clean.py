@@ -37,7 +37,8 @@ def usable_charset(charset: Column, allowed: Sequence[str] = USABLE_CHARSETS) ->
 
 def _line_holding(markers: Sequence[str], whole: bool) -> str:
     any_marker = "|".join(re.escape(m) for m in markers)
-    return rf"(?m)^(?:{any_marker})" + (r"[^\n]*(?:\n|\z)" if whole else "")
+    # Only LF ends a line: NEL and the Unicode separators occur inside texts.
+    return rf"(?md)^(?:{any_marker})" + (r"[^\n]*(?:\n|\z)" if whole else "")
 
 
 def strip_boilerplate(
@@ -70,6 +71,6 @@ def header_of(raw: Column) -> Column:
 
 def header_field(header: Column, field: str) -> Column:
     """Value on the last header line holding ``field:``, every ``"field: "`` removed."""
-    lines = F.regexp_extract_all(header, F.lit(rf"(?m)^.*{field}:.*$"), F.lit(0))
+    lines = F.regexp_extract_all(header, F.lit(rf"[^\n]*{field}:[^\n]*"), F.lit(0))
     last = F.try_element_at(lines, F.lit(-1))
     return F.coalesce(strip(F.replace(last, F.lit(f"{field}: "), F.lit(""))), F.lit(""))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tomeweave.functions.text import let
-from tomeweave.sources.workspace import materialise
+from tomeweave.sources.workspace import broadcast_if_few, materialise
 
 
 @dataclass(frozen=True)
@@ -71,7 +71,8 @@ def score(
     Terms outside the vocabulary are dropped; a document without known terms keeps the prior.
     """
     classes = range(len(model.labels))
-    known = counts.select(key, "term", F.col(weight).alias("_w")).join(model.terms, "term")
+    terms = broadcast_if_few(model.terms)
+    known = counts.select(key, "term", F.col(weight).alias("_w")).join(terms, "term")
     sums = known.groupBy(key).agg(
         F.sum("_w").alias("_len"),
         *[F.sum(F.col("_w") * model.log_weight(i)).alias(f"_s{i}") for i in classes],

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tomeweave.functions.names import rebase_path, status_of_name, strip_prefix
@@ -116,19 +116,45 @@ def combine(
     return keep_first(both, list(key), [F.col("_origin"), *rest]).drop("_origin")
 
 
-def upsert(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
-    """``old`` with the rows of ``new`` put in place of, or added to, those of the same key."""
-    return old.join(new.select(*key), list(key), "left_anti").unionByName(new)
+def upsert(
+    old: DataFrame, new: DataFrame, key: Sequence[str], order: Sequence[Column] = ()
+) -> DataFrame:
+    """``old`` with the rows of ``new`` put in place of, or added to, those of the same key.
+
+    Of several new rows of one key the last by ``order`` counts, equal ones by their other
+    columns. NULL keys are keys like any other.
+    """
+    rest = [F.col(c) for c in new.columns if c not in key and _orderable(new, c)]
+    single = last_per_key(new, key, [*order, *rest])
+    same = [F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}")) for c in key]
+    return old.alias("o").join(single.select(*key).alias("n"), same, "left_anti").unionByName(single)
+
+
+def _orderable(rows: DataFrame, column: str) -> bool:
+    return "map<" not in rows.schema[column].dataType.simpleString()
 
 
 def last_per_key(rows: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """The last writer per key, as when a later file overwrites an earlier one."""
-    rest = [c for c in rows.columns if c not in key]
-    last = F.max_by(
-        F.struct(*[F.col(c) for c in rest]),
-        F.struct(*[c.alias(f"_o{i}") for i, c in enumerate(order)]),
+    """The last writer per key, as when a later file overwrites an earlier one.
+
+    The winner is chosen by key and order alone; the rows, whole texts perhaps, are shuffled once
+    and never sorted. Of rows equal in both a hash of the row decides, of equal rows one stays.
+    """
+    comparable = [F.col(c) for c in rows.columns if _orderable(rows, c)]
+    place = F.struct(*[c.alias(f"_o{i}") for i, c in enumerate(order)], F.xxhash64(*comparable).alias("_h"))
+    placed = rows.withColumn("_place", place)
+    best = placed.groupBy(*key).agg(F.max("_place").alias("_best"))
+    placed = placed.alias("r")
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"w.{c}")) for c in key]
+    found = placed.join(best.hint("shuffle_hash").alias("w"), same).where(
+        F.col("_place").eqNullSafe(F.col("_best"))
+    )
+    number = F.row_number().over(Window.partitionBy(*[F.col(f"r.{c}") for c in key]).orderBy(F.lit(0)))
+    return (
+        found.select("r.*", number.alias("_number"))
+        .where("_number = 1")
+        .select(*rows.columns)
     )
-    return rows.groupBy(*key).agg(last.alias("_last")).select(*key, "_last.*").select(*rows.columns)
 
 
 def reset_status(ledger: DataFrame, status: str, column: str = "status") -> DataFrame:

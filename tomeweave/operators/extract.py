@@ -20,20 +20,23 @@ def _named_counts(
     name_of: Callable[[Column], Column],
     is_count: Callable[[Column], Column],
     count_of: Callable[[Column], Column],
+    on_name_line: bool = False,
 ) -> Column:
     """``array<struct<label, pos, n>>``: each name line with the last count line below it.
 
+    ``on_name_line`` lets the name's own line be a count line as well.
+
     Cutting the section before every name line carries the name forward without a window.
     A name without a count gets 0; of a repeated name the last place stays; counts that
     precede every name are dropped.
     """
     marker = re.escape(name_line)
     chunks = F.filter(
-        F.split(section, rf"(?m)^(?=[^\n]*{marker})"), lambda c: F.contains(c, F.lit(name_line))
+        F.split(section, rf"(?md)^(?=[^\n]*{marker})"), lambda c: F.contains(c, F.lit(name_line))
     )
 
     def entry(chunk: Column, pos: Column) -> Column:
-        counts = F.filter(F.slice(F.split(chunk, "\n"), 2, F.length(chunk)), is_count)
+        counts = F.filter(F.slice(F.split(chunk, "\n"), 1 if on_name_line else 2, F.length(chunk)), is_count)
         n = let(
             counts,
             lambda cs: F.when(F.size(cs) > 0, count_of(F.element_at(cs, -1))).otherwise(
@@ -67,6 +70,7 @@ def tag_counts(pages: DataFrame, keep: Sequence[str], html: str = "html") -> Dat
         lambda line: between(line, vocab.TAG_NAME_BEFORE, vocab.TAG_NAME_AFTER),
         lambda line: F.contains(line, F.lit(vocab.TAG_COUNT_LINE)),
         lambda line: F.regexp_extract(line, r'^[^"]*"([^ ]*) ', 1).try_cast("bigint"),
+        on_name_line=True,
     )
     return pages.select(*keep, F.inline(found))
 

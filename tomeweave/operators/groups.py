@@ -47,19 +47,17 @@ def top_n_per_group(
 ) -> DataFrame:
     """The first ``n`` rows per group in ``order``, numbered from 1.
 
-    Spark keeps only ``n`` rows per group and task before the shuffle as long as ``n`` is
-    within the limit it sets for that; beyond it a salted round does the same.
+    A salted round first cuts each group to ``n`` rows per salt, so a group that holds a third of
+    the table is ranked in many tasks.
     """
-    limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
-    if n > limit:
-        salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(_SALTS))
-        salted = Window.partitionBy(*group, "_salt").orderBy(*order)
-        df = (
-            df.withColumn("_salt", salt)
-            .withColumn("_rn", F.row_number().over(salted))
-            .filter(F.col("_rn") <= n)
-            .drop("_salt", "_rn")
-        )
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(_SALTS))
+    salted = Window.partitionBy(*group, "_salt").orderBy(*order)
+    df = (
+        df.withColumn("_salt", salt)
+        .withColumn("_rn", F.row_number().over(salted))
+        .filter(F.col("_rn") <= n)
+        .drop("_salt", "_rn")
+    )
     ranked = df.withColumn(rank, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
     return ranked.filter(F.col(rank) <= n).withColumn(rank, F.col(rank).cast("bigint"))
 

@@ -56,11 +56,14 @@ def consolidate(
 ) -> DataFrame:
     """``entity, gtype, mapped``: the entity's type and a map target -> greatest weight.
 
-    The rule table is the broadcast side (its size is that of a literal list). Everything else
-    is one aggregation per entity over a fixed number of maxima, reduced before the shuffle.
+    The default rules, a short fixed list, are broadcast; a caller's are joined as Spark sees fit.
+    Everything else is one aggregation per entity over a fixed number of maxima, reduced before
+    the shuffle.
     """
-    rules = default_rules() if rules is None else list(rules)
-    wanted = F.broadcast(rule_table(tags.sparkSession, rules))
+    given = rules is not None
+    rules = list(rules) if given else default_rules()
+    wanted = rule_table(tags.sparkSession, rules)
+    wanted = wanted if given else F.broadcast(wanted)
     rows = tags.select(
         F.col(entity), F.col(label).alias("label"), F.col(weight).alias("_weight")
     ).join(wanted, "label", "left")

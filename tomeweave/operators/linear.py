@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (
     LogisticRegression,
@@ -17,7 +16,6 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import (
-    CountVectorizer,
     CountVectorizerModel,
     NGram,
     Normalizer,
@@ -30,30 +28,28 @@ from pyspark.ml.feature import (
     VectorAssembler,
 )
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tomeweave.functions.text import WORD, hash_bucket, let
-from tomeweave.operators.stages import STATS_COLUMNS, BlockWeight, DocumentStats, SmoothedIdf
+from tomeweave.operators.stages import STATS_COLUMNS, BlockWeight, DocumentStats, SmoothedIdf, TermVocabulary
 from tomeweave.sources.workspace import materialise
 
-# Every step of the fit is one job; more tasks than this much data needs only add latency.
-ROWS_PER_TASK = 10000
-
-# The coefficients of a linear model live on the driver, one per class and term.
-VOCABULARY = 1 << 18
-
-
 def tfidf_stages(
     text: str = "text",
     output: str = "features",
-    vocab_size: int = VOCABULARY,
+    vocab_size: int | None = None,
     ngram: int = 1,
     analyzer: str = "word",
     stop_words: Sequence[str] = (),
 ) -> list:
-    """Tokens -> counts -> idf -> unit length, as pipeline stages."""
+    """Tokens -> counts -> idf -> unit length, as pipeline stages.
+
+    All terms count unless ``vocab_size`` names a number of the most frequent.
+    """
     if analyzer == "char":
         flat = rf"regexp_replace(lower(`{text}`), r'\s\s+', ' ')"
         grams = rf"regexp_extract_all({flat}, r'(?s)(?=(.{{{ngram}}})).', 1)"
@@ -72,7 +68,7 @@ def tfidf_stages(
             column = "grams"
     return [
         *stages,
-        CountVectorizer(inputCol=column, outputCol="counts", vocabSize=vocab_size),
+        TermVocabulary(inputCol=column, outputCol="counts", vocabSize=vocab_size or 0),
         SmoothedIdf(inputCol="counts", outputCol="weighted"),
         Normalizer(inputCol="weighted", outputCol=output, p=2.0),
     ]
@@ -165,20 +161,17 @@ class TextClassifier:
         )
 
     def coefficients(self, spark) -> DataFrame:
-        """``label, term, weight`` rows. As large as the model, which the driver holds anyway."""
+        """``label, term, weight`` rows, laid out by the executors from one vector per label."""
         if isinstance(self.model, LogisticRegressionModel):
             matrix = self.model.coefficientMatrix.toArray()
         else:
-            matrix = np.vstack([m.coefficients.toArray() for m in self.model.models])
-        terms = self.feature_names()
-        frame = pd.DataFrame(
-            {
-                "label": np.repeat(np.array(self.labels[: len(matrix)], dtype=object), len(terms)),
-                "term": np.tile(np.array(terms, dtype=object), len(matrix)),
-                "weight": matrix.ravel(),
-            }
-        )
-        return spark.createDataFrame(frame, "label STRING, term STRING, weight DOUBLE")
+            matrix = [m.coefficients for m in self.model.models]
+        rows = [(label, Vectors.dense(v)) for label, v in zip(self.labels, matrix)]
+        vectors = spark.createDataFrame(rows, StructType().add("label", "string").add("v", VectorUDT()))
+        weights = vectors.select("label", F.posexplode(vector_to_array("v")).alias("at", "weight"))
+        names = spark.createDataFrame([(self.feature_names(),)], "names ARRAY<STRING>")
+        terms = names.select(F.posexplode("names").alias("at", "term"))
+        return weights.join(terms, "at").select("label", "term", "weight")
 
     def feature_names(self) -> list[str]:
         names: list[str] = []
@@ -210,8 +203,7 @@ def train(
     # Attribute names of every term in the schema would travel with each task of each step.
     vectors = F.col("features").alias("features", metadata={})
     index = F.col("label_index").alias("label_index", metadata={})
-    ready = materialise(ready.select(vectors, index), "features")
-    ready = ready.coalesce(max(1, -(-n // ROWS_PER_TASK))).persist()
+    ready = materialise(ready.select(vectors, index), "features").persist()
     try:
         model = classifier(n, strategy, c, penalty, max_iter=max_iter).fit(ready)
     finally:
@@ -252,18 +244,22 @@ def grid_search(
     rows: DataFrame,
     key: str,
     label: str = "label",
+    text: str = "text",
     vocab_sizes: Sequence[int] = (5000, 10000, 25000, 50000),
     ngrams: Sequence[int] = (1,),
+    weights: Sequence[tuple[float, float] | None] = (None,),
     costs: Sequence[float] = (0.1, 1.0, 10.0),
     penalties: Sequence[str] = ("l1", "l2"),
     analyzer: str = "word",
     folds: int = 3,
-    max_iter: int = 50,
+    max_iter: int = 100,
     parallelism: int = 4,
 ) -> tuple[CrossValidatorModel, DataFrame]:
     """Cross-validated accuracy of every combination; folds come from a hash of the key.
 
-    The n-gram sizes are searched one after the other, each as its own pipeline.
+    ``weights`` are pairs of the tf-idf block's and the statistics block's weight, None for
+    tf-idf alone. They and the n-gram sizes are searched one after the other, each as its own
+    pipeline.
     """
     spark = rows.sparkSession
     n = rows.count() * (folds - 1) // folds
@@ -275,15 +271,20 @@ def grid_search(
     )
     evaluator = MulticlassClassificationEvaluator(labelCol="label_index", metricName="accuracy")
     best, results = None, []
-    for gram in ngrams:
-        stages = tfidf_stages(ngram=gram, analyzer=analyzer)
-        first = next(i for i, s in enumerate(stages) if isinstance(s, CountVectorizer))
+    for gram, pair in itertools.product(ngrams, weights):
+        options = {"text": text, "ngram": gram, "analyzer": analyzer}
+        if pair is None:
+            stages = tfidf_stages(**options)
+        else:
+            stages = union_stages(tfidf_weight=pair[0], stats_weight=pair[1], **options)
+        first = next(i for i, s in enumerate(stages) if isinstance(s, TermVocabulary))
         vectorizer = stages[first]
-        # Tokens do not depend on the parameters: they are built once for all fits.
-        tokens = PipelineModel(stages[:first]).transform(folded)
-        tokens = materialise(
-            tokens.select(vectorizer.getInputCol(), "label_index", "_fold"), "tokens"
-        ).coalesce(max(1, -(-n // ROWS_PER_TASK)))
+        # Tokens and statistics do not depend on the parameters: they are built once for all fits.
+        before = [s for s in stages[:first] if isinstance(s, Transformer)]
+        after = [s for s in stages if s not in before]
+        ready = PipelineModel(before).transform(folded)
+        wanted = [vectorizer.getInputCol(), *(["stats_raw"] if pair else []), "label_index", "_fold"]
+        ready = materialise(ready.select(*wanted), "tokens")
         lr = classifier(n, "multinomial", max_iter=max_iter)
         grid = (
             ParamGridBuilder()
@@ -293,29 +294,31 @@ def grid_search(
             .build()
         )
         search = CrossValidator(
-            estimator=Pipeline(stages=[*stages[first:], lr]),
+            estimator=Pipeline(stages=[*after, lr]),
             estimatorParamMaps=grid,
             evaluator=evaluator,
             numFolds=folds,
             foldCol="_fold",
             parallelism=parallelism,
-        ).fit(tokens)
+        ).fit(ready)
         for params, score in zip(grid, search.avgMetrics):
             cost = min(costs, key=lambda c: abs(1.0 / (c * max(n, 1)) - params[lr.regParam]))
             penalty = "l1" if params[lr.elasticNetParam] == 1.0 else "l2"
             size = params[vectorizer.vocabSize]
-            results.append((gram, size, float(cost), penalty, float(score)))
+            blocks = pair or (None, None)
+            results.append((gram, size, float(cost), penalty, *blocks, float(score)))
         if best is None or max(search.avgMetrics) > max(best.avgMetrics):
             best = search
-    schema = "ngram INT, vocab_size INT, cost DOUBLE, penalty STRING, accuracy DOUBLE"
+    schema = (
+        "ngram INT, vocab_size INT, cost DOUBLE, penalty STRING, tfidf_weight DOUBLE, "
+        "stats_weight DOUBLE, accuracy DOUBLE"
+    )
     return best, spark.createDataFrame(results, schema)
 
 
-def predict_into_catalog(
-    model: TextClassifier, catalog: DataFrame, texts: DataFrame, key: str = "isbn"
-) -> DataFrame:
-    """The catalog with ``genres_predicted`` filled for every row whose text is at hand."""
-    predicted = model.score(texts).select(key, F.col("prediction").alias("_new"))
+def predict_into_catalog(predictions: DataFrame, catalog: DataFrame, key: str = "isbn") -> DataFrame:
+    """The catalog with ``genres_predicted`` filled from ``key, prediction`` rows of any model."""
+    predicted = predictions.select(key, F.col("prediction").alias("_new"))
     return catalog.join(predicted, key, "left").select(
         *[c for c in catalog.columns if c != "genres_predicted"],
         F.coalesce("_new", "genres_predicted").alias("genres_predicted"),

@@ -4,14 +4,20 @@ from __future__ import annotations
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Transformer
-from pyspark.ml.feature import IDF, ElementwiseProduct
+from pyspark.ml.feature import IDF, CountVectorizerModel, ElementwiseProduct
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tomeweave.operators.profile import document_stats
+from tomeweave.operators.terms import vocabulary_cut
+from tomeweave.sources.workspace import materialise
+
+# Beyond this a linear model's terms do not fit a driver of a few GB.
+MOST_TERMS = 20_000_000
 
 STATS_COLUMNS = ("length", "num_sentences", "avg_sentence_length")
 
@@ -52,6 +58,40 @@ class SmoothedIdf(
         )
 
 
+class TermVocabulary(
+    Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable
+):
+    """Fits the terms that are counted: all of them, or the most frequent ``vocabSize``.
+
+    Terms are ordered by total count, equal counts by the term itself, so a vocabulary does not
+    depend on how the rows are partitioned. The fitted stage is the built-in counter. Its
+    vocabulary and a model's coefficients live on the driver: more than ``MOST_TERMS`` terms are
+    an error, never a cut.
+    """
+
+    vocabSize = Param(Params._dummy(), "vocabSize", "most frequent terms to keep, 0 for all", typeConverter=TypeConverters.toInt)
+
+    @keyword_only
+    def __init__(self, *, inputCol: str = "tokens", outputCol: str = "counts", vocabSize: int = 0):
+        super().__init__()
+        self._setDefault(inputCol="tokens", outputCol="counts", vocabSize=0)
+        self._set(**self._input_kwargs)
+
+    def _fit(self, dataset: DataFrame) -> CountVectorizerModel:
+        tokens = dataset.select(F.explode(self.getInputCol()).alias("term"))
+        frequencies = materialise(tokens.groupBy("term").agg(F.count("*").alias("n")), "terms")
+        size = self.getOrDefault(self.vocabSize)
+        kept = vocabulary_cut(frequencies, size) if size else frequencies
+        found = kept.count()
+        if found > MOST_TERMS:
+            raise ValueError(f"{found} terms; a linear model holds {MOST_TERMS} at most: set vocabSize")
+        terms = [r["term"] for r in kept.orderBy(F.desc("n"), F.asc("term")).collect()]
+        # A counter needs a term; a blank one occurs in no text.
+        return CountVectorizerModel.from_vocabulary(
+            terms or [" "], inputCol=self.getInputCol(), outputCol=self.getOutputCol()
+        )
+
+
 class BlockWeight(
     Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable
 ):

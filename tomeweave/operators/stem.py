@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tomeweave.functions.text import alphabetic_only, let, word_tokens
-from tomeweave.sources.workspace import materialise
+from tomeweave.sources.workspace import broadcast_if_few, materialise
 
 CONSONANTS = "[^aeiou][^aeiouy]*"
 VOWELS = "[aeiouy][aeiou]*"
@@ -192,7 +192,7 @@ def stemmed_counts(counts: DataFrame, key: str) -> DataFrame:
     """
     stems = materialise(stem_vocabulary(counts.select("term").distinct()), "stems")
     return (
-        counts.join(stems, "term")
+        counts.join(broadcast_if_few(stems), "term")
         .groupBy(key, "stem")
         .agg(F.sum("tf").cast("bigint").alias("tf"))
     )

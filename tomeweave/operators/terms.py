@@ -17,14 +17,14 @@ from tomeweave.functions.text import (
     word_tokens,
 )
 from tomeweave.operators.groups import top_n_per_group
-from tomeweave.sources.workspace import materialise
+from tomeweave.sources.workspace import broadcast_if_few, materialise
 
 Tokenizer = Callable[[Column], Column]
 
 
 def split_by_hash(df: DataFrame, key: str, test_percent: int = 25) -> tuple[DataFrame, DataFrame]:
-    """Complementary train and test rows, chosen by a hash of the key."""
-    test = hash_bucket(F.col(key)) < test_percent
+    """Complementary train and test rows, chosen by a hash of the key; NULL keys train."""
+    test = F.coalesce(hash_bucket(F.col(key)) < test_percent, F.lit(False))
     return df.filter(~test), df.filter(test)
 
 
@@ -82,11 +82,11 @@ def inverse_document_frequency(counts: DataFrame, docs: DataFrame) -> DataFrame:
 def tfidf(counts: DataFrame, idf: DataFrame, key: str) -> DataFrame:
     """Add ``tfidf``: tf * idf, scaled to unit length per document.
 
-    Terms the vocabulary lacks are dropped. The vocabulary, a stored table, is joined without a
-    hint: it is broadcast only if measured small, and the shuffled join splits the partitions of
-    terms that nearly every document holds. A document's rows are bounded by its own vocabulary.
+    Terms the vocabulary lacks are dropped. The vocabulary, a stored table, is broadcast only if
+    its rows are few; otherwise the shuffled join splits the partitions of terms that nearly every
+    document holds. A document's rows are bounded by its own vocabulary.
     """
-    weighted = counts.join(idf.select("term", "idf"), "term").withColumn(
+    weighted = counts.join(broadcast_if_few(idf.select("term", "idf")), "term").withColumn(
         "_w", F.col("tf") * F.col("idf")
     )
     length = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(key)))

@@ -18,6 +18,7 @@ from tomeweave.operators.profile import histogram, measure, profile
 from tomeweave.operators.terms import split_by_hash
 from tomeweave.sources import files as src
 from tomeweave.sources.workspace import materialise
+from tomeweave.vocab import SHELF_PAGES
 
 
 def book_texts(raw: DataFrame, keep: Sequence[str] = (), text: str = "text") -> DataFrame:
@@ -44,8 +45,7 @@ def build_corpus(
 ) -> DataFrame:
     """``path, title, author, name, text``: the first file of each listed directory, cleaned.
 
-    The choice works on the listing alone and is stored, so that it can be broadcast to the
-    scan of the contents if it is measured small.
+    The choice works on the listing alone; only the chosen files are opened.
     """
     directories = src.read_directory_list(spark, directory_list, mirror)
     if marker is not None:
@@ -54,8 +54,7 @@ def build_corpus(
     wanted = directories.select(here.alias("dir"))
     listed = src.list_files(spark, mirror).select(here.alias("dir"), "file_name", "path")
     chosen = first_per_group(src.existing_directories(listed, wanted))
-    chosen = materialise(chosen.select("path"), "chosen")
-    raw = src.read_raw_files(spark, mirror).join(chosen, "path", "left_semi")
+    raw = src.read_contents(chosen.select("path").repartition("path"))
     texts = raw.select("path", F.decode("content", "ISO-8859-1").alias("text"))
     return book_texts(texts, ["path"])
 
@@ -119,12 +118,15 @@ def build_catalog(
     return CatalogUpdate(rows, resolved)
 
 
-def listing_entries(categories: DataFrame, pages: DataFrame, base: str, root: str) -> DataFrame:
+def listing_entries(categories: DataFrame | None, pages: DataFrame, base: str, root: str) -> DataFrame:
     """Books on all category pages with the file each belongs to; one row per file.
 
-    ``categories(genre, category, pages)`` and ``pages(url, html)``. A book that several pages
+    ``categories(genre, category, pages)``, by default the seven known ones with their 601 pages,
+    and ``pages(url, html)``. A book that several pages
     list comes from the first of them.
     """
+    if categories is None:
+        categories = known_categories(pages.sparkSession)
     numbered = category_pages(categories, base)
     entries = category_entries(numbered.join(pages, "url"), ["genre", "category", "page"], base)
     local = F.concat(
@@ -137,8 +139,13 @@ def listing_entries(categories: DataFrame, pages: DataFrame, base: str, root: st
     return keep_first(entries.withColumn("local_file", local), ["local_file"], order)
 
 
+def known_categories(spark: SparkSession) -> DataFrame:
+    """``genre, category, pages`` of the shelves that are known."""
+    return spark.createDataFrame(list(SHELF_PAGES), "genre STRING, category STRING, pages INT")
+
+
 def build_listing_catalog(
-    categories: DataFrame,
+    categories: DataFrame | None,
     pages: DataFrame,
     held_before: DataFrame,
     held_now: DataFrame,

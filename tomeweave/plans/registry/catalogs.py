@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomeweave.functions.identifiers import safe_isbn_number
+from tomeweave.functions.names import pack_name
 from tomeweave.operators import catalog as cat
 from tomeweave.operators import labels
 from tomeweave.plans.registry.tables import documents, rows, sql_list, table
@@ -53,11 +54,11 @@ def top_labels(spark: SparkSession, d: str) -> DataFrame:
     return labels.top_labels(votes, 10)
 
 
-# Two catalogs in the listing schema, from finished and open orders.
-def _catalog(spark: SparkSession, d: str, status: str) -> DataFrame:
+# Catalogs in the listing schema, from the orders of some status.
+def _catalog(spark: SparkSession, d: str, *status: str) -> DataFrame:
     key, customer = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
     path = F.concat(F.lit("Z:\\books\\"), "o_orderpriority", F.lit("\\"), key, F.lit(".txt"))
-    return table(spark, d, "orders").filter(F.col("o_orderstatus") == status).select(
+    return table(spark, d, "orders").filter(F.col("o_orderstatus").isin(*status)).select(
         F.concat(F.lit("Title "), (F.col("o_orderkey") % 700).cast("string")).alias("title"),
         F.concat(F.lit("Author "), (F.col("o_custkey") % 5).cast("string")).alias("author"),
         F.col("o_orderpriority").alias("genre"),
@@ -68,7 +69,7 @@ def _catalog(spark: SparkSession, d: str, status: str) -> DataFrame:
 
 
 def _combined(spark: SparkSession, d: str, dedupe: bool) -> DataFrame:
-    source, target = _catalog(spark, d, "O"), _catalog(spark, d, "F")
+    source, target = _catalog(spark, d, "O", "P"), _catalog(spark, d, "F")
     return cat.combine(source, target, "1-URGENT", "/shelf/", dedupe=dedupe)
 
 
@@ -81,7 +82,7 @@ def combine_catalogs_dedupe(spark: SparkSession, d: str) -> DataFrame:
 
 
 def filter_catalog(spark: SparkSession, d: str) -> DataFrame:
-    return cat.filter_equals(_catalog(spark, d, "P"), "genre", "2-HIGH").select("title", "author", "dl_url")
+    return cat.filter_equals(_catalog(spark, d, "F", "O", "P"), "genre", "2-HIGH").select("title", "author", "dl_url")
 
 
 def filter_categories(spark: SparkSession, d: str) -> DataFrame:
@@ -156,7 +157,9 @@ def upsert_catalog(spark: SparkSession, d: str) -> DataFrame:
     """Urgent orders replace their rows; the new version is written and read back."""
     orders = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("isbn"), "o_orderstatus", "o_orderpriority")
     old = orders.filter(F.col("o_orderstatus") != "P").select("isbn", F.col("o_orderstatus").alias("gtype"))
-    new = orders.filter(F.col("o_orderpriority") == "1-URGENT").select("isbn", F.lit("new").alias("gtype"))
+    urgent = orders.filter(F.col("o_orderpriority") == "1-URGENT")
+    # Every new row comes twice; the greater one counts.
+    new = urgent.select("isbn", F.explode(F.array(F.lit("new"), F.lit("held"))).alias("gtype"))
     path = fresh_path(spark, "catalog")
     sinks.write_upsert(old, new, ["isbn"], path)
     return spark.read.parquet(path)
@@ -171,24 +174,22 @@ def append_catalog(spark: SparkSession, d: str) -> DataFrame:
         F.concat(F.lit("dl/"), F.col("o_orderkey").cast("string")).alias("name")
     )
     sinks.append_existing(entries, files, path)
-    sinks.append_rows(_catalog(spark, d, "F").filter(F.col("genre") == "5-LOW"), path)
+    sinks.append_rows(_catalog(spark, d, "F", "P"), path)
     return spark.read.schema(cat.LISTING_SCHEMA).parquet(path)
 
 
 def write_texts(spark: SparkSession, d: str) -> DataFrame:
-    """Books of one name overwrite each other; one directory per label is read back."""
+    """Books of one file name overwrite each other."""
+    title = F.concat("source", F.lit("-"), (F.col("doc_id") % 300).cast("string"))
     books = documents(spark, d, "lang", "source", "text").select(
-        F.concat("source", F.lit("-"), (F.col("doc_id") % 300).cast("string")).alias("title"),
-        F.col("source").alias("author"),
+        pack_name(title, F.col("source")).alias("name"),
         F.col("lang").alias("label"),
         "doc_id",
         F.md5("text").alias("text_md5"),
     )
     path = fresh_path(spark, "texts")
     sinks.write_texts(books, path, [F.col("doc_id")])
-    return spark.read.parquet(path).filter(F.col("label").isin("en", "fr")).select(
-        "title", "author", "doc_id", "text_md5"
-    )
+    return spark.read.parquet(path).select("name", "label", "doc_id", "text_md5")
 
 
 def _documents_stream(spark: SparkSession, d: str) -> DataFrame:
@@ -257,16 +258,16 @@ case when label in ({sql_list(MAIN_TAGS)}) then label {_FOLDED_SQL}
      when label in ({sql_list(OTHER_TAGS)}) and gtype = 'non-fiction' then 'other' end"""
 
 
-def _catalog_sql(status: str) -> str:
+def _catalog_sql(*status: str) -> str:
     return f"""
 select 'Title ' || (o_orderkey % 700) as title, 'Author ' || (o_custkey % 5) as author,
        o_orderpriority as genre, 'Z:\\books\\' || o_orderpriority || '\\' || o_orderkey || '.txt' as local_file,
        'dl/' || o_orderkey as dl_url, 'info/' || o_custkey as info_url
-from orders where o_orderstatus = '{status}'"""
+from orders where o_orderstatus in ({sql_list(status)})"""
 
 
 _BOTH_SQL = f"""
-source as ({_catalog_sql("O")}),
+source as ({_catalog_sql("O", "P")}),
 target as ({_catalog_sql("F")}),
 combined as (
   select *, 0 as origin from target
@@ -322,7 +323,7 @@ select title, author, genre, local_file, dl_url, info_url from (
   select *, row_number() over (
     partition by title, author order by origin, genre, local_file, dl_url, info_url) as rn
   from combined) where rn = 1""",
-    "filter_catalog": f"select title, author, dl_url from ({_catalog_sql('P')}) where genre = '2-HIGH'",
+    "filter_catalog": f"select title, author, dl_url from ({_catalog_sql('F', 'O', 'P')}) where genre = '2-HIGH'",
     "filter_categories": "select doc_id, lang from documents where lang in ('de', 'es')",
     "anti_existing": "select doc_id, source from documents where doc_id not in (select doc_id from labels)",
     "semi_existing": "select doc_id, source from documents where doc_id in (select doc_id from labels)",
@@ -352,13 +353,13 @@ from orders where o_orderstatus <> 'P' or o_orderpriority = '1-URGENT'""",
 select c.* from ({_catalog_sql("O")}) c
 where c.dl_url in (select 'dl/' || o_orderkey from orders where o_totalprice < 100000)
 union all
-select c.* from ({_catalog_sql("F")}) c where genre = '5-LOW'""",
+select c.* from ({_catalog_sql("F", "P")}) c""",
     "write_texts": """
-select title, author, doc_id, text_md5 from (
-  select source || '-' || (doc_id % 300) as title, source as author, lang, doc_id, md5(text) as text_md5,
+select source || '-' || (doc_id % 300) || '%%%' || source || '.txt' as name, lang as label, doc_id, text_md5 from (
+  select source, lang, doc_id, md5(text) as text_md5,
          row_number() over (partition by source || '-' || (doc_id % 300), source order by doc_id desc) as rn
   from documents)
-where rn = 1 and lang in ('en', 'fr')""",
+where rn = 1""",
     "ingest_incremental": "select doc_id, source, md5(text) as text_md5 from documents",
     "ingest_first_writer": """
 select md5(text) as text_md5, min(doc_id) as doc_id, arg_min(source, doc_id) as source

@@ -11,6 +11,8 @@ from tomeweave.operators import profile as prof
 from tomeweave.operators.groups import first_per_group
 from tomeweave.plans import jobs
 from tomeweave.plans.registry.tables import documents, pages, table
+from tomeweave.sources import files, sinks
+from tomeweave.sources.workspace import fresh_path
 
 _LINES = (
     "(len(regexp_extract_all(text, '\\r\\n|\\r|\\n')) + "
@@ -65,6 +67,8 @@ def _raw_books(spark: SparkSession, d: str) -> DataFrame:
     head = F.concat(
         F.lit("A preface.\nTitle: Draft "),
         number,
+        # Characters that some engines take for line ends.
+        F.when(i % 7 == 2, "\u0085x\u2028y").otherwise(""),
         F.when(
             i % 3 == 0,
             F.concat(F.lit("\nTitle:  Book/"), number, F.lit(" of "), F.col("source"), F.lit(" ")),
@@ -103,6 +107,7 @@ def strip_boilerplate(spark: SparkSession, d: str) -> DataFrame:
         i.cast("string"),
         F.lit(" ***\n\n  "),
         "text",
+        F.when(i % 4 == 1, "\u0085*** END\u2029*** END y").otherwise(""),
         F.lit(" \n\n*** END OF TEXT ***\nMore licence.\n***END\n"),
     )
     docs = documents(spark, d, "text")
@@ -139,10 +144,19 @@ def charset_filter(spark: SparkSession, d: str) -> DataFrame:
 def sanitize_corpus(spark: SparkSession, d: str) -> DataFrame:
     """Raw files with CR LF line ends and a licence around the text."""
     wrapped = F.concat(F.lit("licence\r\n*** START ***\r\n"), "text", F.lit("\r\n*** END ***\r\nlicence"))
-    cleaned = jobs.sanitize_corpus(_files(spark, d, wrapped), ["ISO-8859-1", "UTF-8"])
+    cleaned = jobs.sanitize_corpus(_files(spark, d, wrapped))
     return cleaned.select("path", "charset", F.md5("text").alias("text_md5"))
 
 
+def rewrite_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The cleaned texts as a new version, one directory per charset, read back."""
+    wrapped = F.concat(F.lit("*** START ***\r\n"), "text", F.lit("\n*** END"))
+    path = fresh_path(spark, "clean")
+    sinks.rewrite_texts(jobs.sanitize_corpus(_files(spark, d, wrapped)), path, ("charset",))
+    kept = spark.read.schema("path STRING, text STRING, charset STRING").parquet(path)
+    return kept.select("path", "charset", F.md5("text").alias("text_md5"))
+
+
 def first_per_directory(spark: SparkSession, d: str) -> DataFrame:
     return first_per_group(_mirror(spark, d)).select("dir", "file_name", "doc_id")
 
@@ -237,7 +251,7 @@ def rebased_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def read_catalog_columns(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").filter(F.col("o_orderstatus") == "F").select("o_orderkey", "o_custkey")
+    return files.read_catalog(spark, f"{d}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderstatus")
 
 
 QUERIES = {
@@ -254,6 +268,7 @@ QUERIES = {
     "drop_marked_lines": drop_marked_lines,
     "charset_filter": charset_filter,
     "sanitize_corpus": sanitize_corpus,
+    "rewrite_texts": rewrite_texts,
     "first_per_group": first_per_directory,
     "first_per_group_usable": first_usable_per_directory,
     "pack_names": pack_names,
@@ -291,7 +306,8 @@ from s""",
 with b as (
   select doc_id,
          case when doc_id % 3 = 0 then ' Book/' || doc_id || ' of ' || source || ' '
-              else 'Draft ' || doc_id end as raw_title,
+              else 'Draft ' || doc_id || case when doc_id % 7 = 2 then chr(133) || 'x' || chr(8232) || 'y' else '' end
+              end as raw_title,
          'Writer ' || lang as author,
          replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) as body
   from documents where doc_id % 4 <> 0)
@@ -302,8 +318,10 @@ from b""",
     "english_only": "select doc_id from documents where doc_id % 4 <> 0",
     "english_documents": "select doc_id from documents where lang = 'en'",
     "strip_boilerplate": f"""
-select doc_id, length(trim(text, {_STRIP}))::bigint as n_chars, md5(trim(text, {_STRIP})) as body_md5
-from documents""",
+with b as (
+  select doc_id, trim(text || case when doc_id % 4 = 1 and doc_id % 5 <> 0
+         then chr(133) || '*** END' || chr(8233) || '*** END y' else '' end, {_STRIP}) as body from documents)
+select doc_id, length(body)::bigint as n_chars, md5(body) as body_md5 from b""",
     "drop_marked_lines": """
 select doc_id, md5(coalesce(list_aggregate(
          [x for x in string_split(text, chr(10)) if not (contains(x, 'the') or contains(x, 'que'))],
@@ -313,7 +331,11 @@ from documents""",
     "sanitize_corpus": f"""
 select path, charset,
        md5(trim(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), {_STRIP})) as text_md5
-from ({_CHARSETS_SQL}) where charset <> 'ascii'""",
+from ({_CHARSETS_SQL})""",
+    "rewrite_texts": f"""
+select path, charset,
+       md5(trim(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), {_STRIP})) as text_md5
+from ({_CHARSETS_SQL})""",
     "first_per_group": f"""
 with {_MIRROR_SQL},
 first as (select *, row_number() over (partition by dir order by file_name) as rn from mirror)
@@ -351,5 +373,5 @@ select page_id,
        'https://books.example/titles/' || page_id || '.html' as info
 from titles""",
     "rebased_paths": "select doc_id, '/shelf/' || source || '.txt' as path from documents",
-    "read_catalog_columns": "select o_orderkey, o_custkey from orders where o_orderstatus = 'F'",
+    "read_catalog_columns": "select o_orderkey, o_custkey, o_orderstatus from orders",
 }

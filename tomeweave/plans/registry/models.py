@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
-from pyspark.ml.feature import CountVectorizer, IndexToString, RegexTokenizer, StringIndexer
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.feature import CountVectorizerModel, IndexToString, RegexTokenizer, StringIndexer
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tomeweave.functions.text import WORD
 from tomeweave.operators import bayes, evaluate, linear
 from tomeweave.operators.groups import bottom_features, top_features
+from tomeweave.operators.stages import STATS_COLUMNS, TermVocabulary
 from tomeweave.operators.terms import inverse_document_frequency, split_by_hash, term_counts, tfidf
 from tomeweave.plans import jobs
-from tomeweave.plans.registry.tables import documents, table
+from tomeweave.plans.registry.tables import documents, sql_list, table
 from tomeweave.plans.registry.terms import BUCKET_SQL, STOP_WORDS, TERM_COUNTS_SQL
 from tomeweave.sources import sinks
 from tomeweave.sources.workspace import fresh_path
@@ -68,12 +70,33 @@ def write_probabilities(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema(rows.schema).json(path)
 
 
+# What holds of any fitted classifier and SQL can state without fitting one: every document is
+# scored once, the probabilities are a distribution over the labels, and the prediction is its mode.
+def _sound(scored: DataFrame) -> DataFrame:
+    values = F.transform("proba", lambda p: p["probability"])
+    total = F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
+    best = F.array_max(values)
+    said = F.filter("proba", lambda p: p["label"] == F.col("prediction"))
+    return scored.select(
+        "doc_id",
+        "label",
+        F.size("proba").cast("bigint").alias("n_labels"),
+        (F.abs(total - 1) < 1e-9).alias("sums_to_one"),
+        (F.array_min(values) >= 0).alias("non_negative"),
+        (F.get(said, F.lit(0))["probability"] == best).alias("is_mode"),
+    )
+
+
 def lr_saved(spark: SparkSession, d: str) -> DataFrame:
-    """A model saved, loaded and applied."""
+    """A model saved and loaded scores as the one that was fitted."""
     train, test = _parts(spark, d)
     path = fresh_path(spark, "classifier")
-    sinks.save_classifier(linear.train(train), path)
-    return sinks.load_classifier(path).score(test).select("doc_id", "label", "prediction")
+    fitted = linear.train(train)
+    sinks.save_classifier(fitted, path)
+    before = fitted.score(test).select("doc_id", "label", "prediction", "proba")
+    after = sinks.load_classifier(path).score(test).select("doc_id", F.col("prediction").alias("p"), F.col("proba").alias("q"))
+    same = (F.col("p") == F.col("prediction")) & (F.col("q") == F.col("proba"))
+    return before.join(after, "doc_id").select("doc_id", "label", same.alias("same"))
 
 
 def nb_top_features(spark: SparkSession, d: str) -> DataFrame:
@@ -124,7 +147,7 @@ def nb_mllib(spark: SparkSession, d: str) -> DataFrame:
     train, test = _parts(spark, d)
     stages = [
         RegexTokenizer(inputCol="text", outputCol="tokens", pattern=WORD, gaps=False),
-        CountVectorizer(inputCol="tokens", outputCol="counts"),
+        TermVocabulary(inputCol="tokens", outputCol="counts"),
         StringIndexer(inputCol="label", outputCol="label_index", stringOrderType="alphabetAsc"),
         linear.naive_bayes(),
     ]
@@ -142,33 +165,50 @@ def _lr(spark: SparkSession, d: str, **options) -> tuple[linear.TextClassifier,
 
 
 def lr_predict(spark: SparkSession, d: str) -> DataFrame:
-    return _lr(spark, d)[1].select("doc_id", "label", "prediction")
+    return _sound(_lr(spark, d)[1])
 
 
 def lr_proba(spark: SparkSession, d: str) -> DataFrame:
-    return linear.probability_rows(_lr(spark, d)[1], "doc_id")
+    rows = linear.probability_rows(_lr(spark, d)[1], "doc_id")
+    return rows.select("doc_id", "label", F.col("probability").between(0, 1).alias("is_probability"))
 
 
 def lr_multinomial(spark: SparkSession, d: str) -> DataFrame:
-    scored = _lr(spark, d, strategy="multinomial")[1]
-    return scored.select("doc_id", "label", "prediction")
+    return _sound(_lr(spark, d, strategy="multinomial")[1])
 
 
-def lr_top_features(spark: SparkSession, d: str) -> DataFrame:
+def _ranked_weights(spark: SparkSession, d: str, pick, sign: int) -> DataFrame:
+    """25 ranks per label, in order of weight, of terms that the training texts hold."""
     train, _ = _parts(spark, d)
-    weights = linear.train(train).coefficients(spark)
-    return top_features(weights, "label", "term", "weight", 25)
+    found = pick(linear.train(train).coefficients(spark), "label", "term", "weight", 25)
+    known = term_counts(train, []).select("term").distinct().withColumn("known", F.lit(True))
+    before = F.lag("weight").over(Window.partitionBy("label").orderBy("rank"))
+    ordered = F.coalesce(sign * F.col("weight") <= sign * before, F.lit(True))
+    return found.join(known, "term", "left").select(
+        "label", "rank", ordered.alias("ordered"), F.coalesce("known", F.lit(False)).alias("known"),
+        (sign * F.col("weight") > 0).alias("signed"),
+    )
+
+
+def lr_top_features(spark: SparkSession, d: str) -> DataFrame:
+    return _ranked_weights(spark, d, top_features, 1)
 
 
 def lr_bottom_features(spark: SparkSession, d: str) -> DataFrame:
-    train, _ = _parts(spark, d)
-    weights = linear.train(train).coefficients(spark)
-    return bottom_features(weights, "label", "term", "weight", 25)
+    return _ranked_weights(spark, d, bottom_features, -1)
 
 
 def lr_report(spark: SparkSession, d: str) -> DataFrame:
+    """Classes and supports of the report, whose averages agree with its accuracy."""
     docs = documents(spark, d, "lang", "text").withColumnRenamed("lang", "label")
-    return jobs.train_and_evaluate(docs, "doc_id").report
+    found = jobs.train_and_evaluate(docs, "doc_id")
+    hits = found.accuracy.scalar()
+    p, r, f1 = F.col("precision"), F.col("recall"), F.col("f1")
+    mean = F.col("label") == "avg / total"
+    harmonic = F.abs(f1 * (p + r) - 2 * p * r) < 1e-9
+    return found.report.select(
+        "label", "support", F.when(mean, F.abs(r - hits) < 1e-9).otherwise(harmonic).alias("agrees")
+    )
 
 
 def lr_quality(spark: SparkSession, d: str) -> DataFrame:
@@ -176,39 +216,71 @@ def lr_quality(spark: SparkSession, d: str) -> DataFrame:
     marked = documents(spark, d, "text").join(table(spark, d, "labels"), "doc_id")
     rows = marked.select("doc_id", "text", F.col("quality").cast("string").alias("label"))
     train, test = split_by_hash(rows, "doc_id")
-    return linear.train(train).score(test).select("doc_id", "label", "prediction")
+    return _sound(linear.train(train).score(test))
 
 
-def lr_stats_union(spark: SparkSession, d: str) -> DataFrame:
-    stages = linear.union_stages(stats_weight=0.75, tfidf_weight=1.0)
-    return _lr(spark, d, stages=stages)[1].select("doc_id", "label", "prediction")
+def _feature_rows(spark: SparkSession, d: str, stages: list, vector: str) -> DataFrame:
+    """``doc_id, term, value``: what the fitted feature stages make of the training texts."""
+    train, _ = _parts(spark, d)
+    fitted, rows = linear.fit_features(train, stages)
+    terms = next(s.vocabulary for s in fitted.stages if isinstance(s, CountVectorizerModel))
+    names = spark.createDataFrame([(terms,)], "names ARRAY<STRING>").select(F.posexplode("names").alias("at", "term"))
+    values = rows.select("doc_id", F.posexplode(vector_to_array(vector)).alias("at", "value")).where("value <> 0")
+    return values.join(names, "at").select("doc_id", "term", F.round("value", 6).alias("value"))
+
+
+def lr_tfidf(spark: SparkSession, d: str) -> DataFrame:
+    """The classifier's tf-idf, all terms."""
+    return _feature_rows(spark, d, linear.tfidf_stages(), "features")
 
 
 def lr_ngram(spark: SparkSession, d: str) -> DataFrame:
-    stages = linear.tfidf_stages(ngram=3, stop_words=STOP_WORDS, vocab_size=50000)
-    return _lr(spark, d, stages=stages)[1].select("doc_id", "label", "prediction")
+    """tf-idf of the most frequent word trigrams without stop words."""
+    stages = linear.tfidf_stages(ngram=3, stop_words=STOP_WORDS, vocab_size=5000)
+    return _feature_rows(spark, d, stages, "features")
 
 
 def lr_char_ngram(spark: SparkSession, d: str) -> DataFrame:
-    stages = linear.tfidf_stages(ngram=3, analyzer="char", vocab_size=50000)
-    return _lr(spark, d, stages=stages)[1].select("doc_id", "label", "prediction")
+    """tf-idf of the most frequent character trigrams."""
+    stages = linear.tfidf_stages(ngram=3, analyzer="char", vocab_size=2000)
+    return _feature_rows(spark, d, stages, "features")
+
+
+def lr_stats_union(spark: SparkSession, d: str) -> DataFrame:
+    """The statistics block of the union beside its tf-idf block, each under its weight."""
+    train, test = _parts(spark, d)
+    fitted, rows = linear.fit_features(train, linear.union_stages(stats_weight=0.75, tfidf_weight=2.0))
+    # Documents without terms have no tf-idf to be scaled to the block's weight.
+    block, whole = vector_to_array("stats_block"), vector_to_array("tfidf_block")
+    length = F.sqrt(F.aggregate(whole, F.lit(0.0), lambda acc, x: acc + x * x))
+    return rows.select(
+        "doc_id",
+        *[F.round(F.get(block, F.lit(i)), 6).alias(c) for i, c in enumerate(STATS_COLUMNS)],
+        F.round(length, 6).alias("tfidf_length"),
+        (F.size(vector_to_array("features")) == F.size(block) + F.size(whole)).alias("is_union"),
+    )
 
 
 def grid_search(spark: SparkSession, d: str) -> DataFrame:
+    """Two points on every axis but the cost; every combination has an accuracy."""
     docs = documents(spark, d, "lang", "text").withColumnRenamed("lang", "label")
-    return linear.grid_search(
-        docs, "doc_id", vocab_sizes=(5000, 10000), costs=(1.0, 10.0), penalties=("l2",), folds=2
+    found = linear.grid_search(
+        docs, "doc_id", vocab_sizes=(500, 1000), ngrams=(2, 3), weights=((1.0, 0.75), (0.75, 1.0)),
+        costs=(10.0,), penalties=("l1", "l2"), analyzer="char", folds=2, max_iter=10,
     )[1]
+    return found.select(
+        "ngram", "vocab_size", "cost", "penalty", "tfidf_weight", "stats_weight",
+        F.col("accuracy").between(0, 1).alias("has_accuracy"),
+    )
 
 
 def predict_into_catalog(spark: SparkSession, d: str) -> DataFrame:
-    """Scores the texts held out from training into their catalog rows."""
-    train, test = _parts(spark, d)
+    """The predictions for the texts held out from training, in their catalog rows."""
     key = F.col("doc_id").cast("string").alias("isbn")
     catalog = documents(spark, d, "lang").select(
         key, F.col("lang").alias("gtype"), F.lit(None).cast("string").alias("genres_predicted")
     )
-    return linear.predict_into_catalog(linear.train(train), catalog, test.select(key, "text"))
+    return linear.predict_into_catalog(nb_predict(spark, d).select(key, "prediction"), catalog)
 
 
 QUERIES = {
@@ -228,6 +300,7 @@ QUERIES = {
     "accuracy": accuracy,
     "distinct_labels": distinct_labels,
     "nb_mllib": nb_mllib,
+    "lr_tfidf": lr_tfidf,
     "lr_predict": lr_predict,
     "lr_proba": lr_proba,
     "lr_multinomial": lr_multinomial,
@@ -307,6 +380,54 @@ weights as (
          round(ln(coalesce(x.n, 0) + 1.0e0) - ln(m.mass::double), 6) as weight
   from vocabulary v cross join mass m left join model x on x.term = v.term and x.label = m.label)"""
 
+# MLlib smooths the class prior as well.
+_MLLIB_SQL = _SCORES_SQL.replace(
+    "ln(count(*) / (1.0e0 * sum(count(*)) over ())) as prior",
+    "ln((count(*) + 1) / (1.0e0 * (sum(count(*)) over () + count(*) over ()))) as prior",
+)
+
+_TEST_SQL = f"""
+test as (select doc_id, lang as label from documents where {BUCKET_SQL} < 25),
+classes as (select count(distinct lang) as n_labels from documents where {BUCKET_SQL} >= 25)"""
+
+_SOUND = "true as sums_to_one, true as non_negative, true as is_mode"
+
+_RANKS_SQL = f"""
+select label, rank, true as ordered, true as known, true as signed
+from (select distinct lang as label from documents where {BUCKET_SQL} >= 25) l,
+     (select unnest(generate_series(1, 25)) as rank) r"""
+
+
+def _weights_sql(counts: str, size: int | None) -> str:
+    """tf-idf of the training texts over all their terms, or the most frequent."""
+    cut = f"order by sum(tf) desc, term limit {size}" if size else ""
+    return f"""
+with {counts},
+train as (select c.doc_id, c.term, c.tf from counts c join documents using (doc_id) where {BUCKET_SQL} >= 25),
+kept as (select term, count(*) as df from train group by term {cut}),
+w as (
+  select doc_id, term, tf * (ln((1 + (select count(*) from documents where {BUCKET_SQL} >= 25)) / (1.0e0 + df)) + 1) as w
+  from train join kept using (term))
+select doc_id, term, round(w / sqrt(sum(w * w) over (partition by doc_id)), 6) as value from w"""
+
+
+_WORD_TRIGRAMS_SQL = rf"""
+tokens as (
+  select doc_id, list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}'),
+    lambda x: x not in ({sql_list(STOP_WORDS)})) as ts
+  from documents),
+counts as (
+  select doc_id, term, count(*) as tf
+  from (select doc_id, unnest([ts[i] || ' ' || ts[i + 1] || ' ' || ts[i + 2] for i in generate_series(1, len(ts) - 2)]) as term
+        from tokens) group by all)"""
+
+_CHAR_TRIGRAMS_SQL = r"""
+flat as (select doc_id, string_split(regexp_replace(lower(text), '[\s\x0b][\s\x0b]+', ' ', 'g'), '') as cs from documents),
+counts as (
+  select doc_id, term, count(*) as tf
+  from (select doc_id, unnest([cs[i] || cs[i + 1] || cs[i + 2] for i in generate_series(1, len(cs) - 2)]) as term from flat)
+  group by all)"""
+
 ORACLES = {
     "nb_scores": f"with {_SCORES_SQL} select doc_id, label, round(score, 4) as score from scores",
     "nb_tfidf_scores": f"""
@@ -360,4 +481,46 @@ from report""",
 with {_SCORES_SQL}
 select avg(case when label = prediction then 1.0e0 else 0.0e0 end) as accuracy from predicted""",
     "distinct_labels": "select distinct lang from documents",
+    "nb_mllib": f"with {_MLLIB_SQL} select doc_id, label, prediction from predicted",
+    "lr_saved": f"with {_TEST_SQL} select doc_id, label, true as same from test",
+    "lr_predict": f"with {_TEST_SQL} select doc_id, label, n_labels, {_SOUND} from test, classes",
+    "lr_multinomial": f"with {_TEST_SQL} select doc_id, label, n_labels, {_SOUND} from test, classes",
+    "lr_proba": f"""
+with {_TEST_SQL}
+select doc_id, c.label, true as is_probability
+from test, (select distinct lang as label from documents where {BUCKET_SQL} >= 25) c""",
+    "lr_top_features": _RANKS_SQL,
+    "lr_bottom_features": _RANKS_SQL,
+    "lr_report": f"""
+with {_TEST_SQL}
+select label, count(*) as support, true as agrees from test group by label
+union all select 'avg / total', count(*), true from test""",
+    "lr_quality": f"""
+select doc_id, quality::varchar as label, 2::bigint as n_labels, {_SOUND}
+from documents join labels using (doc_id) where {BUCKET_SQL} < 25""",
+    "lr_tfidf": _weights_sql(TERM_COUNTS_SQL, None),
+    "lr_ngram": _weights_sql(_WORD_TRIGRAMS_SQL, 5000),
+    "lr_char_ngram": _weights_sql(_CHAR_TRIGRAMS_SQL, 2000),
+    "lr_stats_union": rf"""
+with s as (
+  select doc_id, length(text)::double as l, regexp_extract_all(text, '[^\s.!?][^.!?]*[.!?]*') as ss,
+         len(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}')) as n_terms
+  from documents where {BUCKET_SQL} >= 25),
+v as (
+  select doc_id, l, len(ss)::double as n, n_terms,
+         case when len(ss) > 0 then list_sum([length(x) for x in ss])::double / len(ss) else 0 end as m from s)
+select doc_id, round(0.75 * l / (select stddev_samp(l) from v), 6) as length,
+       round(0.75 * n / (select stddev_samp(n) from v), 6) as num_sentences,
+       round(0.75 * m / (select stddev_samp(m) from v), 6) as avg_sentence_length,
+       case when n_terms > 0 then 2.0 else 0.0 end::double as tfidf_length, true as is_union
+from v""",
+    "grid_search": """
+select ngram::int as ngram, vocab_size::int as vocab_size, 10.0::double as cost, penalty,
+       t::double as tfidf_weight, s::double as stats_weight, true as has_accuracy
+from (values (2), (3)) a(ngram), (values (500), (1000)) b(vocab_size), (values ('l1'), ('l2')) c(penalty),
+     (values (1.0, 0.75), (0.75, 1.0)) e(t, s)""",
+    "predict_into_catalog": f"""
+with {_SCORES_SQL}
+select d.doc_id::varchar as isbn, d.lang as gtype, p.prediction as genres_predicted
+from documents d left join predicted p on p.doc_id = d.doc_id""",
 }

@@ -19,6 +19,8 @@ from tomeweave.plans import jobs
 from tomeweave.plans.registry import tables
 from tomeweave.plans.registry.catalogs import TAGS, TARGET_SQL
 from tomeweave.plans.registry.tables import rows, sql_list, table
+from tomeweave.sources import sinks
+from tomeweave.sources.workspace import fresh_path, materialise
 
 BASE = "https://books.example"
 ROOT = "/shelf"
@@ -48,13 +50,16 @@ def _book_pages(spark: SparkSession, d: str) -> DataFrame:
         f'  {vocab.TAG_NAME_LINE} href="/genres/', tag, '">', tag, "</a>",
         F.when(i % 7 == 0, " &gt; more").otherwise(""), "\n",
     )
-    count = F.when(i % 3 != 0, _text('  <a title="', i % 1000, ' people shelved this">\n')).otherwise("")
+    count = F.when(i % 3 != 0, _text('  <a title="', i % 1000, ' people shelved this">')).otherwise("")
+    below = F.when(i % 3 != 0, F.concat(name, count, F.lit("\n"))).otherwise(name)
+    # Some counts stand before the name on its own line.
+    line = F.when((i % 4 == 1) & (i % 7 != 0), F.concat(count, name)).otherwise(below)
     return _page_of_lines(
         rows(spark, d, "events", "event_id"),
         40,
         "isbn",
         f'<html>\n{vocab.TAG_NAME_LINE} href="/genres/before">\n<p>{vocab.TAG_SECTION_START}1">shelves\n',
-        F.concat(name, count),
+        line,
         f'{vocab.TAG_SECTION_END} href="#">more</a>\n{vocab.TAG_NAME_LINE} href="/genres/after">\n</html>',
     )
 
@@ -135,6 +140,16 @@ def listing_books(spark: SparkSession, d: str) -> DataFrame:
     return jobs.listing_entries(categories, store, BASE, ROOT).select("local_file", "page", "id", "title")
 
 
+def known_shelf_books(spark: SparkSession, d: str) -> DataFrame:
+    """The seven known categories; pages beyond a category's own are not asked for."""
+    number, codes = F.col("page_id"), [code for _, code, _ in vocab.SHELF_PAGES]
+    code = F.element_at(F.array(*map(F.lit, codes)), (number % len(codes) + 1).cast("int"))
+    url = names.category_page_url(BASE, code, F.floor(number / len(codes)) + 1)
+    store = tables.pages(spark, d).select(url.alias("url"), _category_html().alias("html"))
+    entries = jobs.listing_entries(None, store, BASE, ROOT)
+    return entries.select("local_file", "genre", "category", "page", "id", "title")
+
+
 def listing_catalog(spark: SparkSession, d: str) -> DataFrame:
     """One shelf was filled before, and the files of another did not arrive."""
     categories, store = _shelves(spark, d)
@@ -238,6 +253,15 @@ def build_catalog_ledger(spark: SparkSession, d: str) -> DataFrame:
     return _catalog_update(spark, d).ledger
 
 
+def append_ledger(spark: SparkSession, d: str) -> DataFrame:
+    """A ledger of two batches; in the second the skipped books are pending again."""
+    path = fresh_path(spark, "ledger")
+    resolved = materialise(_catalog_update(spark, d).ledger, "resolved")
+    sinks.append_ledger(resolved, "first", path)
+    sinks.append_ledger(cat.reset_status(resolved, "skipped"), "second", path)
+    return spark.read.parquet(path)
+
+
 QUERIES = {
     "tag_counts": tag_counts,
     "listing_counts": listing_counts,
@@ -245,12 +269,14 @@ QUERIES = {
     "listing_entries": listing_entries,
     "category_entries": category_entries,
     "listing_books": listing_books,
+    "known_shelf_books": known_shelf_books,
     "listing_catalog": listing_catalog,
     "pages_per_category": pages_per_category,
     "pages_lookup": pages_lookup,
     "identifiers_from_json": identifiers_from_json,
     "build_catalog": build_catalog,
     "build_catalog_ledger": build_catalog_ledger,
+    "append_ledger": append_ledger,
 }
 
 
@@ -366,6 +392,22 @@ select page_id, id, title, 'Author ' || trim(id) as author,
        '{BASE}/titles/' || id || '.html' as info_url
 from links""",
     "listing_books": f"with {_LISTED_SQL} select local_file, page, id, title from books",
+    "known_shelf_books": f"""
+with {_NAV_SQL},
+shelves(genre, category, pages, k) as (
+  values ('Adventure', 'ADV', 90, 0), ('Biography', 'BIO', 88, 1), ('History', 'HIS', 160, 2),
+         ('Mystery-Horror', 'MYS', 43, 3), ('Poetry', 'POE', 71, 4), ('Romance', 'ROM', 80, 5),
+         ('Science Fiction', 'SFC', 69, 6)),
+listed as (
+  select genre, category, page_id // 7 + 1 as page, id, title, 'Author ' || trim(id) as author
+  from links join shelves on k = page_id % 7 where page_id // 7 + 1 <= pages),
+filed as (
+  select *, '{ROOT}/' || genre || '/' || translate(substr(title, 1, 100), '<>:"/|?*', '') || '%%%'
+            || translate(substr(author, 1, 100), '<>:"/|?*', '') || '.txt' as local_file
+  from listed)
+select local_file, genre, category, page, id, title from (
+  select *, row_number() over (partition by local_file order by category, page, id, title, author) as rn from filed)
+where rn = 1""",
     "listing_catalog": f"""
 with {_LISTED_SQL}
 select title, author, genre, local_file,
@@ -401,4 +443,9 @@ select o_orderkey, count(id)::bigint as n_ids, coalesce(string_agg(id, ',' order
 from orders left join ids on k = o_orderkey group by o_orderkey""",
     "build_catalog": _BUILT_SQL,
     "build_catalog_ledger": f"with {_LEDGER_SQL} select file_name, id::varchar as isbn, status from ledger",
+    "append_ledger": f"""
+with {_LEDGER_SQL}
+select file_name, id::varchar as isbn, status, 'first' as batch from ledger
+union all
+select file_name, id::varchar, case when status = 'skipped' then 'pending' else status end, 'second' from ledger""",
 }

@@ -13,6 +13,7 @@ def local_session(cores: str | int = "*", name: str = "tomeweave", memory: str =
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", "8" if cores == "*" else cores)
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.tomeweave.inputPartitions", "8" if cores == "*" else cores)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,20 +11,111 @@ from pyspark.sql import functions as F
 from tomeweave.functions.clean import decode_bytes
 from tomeweave.functions.names import file_name_of, parent_name_of, parent_path_of
 from tomeweave.functions.text import strip
+from tomeweave.sources.workspace import materialise
 from tomeweave.vocab import SHELVES
 
 RAW_SCHEMA = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
 
 
-def _raw(spark: SparkSession, path: str, recursive: bool) -> DataFrame:
-    return (
-        spark.read.format("binaryFile")
-        .schema(RAW_SCHEMA)
-        .option("recursiveFileLookup", str(recursive).lower())
-        .load(path)
+def client_in_tasks():
+    """For use inside tasks: a function from a URI to a file-system client and its path.
+
+    The built-in file reader passes over empty files and names that begin with ``_`` or ``.``;
+    directories are therefore listed, and contents read, by a client in the tasks, for I/O only.
+    Defined as a closure, so that executors need not have this package.
+    """
+
+    def open_at(uri: str):
+        from pyarrow import fs
+
+        if "://" in uri and not uri.startswith("file:"):
+            return fs.FileSystem.from_uri(uri)
+        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+
+    return open_at
+
+
+_LISTED = "path STRING, directory BOOLEAN, length BIGINT, modificationTime TIMESTAMP"
+
+
+def _list_level(directories: DataFrame) -> DataFrame:
+    """What the directories of a ``path`` column hold."""
+    open_at = client_in_tasks()
+
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        types = [pa.string(), pa.bool_(), pa.int64(), pa.timestamp("us", tz="UTC")]
+        names = ["path", "directory", "length", "modificationTime"]
+        for batch in batches:
+            for uri in batch.column(0).to_pylist():
+                client, place = open_at(uri)
+                rows = [
+                    (f"{uri.rstrip('/')}/{f.base_name}", f.type == fs.FileType.Directory, f.size, f.mtime)
+                    for f in client.get_file_info(fs.FileSelector(place))
+                ]
+                columns = list(zip(*rows)) or [[]] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+
+    return directories.select("path").mapInArrow(run, _LISTED)
+
+
+def list_files(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
+    """``path, dir, file_name, length, modificationTime`` of every file; contents are not opened.
+
+    One round per level of directories, each dealt out over the tasks; the listing is stored.
+    """
+    start = root if "://" in root or root.startswith("file:") else f"file:{root}"
+    level = spark.createDataFrame([(start.rstrip("/"),)], "path STRING")
+    levels = []
+    while True:
+        found = materialise(_list_level(level), "listing")
+        levels.append(found.filter("NOT directory"))
+        level = found.filter("directory").select("path")
+        if not recursive or level.isEmpty():
+            break
+        level = level.repartition("path")
+    files = functools.reduce(DataFrame.unionByName, levels)
+    path = F.col("path")
+    return files.select(
+        path,
+        parent_path_of(path).alias("dir"),
+        file_name_of(path).alias("file_name"),
+        "length",
+        "modificationTime",
     )
 
 
+def read_contents(files: DataFrame) -> DataFrame:
+    """``files`` with the ``content`` of each ``path``; an empty file has an empty one."""
+    open_at = client_in_tasks()
+    carried = [c for c in files.columns if c != "content"]
+    schema = files.select(*carried).schema.add("content", "binary")
+    at = carried.index("path")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for i, uri in enumerate(batch.column(at).to_pylist()):
+                client, place = open_at(uri)
+                with client.open_input_stream(place, compression=None) as stream:
+                    content = stream.read()
+                row = batch.slice(i, 1)
+                yield pa.RecordBatch.from_arrays(
+                    [*row.columns, pa.array([content], pa.binary())], names=[*carried, "content"]
+                )
+
+    return files.select(*carried).mapInArrow(run, schema)
+
+
+def read_raw_files(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
+    """``path, dir, file_name, content``."""
+    listed = list_files(spark, root, recursive).select("path", "dir", "file_name")
+    return read_contents(listed.repartition("path"))
+
+
 def read_labelled_corpus(
     spark: SparkSession,
     root: str,
@@ -32,41 +124,20 @@ def read_labelled_corpus(
 ) -> DataFrame:
     """``path, label, text``: one row per file, labelled by its directory.
 
-    Without a ``charset`` it is decided per file. The category filter reads paths only.
+    Without a ``charset`` it is decided per file. Only files of the categories are opened.
     """
-    files = _raw(spark, root, recursive=True).withColumn("label", parent_name_of(F.col("path")))
+    files = list_files(spark, root).select("path", parent_name_of(F.col("path")).alias("label"))
     if categories is not None:
         files = files.filter(F.col("label").isin(list(categories)))
     content = F.col("content")
     text = decode_bytes(content) if charset is None else F.decode(content, charset)
-    return files.select("path", "label", text.alias("text"))
-
-
-def read_raw_files(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
-    """``path, dir, file_name, content``."""
-    path = F.col("path")
-    return _raw(spark, root, recursive).select(
-        path, parent_path_of(path).alias("dir"), file_name_of(path).alias("file_name"), "content"
-    )
+    return read_contents(files.repartition("path")).select("path", "label", text.alias("text"))
 
 
 def read_text_files(spark: SparkSession, path: str) -> DataFrame:
-    """``text, path``: each file as one value."""
-    return spark.read.text(path, wholetext=True).select(
-        F.col("value").alias("text"), F.col("_metadata.file_path").alias("path")
-    )
-
-
-def list_files(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
-    """``path, dir, file_name, length, modificationTime``; contents are not opened."""
-    path = F.col("path")
-    return _raw(spark, root, recursive).select(
-        path,
-        parent_path_of(path).alias("dir"),
-        file_name_of(path).alias("file_name"),
-        "length",
-        "modificationTime",
-    )
+    """``text, path``: each file as one value, as UTF-8 where it is that, else ISO-8859-1."""
+    raw = read_raw_files(spark, path)
+    return raw.select(decode_bytes(F.col("content")).alias("text"), "path")
 
 
 def read_directory_list(spark: SparkSession, path: str, root: str) -> DataFrame:
@@ -90,9 +161,5 @@ def existing_directories(directories: DataFrame, files: DataFrame) -> DataFrame:
     return directories.join(files.select("dir"), "dir", "left_semi")
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
-
-
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _CONF = "spark.checkpoint.dir"
 
@@ -27,6 +28,12 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{application}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or directory; errors in looking are errors."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a table that several plans reuse and read it back.
 
@@ -38,14 +45,29 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+# Rows up to which a stored table of terms or keys is broadcast, some tens of MB in memory.
+FEW = 500_000
+
+
+def broadcast_if_few(stored: DataFrame) -> DataFrame:
+    """A stored table as the small side of a join: broadcast if it has no more than ``FEW`` rows.
+
+    Beyond that the join is by merging, which lets a skewed partition be split. Either way the
+    other side, whose size Spark cannot estimate where it comes from an exploded array, is never
+    the one that is built into a hash table.
+    """
+    few = stored.limit(FEW + 1).count() <= FEW
+    return F.broadcast(stored) if few else stored.hint("merge")
+
+
+SPREAD = "spark.tomeweave.inputPartitions"
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Use every core on an input of few splits.
+    """Deal a scan out by a key, if the session asks for it: ``spark.tomeweave.inputPartitions``.
 
-    An input that has at least as many splits as the cluster has cores is left alone, so a
-    large scan is never shuffled. Hashing by a document's key also serves later steps that
-    group by it.
+    For small inputs in files of one split, as in tests and on one machine. Without the setting a
+    scan is left as it is.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)
+    wanted = df.sparkSession.conf.get(SPREAD, None)
+    return df.repartition(int(wanted), *keys) if wanted else df

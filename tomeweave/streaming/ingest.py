@@ -4,25 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamReader, StreamingQuery
 
 from tomeweave.functions.clean import charset_of, decode_bytes
 from tomeweave.functions.names import file_name_of, parent_name_of
 from tomeweave.operators.groups import keep_first
 from tomeweave.sources.files import RAW_SCHEMA
+from tomeweave.sources.workspace import path_exists
 
 
-def stream_raw_files(spark: SparkSession, root: str, files_per_batch: int = 100_000) -> DataFrame:
-    """``path, label, file_name, charset, text`` of each file, as files arrive."""
+def _reader(spark: SparkSession, files_per_batch: int | None) -> DataStreamReader:
+    reader = spark.readStream
+    return reader if files_per_batch is None else reader.option("maxFilesPerTrigger", files_per_batch)
+
+
+def stream_raw_files(spark: SparkSession, root: str, files_per_batch: int | None = None) -> DataFrame:
+    """``path, label, file_name, charset, text`` of each file, as files arrive.
+
+    The built-in file stream passes over empty files and names that begin with ``_`` or ``.``.
+    """
     path, content = F.col("path"), F.col("content")
     return (
-        spark.readStream.format("binaryFile")
+        _reader(spark, files_per_batch)
+        .format("binaryFile")
         .schema(RAW_SCHEMA)
         .option("recursiveFileLookup", "true")
-        .option("maxFilesPerTrigger", files_per_batch)
         .load(root)
         .select(
             path,
@@ -34,11 +42,11 @@ def stream_raw_files(spark: SparkSession, root: str, files_per_batch: int = 100_
     )
 
 
-def stream_table(spark: SparkSession, path: str, schema, files_per_batch: int = 100_000) -> DataFrame:
+def stream_table(
+    spark: SparkSession, path: str, schema, files_per_batch: int | None = None
+) -> DataFrame:
     """Rows of a Parquet table's files as they arrive."""
-    return (
-        spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
-    )
+    return _reader(spark, files_per_batch).schema(schema).parquet(path)
 
 
 def ingest_new(rows: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
@@ -54,7 +62,10 @@ def ingest_new(rows: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
 def ingest_first_per_key(
     rows: DataFrame, target: str, checkpoint: str, key: Sequence[str], order: Sequence[Column]
 ) -> StreamingQuery:
-    """Append rows whose key the target does not hold yet; within a batch the first wins.
+    """Append rows whose key the target does not hold yet.
+
+    Among the rows of one batch the first by ``order`` wins, between batches the earlier batch. A
+    stream without a cap on files is one batch per run, so the first of all that waits wins.
 
     Each batch owns one partition directory and overwrites only that, and compares itself with
     earlier batches only, so a batch that is run again after a failure leaves the same table.
@@ -73,13 +84,12 @@ def _first_writer(
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         fresh = keep_first(batch, key, order)
-        try:
-            held = spark.read.option("basePath", target).parquet(target)
-        except AnalysisException:
-            held = None
-        if held is not None:
+        if path_exists(spark, target):
+            schema = fresh.schema.add("batch", "integer")
+            held = spark.read.schema(schema).option("basePath", target).parquet(target)
+            same = [F.col(f"f.{c}").eqNullSafe(F.col(f"h.{c}")) for c in key]
             earlier = held.filter(F.col("batch") < batch_id).select(*key)
-            fresh = fresh.join(earlier, key, "left_anti")
+            fresh = fresh.alias("f").join(earlier.alias("h"), same, "left_anti")
         fresh.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
     return write
