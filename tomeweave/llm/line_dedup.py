@@ -211,8 +211,9 @@ def dedup(docs: DataFrame, least: int = LEAST, many: int = MANY) -> DataFrame:
     lost = materialise(repeats(docs, least, many), "line-repeats")
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows = docs.select(own.alias("row"), F.xxhash64(F.col("text")).alias("th")).alias("d")
+    # One shuffle of the texts, at any size; the narrow side is the one built into a table.
     joined = rows.join(
-        small(lost, SMALL // 4).alias("l"),
+        lost.hint("shuffle_hash").alias("l"),
         F.col("d.row.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("d.th") == F.col("l.th")),
         "left",
     )
