@@ -125,7 +125,8 @@ def _true_neighbours(indexed: DataFrame, asked: pd.DataFrame, dims: int, k: int)
     ids, rows = asked["vec_id"].to_numpy(), matrix(asked["v"], dims)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))] * len(ids)
+        none = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        kept: list[tuple] = [none] * len(ids)
         for batch in batches:
             held, leaf = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             vectors = matrix(batch.column(1).to_pylist(), dims)
@@ -136,8 +137,8 @@ def _true_neighbours(indexed: DataFrame, asked: pd.DataFrame, dims: int, k: int)
                 leaves = np.concatenate([kept[i][2], leaf[other]])
                 first = best(score, all_ids, k)
                 kept[i] = all_ids[first], score[first], leaves[first]
-        n = [len(x[0]) for x in kept]
-        columns = [np.repeat(ids, n), *(np.concatenate([x[j] for x in kept]) for j in range(3))]
+        n = np.array([len(x[0]) for x in kept], int)
+        columns = [np.repeat(ids, n), *(np.concatenate([none[j], *(x[j] for x in kept)]) for j in range(3))]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "vec_id", "score", "leaf"])
 
     found = indexed.select("vec_id", "v", "leaf").mapInArrow(run, HITS + ", leaf LONG")
