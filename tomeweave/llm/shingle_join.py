@@ -12,7 +12,7 @@ similarity t share one of the first n - ceil(t n) + 1 shingles of any fixed orde
 puts common shingles last, by a count sketch over all documents. A tree holds the documents of one
 shingle; trees of the same documents are one. Equal sets are one point throughout.
 
-Large trees are first probed from a few pivots, which joins groups of near copies in linear time.
+Large trees are first probed from one pivot, which joins groups of near copies in linear time.
 What is left in more than one class is cut into blocks; points meet block by block, points of one
 class are never compared, and a branch of the query's own class is not entered. So no group is
 paired out, whatever its size. Links become classes by alternating stars.
@@ -42,7 +42,7 @@ from tomeweave.sources.workspace import materialise
 NEED = (100, 75)
 DIMS = 128
 # Counters of the sketch that tells common shingles, and rows of it that are added up together.
-COUNTERS, SLOTS = 1 << 20, 64
+COUNTERS, SLOTS = 1 << 18, 16
 # Points of a leaf and branches of a node; groups up to a leaf are compared point by point.
 LEAF = 16
 # Points of a block.
@@ -126,7 +126,7 @@ def describe(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
         total = np.zeros(COUNTERS // SLOTS, np.uint64)
         for part in group["point"]:
             total += np.frombuffer(part, np.uint32)
-        ranks = np.log2(total + 1).round().astype(np.uint8)
+        ranks = (4 * np.log2(total + 1)).round().astype(np.uint8)
         return pd.DataFrame({"slot": group["slot"].iloc[:1], "ranks": [ranks.tobytes()]})
 
     tallies = rows.where("slot IS NOT NULL").select("slot", "point")
@@ -196,12 +196,14 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return int((b[at] == a).sum()) >= overlap_needed(len(a), len(b))
 
 
-def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` of set names that are links, bound first, then compared in full."""
-    ends = sets.where("sig IS NOT NULL").select("sig", "n", "point").dropDuplicates(["sig"])
-    ends = materialise(ends.join(small(materialise(
-        pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct(), "ends"
-    ), SMALL), "sig", "left_semi"), "end-points")
+def _with_end(rows: DataFrame, end: str, held: DataFrame, value: str, name: str) -> DataFrame:
+    return rows.join(held.select(F.col("sig").alias(end), F.col(value).alias(name)), end)
+
+
+def bounded(pairs: DataFrame, ends: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` of set names whose sizes and points allow a link."""
+    sizes = _with_end(_with_end(pairs, "a", ends, "n", "na"), "b", ends, "n", "nb")
+    near = sizes.where(F.least("na", "nb") * NEED[0] >= F.greatest("na", "nb") * NEED[1]).select("a", "b")
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,12 +212,12 @@ def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
             ok = shared >= overlap_needed(x.sum(axis=1, dtype=np.int64), y.sum(axis=1, dtype=np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(ok)) for i in (0, 1)], names=["a", "b"])
 
-    def with_end(rows: DataFrame, end: str, held: DataFrame, value: str, name: str) -> DataFrame:
-        return rows.join(held.select(F.col("sig").alias(end), F.col(value).alias(name)), end)
+    both = _with_end(_with_end(near, "a", ends, "point", "x"), "b", ends, "point", "y")
+    return materialise(both.select("a", "b", "x", "y").mapInArrow(bound, "a LONG, b LONG"), "candidates")
 
-    both = with_end(with_end(pairs, "a", ends, "point", "x"), "b", ends, "point", "y")
-    may = materialise(both.select("a", "b", "x", "y").mapInArrow(bound, "a LONG, b LONG"), "candidates")
-    whole = _sets(docs, sets, may.select(F.explode(F.array("a", "b")).alias("sig")))
+
+def compared(pairs: DataFrame, whole: DataFrame) -> DataFrame:
+    """The pairs whose sets, ``sig, shingles``, are linked."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,10 +227,29 @@ def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(ok, pa.bool_())) for i in (0, 1)], names=["a", "b"])
 
-    both = with_end(with_end(may, "a", whole, "shingles", "x"), "b", whole, "shingles", "y")
+    both = _with_end(_with_end(pairs, "a", whole, "shingles", "x"), "b", whole, "shingles", "y")
     return materialise(both.select("a", "b", "x", "y").mapInArrow(compare, "a LONG, b LONG"), "links")
 
 
+def verified(docs: DataFrame, sets: DataFrame, ends: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Links among the pairs that join what all links among them join.
+
+    Each set is compared with its least candidate first; of the other pairs only those are
+    compared that this has left in different classes.
+    """
+    may = bounded(pairs, ends)
+    whole = _sets(docs, sets, may.select(F.explode(F.array("a", "b")).alias("sig")))
+    forest = materialise(may.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "forest")
+    first = compared(forest, whole)
+    classes = materialise(components(first), "forest-classes")
+    rest = may
+    for end in ("a", "b"):
+        named = small(classes.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")), SMALL)
+        rest = rest.join(named, end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
+    rest = rest.where("ca <> cb").select("a", "b").join(forest, ["a", "b"], "left_anti")
+    return first.unionByName(compared(materialise(rest, "rest"), whole))
+
+
 class CountTree:
     """An R-tree over count vectors, packed by size; nodes keep the upper corner of their points."""
 
@@ -266,6 +287,7 @@ def _matrix(column) -> np.ndarray:
 def _promising(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     """The points of two blocks that may be linked to one of another class in the other block."""
     out = set()
+    tree_id = int(left["tree"].iloc[0]) if len(left) else 0
     if len(left) and len(right):
         rows, classes = _matrix(left["point"]), left["class"].to_numpy()
         tree = CountTree(_matrix(right["point"]), right["class"].to_numpy())
@@ -276,7 +298,7 @@ def _promising(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             if len(at):
                 out.add(sig)
                 out.update(names[at].tolist())
-    return pd.DataFrame({"sig": pd.Series(sorted(out), dtype="int64")})
+    return pd.DataFrame({"tree": tree_id, "sig": pd.Series(sorted(out), dtype="int64")}).astype("int64")
 
 
 def _joined(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -331,6 +353,14 @@ def _blocks(members: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _meeting(dealt: DataFrame, meet: DataFrame, run, schema: str) -> DataFrame:
+    def alone(a: pd.DataFrame) -> pd.DataFrame:
+        a = a.sort_values("sig", ignore_index=True)
+        return run(a, a)
+
+    # A block that meets itself is sent once.
+    own = dealt.join(meet.where("left = right").select("tree", F.col("left").alias("block")), ["tree", "block"])
+    own = own.groupBy("tree", "block").applyInPandas(alone, schema)
+    meet = meet.where("left <> right")
     key = ["tree", "left", "right"]
     left = dealt.join(meet.withColumnRenamed("left", "block"), ["tree", "block"]).withColumnRenamed("block", "left")
     right = dealt.join(meet.withColumnRenamed("right", "block"), ["tree", "block"]).withColumnRenamed("block", "right")
@@ -340,34 +370,35 @@ def _meeting(dealt: DataFrame, meet: DataFrame, run, schema: str) -> DataFrame:
     def both(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         return run(a.sort_values("sig", ignore_index=True), b.sort_values("sig", ignore_index=True))
 
-    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(both, schema)
+    return own.unionByName(left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(both, schema))
 
 
 def links(docs: DataFrame, sets: DataFrame, order: np.ndarray) -> DataFrame:
     """``a, b``: links between set names that join exactly what all links join."""
     held = trees(docs, order)
-    sizes = materialise(held.groupBy("tree").agg(F.count("*").alias("size"), F.min("sig").alias("p0"), F.max("sig").alias("p1")), "tree-sizes")
+    sizes = materialise(held.groupBy("tree").agg(F.count("*").alias("size"), F.min("sig").alias("pivot")), "tree-sizes")
+    members = materialise(held.select("sig").distinct(), "tree-members")
+    ends = sets.where("sig IS NOT NULL").join(small(members, SMALL), "sig", "left_semi")
+    ends = materialise(ends.groupBy("sig").agg(F.first("n").alias("n"), F.first("point").alias("point")), "end-points")
     # Up to a leaf, every point of a tree meets every other.
     few = materialise(held.join(sizes.where(F.col("size") <= LEAF).select("tree"), "tree"), "small-trees")
     pairs = few.alias("x").join(few.alias("y"), "tree").where("x.sig < y.sig").select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b"))
     large = materialise(held.join(sizes.where(F.col("size") > LEAF).drop("size"), "tree"), "large-trees")
-    for pivot in ("p0", "p1"):
-        star = large.where(f"{pivot} <> sig")
-        pairs = pairs.unionByName(star.select(F.least(pivot, "sig").alias("a"), F.greatest(pivot, "sig").alias("b")))
-    first = verified(docs, sets, materialise(pairs.distinct(), "pairs"))
+    pairs = pairs.unionByName(large.where("pivot <> sig").select(F.col("pivot").alias("a"), F.col("sig").alias("b")))
+    first = verified(docs, sets, ends, materialise(pairs.distinct(), "pairs"))
     classes = components(first)
     classed = large.join(classes, F.col("sig") == F.col("node"), "left").select("tree", "sig", F.coalesce("component", "sig").alias("class"))
     classed = materialise(classed, "classed")
     open_ = classed.groupBy("tree").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("tree")
     members = classed.join(small(materialise(open_, "open-trees"), SMALL), "tree", "left_semi")
-    ends = sets.where("sig IS NOT NULL").select("sig", "point").dropDuplicates(["sig"])
-    members = materialise(members.join(ends, "sig"), "members")
+    members = materialise(members.join(ends.select("sig", "point"), "sig"), "members")
     if members.isEmpty():
         return first
     dealt, meet = _blocks(members)
-    promising = materialise(_meeting(dealt, meet, _promising, "sig LONG").distinct(), "promising")
+    promising = materialise(_meeting(dealt, meet, _promising, "tree LONG, sig LONG").distinct(), "promising")
     whole = _sets(docs, sets, promising)
-    left = materialise(dealt.drop("block").join(whole, "sig"), "left-over")
+    left = dealt.drop("block").join(promising, ["tree", "sig"], "left_semi").join(whole, "sig")
+    left = materialise(left, "left-over")
     dealt, meet = _blocks(left)
     second = materialise(_meeting(dealt, meet, _joined, "a LONG, b LONG").distinct(), "links")
     return first.unionByName(second)
