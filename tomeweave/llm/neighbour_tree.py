@@ -33,8 +33,8 @@ from tomeweave.sources.workspace import materialise
 SAMPLE, CALIBRATION = 20_000, 200
 # Children of a node, rows a leaf should hold, Lloyd steps of a node.
 BRANCH, LEAF, STEPS = 8, 256, 8
-# Rows and queries of a block.
-BLOCK, QUERIES = 4096, 1024
+# Rows and queries of a block, leaves visited before the others get a bound.
+BLOCK, QUERIES, FIRST = 4096, 1024, 8
 
 
 def distances(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -164,7 +164,7 @@ def calibrate(tree: Tree, true: pd.DataFrame, asked: pd.DataFrame, recall: float
     return 1 + sorted(places)[max(0, int(np.ceil(recall * len(places))) - 1)]
 
 
-def neighbours(embeddings: DataFrame, queries: Column, k: int = 10, recall: float = 0.97) -> DataFrame:
+def neighbours(embeddings: DataFrame, queries: Column, k: int = 10, recall: float = 0.95) -> DataFrame:
     """``query_id, rank, vec_id, score``: Euclidean neighbours of the rows ``queries`` holds for."""
     dims = dimensions(embeddings)
     packed = materialise(
@@ -201,50 +201,62 @@ def neighbours(embeddings: DataFrame, queries: Column, k: int = 10, recall: floa
                     if at >= visits and room > k:
                         break
                     room += held.get(leaf, 0)
-                    out.append((i, v, leaf))
-            columns = list(zip(*out)) or [[]] * 3
+                    out.append((i, v, leaf, at < FIRST))
+            columns = list(zip(*out)) or [[]] * 4
+            types = (pa.int64(), pa.binary(), pa.int64(), pa.bool_())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.int64()))], names=["query_id", "q", "leaf"]
+                [pa.array(c, t) for c, t in zip(columns, types)], names=["query_id", "q", "leaf", "first"]
             )
 
-    routed = materialise(
-        indexed.where("asks").select("vec_id", "v").mapInArrow(route, "query_id LONG, q BINARY, leaf LONG"), "visits"
-    )
+    routed = indexed.where("asks").select("vec_id", "v").mapInArrow(route, "query_id LONG, q BINARY, leaf LONG, first BOOLEAN")
+    routed = materialise(routed, "visits")
+    # The nearest bins give each query a distance that the others have to beat.
+    first = routed.where("first").withColumn("bound", F.lit(float("inf")))
+    found = materialise(_search(indexed, first, chunks, dims, k), "first-hits")
+    bounds = ranked(found, k, descending=False).where(F.col("rank") == k).select("query_id", F.col("score").alias("bound"))
+    others = routed.where("NOT first").join(materialise(bounds, "bounds"), "query_id", "left")
+    others = others.withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
+    hits = found.unionByName(_search(indexed, others, chunks, dims, k))
+    return ranked(hits, k, descending=False).select("query_id", "rank", "vec_id", "score")
+
+
+def _search(indexed: DataFrame, routed: DataFrame, chunks: dict[int, int], dims: int, k: int) -> DataFrame:
+    """The ``k`` best within ``bound`` of every visit of a query to a block of a leaf's rows."""
+    routed = materialise(routed.select("query_id", "q", "leaf", "bound"), "routed")
     # Leaves that many queries visit hand out copies of their rows, one for each block of queries.
     blocks = {r["leaf"]: -(-r["count"] // QUERIES) for r in routed.groupBy("leaf").count().collect()}
 
     def lookup(pairs: dict[int, int]) -> Column:
-        return F.coalesce(
-            F.element_at(F.create_map(*[F.lit(x) for p in (pairs or {-1: 1}).items() for x in p]), F.col("leaf")), F.lit(0)
-        ).cast("int")
+        sizes = F.create_map(*[F.lit(x) for p in (pairs or {-1: 1}).items() for x in p])
+        return F.coalesce(F.element_at(sizes, F.col("leaf")), F.lit(0)).cast("int")
+
+    def one_of(n: Column, *key: str) -> Column:
+        return F.pmod(F.xxhash64(*key), F.greatest(n, F.lit(1))).cast("int")
 
     def each(n: Column) -> Column:
         return F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")))
 
     stored = indexed.select(
-        "vec_id", "v", "leaf", F.pmod(F.xxhash64("vec_id", "v"), F.greatest(lookup(chunks), F.lit(1))).cast("int").alias("chunk"),
-        each(lookup(blocks)).alias("block"),
+        "vec_id", "v", "leaf", one_of(lookup(chunks), "vec_id", "v").alias("chunk"), each(lookup(blocks)).alias("block")
     )
     visiting = routed.select(
-        "query_id", "q", "leaf", F.pmod(F.xxhash64("query_id"), F.greatest(lookup(blocks), F.lit(1))).cast("int").alias("block"),
-        each(lookup(chunks)).alias("chunk"),
+        "query_id", "q", "bound", "leaf", one_of(lookup(blocks), "query_id").alias("block"), each(lookup(chunks)).alias("chunk")
     )
 
-    def search(rows_: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
+    def search(rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "vec_id": pd.Series([], dtype="int64"),
                              "score": pd.Series([], dtype="float64")})]
-        if len(rows_) and len(asks):
-            ids, vectors = rows_["vec_id"].to_numpy(), matrix(rows_["v"], dims)
-            for i, q in zip(asks["query_id"], asks["q"]):
-                other = ids != i
-                score = distances(vectors[other], np.frombuffer(q))
-                first = best(score, ids[other], k)
-                out.append(pd.DataFrame({"query_id": i, "vec_id": ids[other][first], "score": score[first]}))
+        if len(rows) and len(asks):
+            ids, vectors = rows["vec_id"].to_numpy(), matrix(rows["v"], dims)
+            for i, q, bound in zip(asks["query_id"], asks["q"], asks["bound"]):
+                score = distances(vectors, np.frombuffer(q))
+                near = np.flatnonzero((ids != i) & (score <= bound))
+                near = near[best(score[near], ids[near], k)]
+                out.append(pd.DataFrame({"query_id": i, "vec_id": ids[near], "score": score[near]}))
         return pd.concat(out, ignore_index=True)
 
     key = ["leaf", "chunk", "block"]
-    hits = stored.groupBy(*key).cogroup(visiting.groupBy(*key)).applyInPandas(search, HITS)
-    return ranked(hits, k, descending=False).select("query_id", "rank", "vec_id", "score")
+    return stored.groupBy(*key).cogroup(visiting.groupBy(*key)).applyInPandas(search, HITS)
 
 
 def query(spark, folder: str) -> DataFrame:
