@@ -247,12 +247,20 @@ def _search(indexed: DataFrame, routed: DataFrame, chunks: dict[int, int], dims:
         out = [pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "vec_id": pd.Series([], dtype="int64"),
                              "score": pd.Series([], dtype="float64")})]
         if len(rows) and len(asks):
-            ids, vectors = rows["vec_id"].to_numpy(), matrix(rows["v"], dims)
-            for i, q, bound in zip(asks["query_id"], asks["q"], asks["bound"]):
-                score = distances(vectors, np.frombuffer(q))
-                near = np.flatnonzero((ids != i) & (score <= bound))
-                near = near[best(score[near], ids[near], k)]
-                out.append(pd.DataFrame({"query_id": i, "vec_id": ids[near], "score": score[near]}))
+            ids, vectors, asked = rows["vec_id"].to_numpy(), matrix(rows["v"], dims), matrix(asks["q"], dims)
+            lengths, own = (vectors**2).sum(axis=1), (asked**2).sum(axis=1)
+            # Products choose who is measured; the slack is far above their rounding.
+            rough = lengths[:, None] + own - 2 * vectors @ asked.T
+            for j, (i, bound) in enumerate(zip(asks["query_id"], asks["bound"])):
+                slack = 1e-9 * (lengths.max() + own[j])
+                column = np.where(ids == i, np.inf, rough[:, j])
+                kth = np.partition(column, k - 1)[k - 1] if len(column) > k else np.inf
+                near = np.flatnonzero((column <= min(kth, bound * bound) + slack) & (ids != i))
+                score = distances(vectors[near], asked[j])
+                near, score = near[score <= bound], score[score <= bound]
+                first = best(score, ids[near], k)
+                if len(first):
+                    out.append(pd.DataFrame({"query_id": i, "vec_id": ids[near][first], "score": score[first]}))
         return pd.concat(out, ignore_index=True)
 
     key = ["leaf", "chunk", "block"]
