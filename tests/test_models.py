@@ -9,7 +9,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from tomeweave.operators import evaluate, linear, terms
+from tomeweave.operators import evaluate, linear, stages, terms
 from tomeweave.operators.stages import DocumentStats
 from tomeweave.plans import jobs
 from tomeweave.sources import sinks
@@ -141,7 +141,7 @@ def test_vocabulary_is_whole_and_does_not_depend_on_partitions(spark, monkeypatc
 
 def test_split_keeps_rows_without_a_key(spark):
     df = spark.createDataFrame([(1,), (None,), (2,)], "k int")
-    train, test = split_by_hash(df, "k")
+    train, test = terms.split_by_hash(df, "k")
     assert train.count() + test.count() == 3 and train.filter("k is null").count() == 1
 
 

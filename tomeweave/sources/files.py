@@ -39,7 +39,7 @@ _LISTED = "path STRING, directory BOOLEAN, length BIGINT, modificationTime TIMES
 
 
 def _list_level(directories: DataFrame) -> DataFrame:
-    """What the directories of a ``path`` column hold."""
+    """What the directories of a ``path`` column hold; a file stands for itself."""
     open_at = client_in_tasks()
 
     def run(batches):
@@ -51,10 +51,14 @@ def _list_level(directories: DataFrame) -> DataFrame:
         for batch in batches:
             for uri in batch.column(0).to_pylist():
                 client, place = open_at(uri)
-                rows = [
-                    (f"{uri.rstrip('/')}/{f.base_name}", f.type == fs.FileType.Directory, f.size, f.mtime)
-                    for f in client.get_file_info(fs.FileSelector(place))
-                ]
+                own = client.get_file_info(place)
+                if own.type == fs.FileType.File:
+                    rows = [(uri, False, own.size, own.mtime)]
+                else:
+                    rows = [
+                        (f"{uri.rstrip('/')}/{f.base_name}", f.type == fs.FileType.Directory, f.size, f.mtime)
+                        for f in client.get_file_info(fs.FileSelector(place))
+                    ]
                 columns = list(zip(*rows)) or [[]] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
