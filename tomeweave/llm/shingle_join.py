@@ -1,10 +1,12 @@
 """N-gram Jaccard join of whole documents, through R-trees over count vectors.
 
-A document is the set of its distinct word shingles. The shingles are hashed into DIMS groups, and
-the numbers per group are the document's point. No two sets share more than the sum, over the
-groups, of the smaller of their numbers; a tree whose nodes keep the largest numbers below them
-bounds that for all points of a branch at once, and branches that cannot reach the overlap a link
-needs are not entered. What survives is verified on the sets themselves.
+A document is the set of its distinct word shingles. The shingles are hashed into groups, and the
+numbers per group are the document's point. No two sets share more than the sum, over the groups,
+of the smaller of their numbers; a tree whose nodes keep the largest numbers below them bounds that
+for all points of a branch at once, and branches that cannot reach the overlap a link needs are
+not entered. What survives is verified on the sets themselves. A set has about a quarter as many
+groups as shingles, a power of two, without which long documents would all look alike; points of
+neighbouring resolutions are compared at the coarser one, by adding up groups.
 
 One tree over all documents would be entered nearly everywhere, as documents of one length have
 nearly the same counts. So documents are dealt to many trees by rare shingles: two sets linked at
@@ -40,7 +42,8 @@ from tomeweave.sources.workspace import materialise
 
 # A link: NEED[0] * intersection >= NEED[1] * union.
 NEED = (100, 75)
-DIMS = 128
+# Groups: powers of two from 2 ** 7 to 2 ** 16; a count that does not fit a byte is no bound.
+FINEST, COARSEST, FULL, MANY = 16, 7, 255, 1 << 14
 # Counters of the sketch that tells common shingles, and rows of it that are added up together.
 COUNTERS, SLOTS = 1 << 18, 16
 # Points of a leaf and branches of a node; groups up to a leaf are compared point by point.
@@ -62,8 +65,21 @@ def prefix_length(n: int) -> int:
 
 
 def points(shingles: np.ndarray) -> bytes:
-    """Numbers per group, as 32-bit integers."""
-    return np.bincount((shingles >> np.uint64(57)).astype(np.int64), minlength=DIMS).astype("<u4").tobytes()
+    """Numbers per group, a byte each."""
+    bits = COARSEST
+    while bits < FINEST and 4 << bits < len(shingles):
+        bits += 1
+    counts = np.bincount((shingles >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return np.minimum(counts, FULL).astype(np.uint8).tobytes()
+
+
+def unpacked(packed: list[bytes], groups: int) -> np.ndarray:
+    """Points of one resolution, added up to ``groups`` groups."""
+    rows = np.frombuffer(b"".join(packed), np.uint8).reshape(len(packed), -1).astype(np.uint16)
+    rows[rows == FULL] = MANY
+    if rows.shape[1] > groups:
+        rows = rows.reshape(len(rows), groups, -1).sum(axis=2, dtype=np.uint16)
+    return rows
 
 
 def signature(shingles: np.ndarray) -> int:
@@ -203,17 +219,25 @@ def _with_end(rows: DataFrame, end: str, held: DataFrame, value: str, name: str)
 def bounded(pairs: DataFrame, ends: DataFrame) -> DataFrame:
     """The pairs ``a, b`` of set names whose sizes and points allow a link."""
     sizes = _with_end(_with_end(pairs, "a", ends, "n", "na"), "b", ends, "n", "nb")
-    near = sizes.where(F.least("na", "nb") * NEED[0] >= F.greatest("na", "nb") * NEED[1]).select("a", "b")
+    near = sizes.where(F.least("na", "nb") * NEED[0] >= F.greatest("na", "nb") * NEED[1])
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u4").reshape(-1, DIMS) for i in (2, 3))
-            shared = np.minimum(x, y).sum(axis=1, dtype=np.int64)
-            ok = shared >= overlap_needed(x.sum(axis=1, dtype=np.int64), y.sum(axis=1, dtype=np.int64))
+            sizes = overlap_needed(batch.column(2).to_numpy(), batch.column(3).to_numpy())
+            x, y = np.array(batch.column(4).to_pylist(), object), np.array(batch.column(5).to_pylist(), object)
+            kinds = np.array([[len(p) for p in x], [len(p) for p in y]]).reshape(2, -1)
+            ok = np.zeros(batch.num_rows, bool)
+            for gx, gy in set(map(tuple, kinds.T.tolist())):
+                rows = np.flatnonzero((kinds[0] == gx) & (kinds[1] == gy))
+                for at in np.array_split(rows, -(-len(rows) * max(gx, gy) // (1 << 22))):
+                    low = min(gx, gy)
+                    shared = np.minimum(unpacked(x[at].tolist(), low), unpacked(y[at].tolist(), low))
+                    ok[at] = shared.sum(axis=1, dtype=np.int64) >= sizes[at]
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(ok)) for i in (0, 1)], names=["a", "b"])
 
     both = _with_end(_with_end(near, "a", ends, "point", "x"), "b", ends, "point", "y")
-    return materialise(both.select("a", "b", "x", "y").mapInArrow(bound, "a LONG, b LONG"), "candidates")
+    both = both.select("a", "b", "na", "nb", "x", "y")
+    return materialise(both.mapInArrow(bound, "a LONG, b LONG"), "candidates")
 
 
 def compared(pairs: DataFrame, whole: DataFrame) -> DataFrame:
@@ -253,35 +277,64 @@ def verified(docs: DataFrame, sets: DataFrame, ends: DataFrame, pairs: DataFrame
 class CountTree:
     """An R-tree over count vectors, packed by size; nodes keep the upper corner of their points."""
 
-    def __init__(self, rows: np.ndarray, classes: np.ndarray):
-        sizes = rows.sum(axis=1, dtype=np.int64)
+    def __init__(self, rows: np.ndarray, sizes: np.ndarray, classes: np.ndarray):
         # Neighbours in size, then in their strongest groups, share a leaf.
         self.order = np.lexsort((rows.argmax(axis=1), sizes))
         self.rows, self.sizes, self.classes = rows[self.order], sizes[self.order], classes[self.order]
-        corner, low, high = self.rows, self.sizes, self.sizes
+        node = self.rows, self.sizes, self.sizes, self.classes, self.classes
         self.levels = []
-        while len(corner) > 1:
-            cuts = np.arange(0, len(corner), LEAF)
-            corner = np.maximum.reduceat(corner, cuts, axis=0)
-            low, high = np.minimum.reduceat(low, cuts), np.maximum.reduceat(high, cuts)
-            self.levels.append((corner, low, high))
-
-    def search(self, row: np.ndarray, size: int) -> np.ndarray:
-        """Indices of the points that may be linked to a point; all that are, are among them."""
+        while len(node[0]) > 1:
+            cuts = np.arange(0, len(node[0]), LEAF)
+            least, most = np.minimum.reduceat, np.maximum.reduceat
+            node = (
+                most(node[0], cuts, axis=0), least(node[1], cuts), most(node[2], cuts),
+                least(node[3], cuts), most(node[4], cuts),
+            )
+            self.levels.append(node)
+
+    def search(self, row: np.ndarray, size: int, own: int) -> np.ndarray:
+        """Indices of the points of other classes that may be linked to a point: all that are, too."""
         at = np.zeros(1, int) if self.levels else np.arange(len(self.rows))
         for depth in range(len(self.levels) - 1, -1, -1):
-            corner, low, high = self.levels[depth]
-            at = at[(NEED[0] * high[at] >= NEED[1] * size) & (NEED[1] * low[at] <= NEED[0] * size)]
+            corner, low, high, first, last = self.levels[depth]
+            near = (NEED[0] * high[at] >= NEED[1] * size) & (NEED[1] * low[at] <= NEED[0] * size)
+            at = at[near & ~((first[at] == own) & (last[at] == own))]
             shared = np.minimum(corner[at], row).sum(axis=1, dtype=np.int64)
             at = at[shared >= overlap_needed(low[at], size)]
             at = (at[:, None] * LEAF + np.arange(LEAF)).ravel()
             at = at[at < (len(self.levels[depth - 1][0]) if depth else len(self.rows))]
+        at = at[self.classes[at] != own]
         shared = np.minimum(self.rows[at], row).sum(axis=1, dtype=np.int64)
-        return at[shared >= overlap_needed(self.sizes[at], size)]
+        return self.order[at[shared >= overlap_needed(self.sizes[at], size)]]
+
+
+class Trees:
+    """A tree for each resolution, over its points and those of the next finer one.
+
+    Linked sets differ by a third in size at most, and so by one resolution.
+    """
+
+    def __init__(self, packed: list[bytes], sizes: np.ndarray, classes: np.ndarray):
+        self.groups = np.array([len(p) for p in packed], int)
+        self.trees = {}
+        for g in set(self.groups.tolist()):
+            held = [np.flatnonzero(self.groups == x) for x in (g, 2 * g)]
+            rows = np.concatenate([unpacked([packed[i] for i in h], g) for h in held if len(h)])
+            held = np.concatenate(held)
+            self.trees[g] = held, CountTree(rows, sizes[held], classes[held])
+
+    def search(self, packed: bytes, size: int, own: int) -> np.ndarray:
+        found = []
+        for g in (len(packed), len(packed) // 2):
+            if g in self.trees:
+                held, tree = self.trees[g]
+                at = held[tree.search(unpacked([packed], g)[0], size, own)]
+                found.append(at if g == len(packed) else at[self.groups[at] == g])
+        return np.concatenate(found) if found else np.zeros(0, int)
 
 
-def _matrix(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column), "<u4").reshape(-1, DIMS)
+def _trees(block: pd.DataFrame) -> Trees:
+    return Trees(block["point"].tolist(), block["n"].to_numpy(), block["class"].to_numpy())
 
 
 def _promising(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -289,12 +342,9 @@ def _promising(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     out = set()
     tree_id = int(left["tree"].iloc[0]) if len(left) else 0
     if len(left) and len(right):
-        rows, classes = _matrix(left["point"]), left["class"].to_numpy()
-        tree = CountTree(_matrix(right["point"]), right["class"].to_numpy())
-        names = right["sig"].to_numpy()[tree.order]
-        for sig, row, own in zip(left["sig"], rows, classes):
-            at = tree.search(row, int(row.sum()))
-            at = at[tree.classes[at] != own]
+        trees_, names = _trees(right), right["sig"].to_numpy()
+        for sig, n, point, own in zip(left["sig"], left["n"], left["point"], left["class"]):
+            at = trees_.search(point, n, own)
             if len(at):
                 out.add(sig)
                 out.update(names[at].tolist())
@@ -313,14 +363,12 @@ def _joined(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
                 c = root[c]
             return c
 
-        rows = _matrix(left["point"])
-        tree = CountTree(_matrix(right["point"]), right["class"].to_numpy())
-        names = right["sig"].to_numpy()[tree.order]
-        sets = [np.frombuffer(right["shingles"].iloc[i], np.uint64) for i in tree.order]
-        for sig, row, own, held in zip(left["sig"], rows, left["class"], left["shingles"]):
+        trees_, names, classes = _trees(right), right["sig"].to_numpy(), right["class"].to_numpy()
+        sets = [np.frombuffer(s, np.uint64) for s in right["shingles"]]
+        for sig, n, point, own, held in zip(left["sig"], left["n"], left["point"], left["class"], left["shingles"]):
             mine = np.frombuffer(held, np.uint64)
-            for i in tree.search(row, int(row.sum())):
-                a, b = find(int(own)), find(int(tree.classes[i]))
+            for i in trees_.search(point, n, own):
+                a, b = find(int(own)), find(int(classes[i]))
                 if a != b and linked(mine, sets[i]):
                     root[max(a, b)] = min(a, b)
                     links.append((int(sig), int(names[i])))
@@ -391,7 +439,7 @@ def links(docs: DataFrame, sets: DataFrame, order: np.ndarray) -> DataFrame:
     classed = materialise(classed, "classed")
     open_ = classed.groupBy("tree").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("tree")
     members = classed.join(small(materialise(open_, "open-trees"), SMALL), "tree", "left_semi")
-    members = materialise(members.join(ends.select("sig", "point"), "sig"), "members")
+    members = materialise(members.join(ends, "sig"), "members")
     if members.isEmpty():
         return first
     dealt, meet = _blocks(members)
