@@ -98,14 +98,34 @@ def test_every_link_shares_a_prefix_shingle():
 
 def test_tree_finds_all_within_bounds():
     rng = np.random.default_rng(4)
-    rows = rng.poisson(rng.choice([1, 4, 5], (300, 1)), (300, shingle_join.DIMS)).astype(np.uint32)
-    rows[100:150] = rows[0] + (rng.random((50, shingle_join.DIMS)) < 0.05)
-    tree = shingle_join.CountTree(rows, np.arange(300))
-    sizes = rows.sum(axis=1)
+    rows = rng.poisson(rng.choice([1, 4, 5], (300, 1)), (300, 128)).astype(np.uint16)
+    rows[100:150] = rows[0] + (rng.random((50, 128)) < 0.05)
+    sizes, classes = rows.sum(axis=1).astype(int), np.arange(300) // 40
+    tree = shingle_join.CountTree(rows, sizes, classes)
     for q in range(0, 300, 7):
         shared = np.minimum(rows, rows[q]).sum(axis=1)
-        want = {i for i in range(300) if shared[i] >= shingle_join.overlap_needed(int(sizes[i]), int(sizes[q]))}
-        assert set(tree.order[tree.search(rows[q], int(sizes[q]))].tolist()) == want
+        need = [shingle_join.overlap_needed(int(s), int(sizes[q])) for s in sizes]
+        want = {i for i in range(300) if shared[i] >= need[i] and classes[i] != classes[q]}
+        assert set(tree.search(rows[q], int(sizes[q]), int(classes[q])).tolist()) == want
+
+
+def test_no_link_is_lost_between_resolutions():
+    """Also where a group's count does not fit its byte."""
+    rng = np.random.default_rng(6)
+    universe = rng.integers(0, 2**64, 4000, dtype=np.uint64)
+    universe[:900] >>= np.uint64(20)  # many in the first group
+    sets = []
+    for _ in range(60):
+        base = rng.choice(universe, rng.integers(3, 2500), replace=False)
+        sets += [np.unique(base[rng.random(len(base)) < keep]) for keep in (1, 0.95, 0.85, 0.78)]
+    sets = [s for s in sets if len(s)]
+    sizes = np.array([len(s) for s in sets])
+    packed = [shingle_join.points(s) for s in sets]
+    trees = shingle_join.Trees(packed, sizes, np.arange(len(sets)))
+    assert len({len(p) for p in packed}) >= 3
+    for i, a in enumerate(sets):
+        links = {j for j, b in enumerate(sets) if j != i and shingle_join.linked(a, b)}
+        assert links <= set(trees.search(packed[i], len(a), i).tolist())
 
 
 def test_hashes_tell_shingles_apart(spark, small):
