@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomeweave.functions import clean, names
-from tomeweave.functions.text import STRIPPED
 from tomeweave.operators import profile as prof
 from tomeweave.operators.groups import first_per_group
 from tomeweave.plans import jobs
@@ -19,7 +18,7 @@ _LINES = (
     "case when text = '' or regexp_matches(text, '[\\r\\n]\\z') then 0 else 1 end)"
 )
 _CHARS = "length(replace(text, chr(13) || chr(10), chr(10)))"
-_STRIP = "' ' || " + " || ".join(f"chr({ord(c)})" for c in STRIPPED[1:])
+_STRIP = "' ' || " + " || ".join(f"chr({i})" for i in (9, 10, 11, 12, 13, 28, 29, 30, 31, 133, 160))
 
 
 def profile_by_source(spark: SparkSession, d: str) -> DataFrame:

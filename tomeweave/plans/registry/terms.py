@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tomeweave.functions.text import alphabetic_only
 from tomeweave.operators import terms
-from tomeweave.operators import stem as stemmer
 from tomeweave.operators.stem import stem_vocabulary, stemmed_counts, stemmed_tokens
 from tomeweave.plans.registry.tables import documents, sql_list, table
 from tomeweave.sources.workspace import materialise
@@ -194,56 +193,95 @@ def _replaced_sql(table: dict[str, str], condition: str, ion: bool = False) -> s
     return "case " + " ".join(cases) + " else w end"
 
 
+# Spelled out once more for the SQL side: conditions, and the rules' suffixes (fixed values).
+_HAS_VOWEL = "^(?:[^aeiou][^aeiouy]*)?[aeiouy]"
+_ANY_PAIR = "^(?:[^aeiou][^aeiouy]*)?[aeiouy][aeiou]*[^aeiou][^aeiouy]*"
+_ONE_PAIR = "^(?:[^aeiou][^aeiouy]*)?[aeiouy][aeiou]*[^aeiou][^aeiouy]*(?:[aeiouy][aeiou]*)?$"
+_TWO_PAIRS = "^(?:[^aeiou][^aeiouy]*)?[aeiouy][aeiou]*[^aeiou][^aeiouy]*[aeiouy][aeiou]*[^aeiou][^aeiouy]*"
+_SHORT = "^[^aeiou][^aeiouy]*[aeiouy][^aeiouwxy]$"
+_LONG = {
+    "ational": "ate",
+    "tional": "tion",
+    "enci": "ence",
+    "anci": "ance",
+    "izer": "ize",
+    "abli": "able",
+    "alli": "al",
+    "entli": "ent",
+    "eli": "e",
+    "ousli": "ous",
+    "ization": "ize",
+    "ation": "ate",
+    "ator": "ate",
+    "alism": "al",
+    "iveness": "ive",
+    "fulness": "ful",
+    "ousness": "ous",
+    "aliti": "al",
+    "iviti": "ive",
+    "biliti": "ble",
+}
+_MIDDLE = {
+    "icate": "ic",
+    "ative": "",
+    "alize": "al",
+    "iciti": "ic",
+    "ical": "ic",
+    "ful": "",
+    "ness": "",
+}
+_LAST = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize")
+
 _STEMS_SQL = rf"""
-words as (
+words as materialized (
   select term, count(*) as n from (select unnest({_TOKENS}) as term from documents)
   where regexp_full_match(term, '[\p{{L}}\s]+') group by term),
-plurals as (
+plurals as materialized (
   select term, case when suffix(term, 'sses') or suffix(term, 'ies') then left(term, length(term) - 2)
                     when regexp_matches(term, '[^s]s$') then left(term, length(term) - 1)
                     else term end as w
   from words),
-cuts as (
+cuts as materialized (
   select term, w,
          case when suffix(w, 'eed') then null
-              when suffix(w, 'ed') and regexp_matches(left(w, length(w) - 2), '{stemmer.HAS_VOWEL}')
+              when suffix(w, 'ed') and regexp_matches(left(w, length(w) - 2), '{_HAS_VOWEL}')
                 then left(w, length(w) - 2)
-              when suffix(w, 'ing') and regexp_matches(left(w, length(w) - 3), '{stemmer.HAS_VOWEL}')
+              when suffix(w, 'ing') and regexp_matches(left(w, length(w) - 3), '{_HAS_VOWEL}')
                 then left(w, length(w) - 3) end as cut
   from plurals),
-past as (
+past as materialized (
   select term,
-         case when suffix(w, 'eed') and regexp_matches(left(w, length(w) - 3), '{stemmer.ANY_PAIR}')
+         case when suffix(w, 'eed') and regexp_matches(left(w, length(w) - 3), '{_ANY_PAIR}')
                 then left(w, length(w) - 1)
               when cut is null then w
               when regexp_matches(cut, '(at|bl|iz)$') then cut || 'e'
               when length(cut) > 1 and right(cut, 1) = left(right(cut, 2), 1)
                    and right(cut, 1) not in ('a', 'e', 'i', 'o', 'u', 'y', 'l', 's', 'z')
                 then left(cut, length(cut) - 1)
-              when regexp_matches(cut, '{stemmer.SHORT}') then cut || 'e'
+              when regexp_matches(cut, '{_SHORT}') then cut || 'e'
               else cut end as w
   from cuts),
-final_y as (
-  select term, case when suffix(w, 'y') and regexp_matches(left(w, length(w) - 1), '{stemmer.HAS_VOWEL}')
+final_y as materialized (
+  select term, case when suffix(w, 'y') and regexp_matches(left(w, length(w) - 1), '{_HAS_VOWEL}')
                     then left(w, length(w) - 1) || 'i' else w end as w
   from past),
-long_suffix as (select term, {_replaced_sql(stemmer.LONG_SUFFIXES, stemmer.ANY_PAIR)} as w from final_y),
-middle as (select term, {_replaced_sql(stemmer.MIDDLE_SUFFIXES, stemmer.ANY_PAIR)} as w from long_suffix),
-last_suffix as (
-  select term, {_replaced_sql(dict.fromkeys(stemmer.LAST_SUFFIXES, ""), stemmer.TWO_PAIRS, ion=True)} as w
+long_suffix as materialized (select term, {_replaced_sql(_LONG, _ANY_PAIR)} as w from final_y),
+middle as materialized (select term, {_replaced_sql(_MIDDLE, _ANY_PAIR)} as w from long_suffix),
+last_suffix as materialized (
+  select term, {_replaced_sql(dict.fromkeys(_LAST, ""), _TWO_PAIRS, ion=True)} as w
   from middle),
-final_e as (
+final_e as materialized (
   select term,
          case when suffix(w, 'e') and (
-                regexp_matches(left(w, length(w) - 1), '{stemmer.TWO_PAIRS}')
-                or (regexp_matches(left(w, length(w) - 1), '{stemmer.ONE_PAIR}')
-                    and not regexp_matches(left(w, length(w) - 1), '{stemmer.SHORT}')))
+                regexp_matches(left(w, length(w) - 1), '{_TWO_PAIRS}')
+                or (regexp_matches(left(w, length(w) - 1), '{_ONE_PAIR}')
+                    and not regexp_matches(left(w, length(w) - 1), '{_SHORT}')))
               then left(w, length(w) - 1) else w end as w
   from last_suffix),
-stems as (
+stems as materialized (
   select term, n,
          case when length(term) <= 2 then term
-              when suffix(w, 'll') and regexp_matches(w, '{stemmer.TWO_PAIRS}') then left(w, length(w) - 1)
+              when suffix(w, 'll') and regexp_matches(w, '{_TWO_PAIRS}') then left(w, length(w) - 1)
               else w end as stem
   from final_e join words using (term))"""
 
