@@ -16,8 +16,10 @@ shingle; trees of the same documents are one. Equal sets are one point throughou
 
 Large trees are first probed from one pivot, which joins groups of near copies in linear time.
 What is left in more than one class is cut into blocks; points meet block by block, points of one
-class are never compared, and a branch of the query's own class is not entered. So no group is
-paired out, whatever its size. Links become classes by alternating stars.
+class are never compared, and a branch of the query's own class is not entered. Points that the
+bound leaves with a partner form clusters, and only these are compared by their texts, joining
+classes as they go. So no group is paired out, whatever its size. Links become classes by
+alternating stars.
 
 Defined results: NULL texts and texts without words have an empty set and are linked with nothing.
 Texts of fewer words than a shingle are one shingle as a whole. A document's component is the
@@ -50,8 +52,8 @@ COUNTERS, SLOTS = 1 << 18, 16
 LEAF = 16
 # Points of a block.
 BLOCK = 1024
-# Characters hashed together, rows up to which a stored narrow table is broadcast.
-CHARACTERS, SMALL = 1_000_000, 500_000
+# Pairs compared together and sets kept for the next, characters hashed together, rows up to which a stored narrow table is broadcast.
+PAIRS, KEPT, CHARACTERS, SMALL = 64, 256, 1_000_000, 500_000
 
 
 def overlap_needed(a, b):
@@ -89,19 +91,24 @@ def signature(shingles: np.ndarray) -> int:
     return int(both.astype(np.int64)[0])
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
-    """Ids and shingle sets, some characters at a time."""
+def _hashed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text")
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list[np.ndarray]]]:
+    """Ids, hashes and shingle sets of ``doc_id, th, text``, some characters at a time."""
     for batch in batches:
-        ids, texts, size = [], [], 0
-        for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+        ids, hashes, texts, size = [], [], [], 0
+        for i, th, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
             text = text.as_py() or ""
             ids.append(i)
+            hashes.append(th)
             texts.append(text)
             size += len(text)
             if size >= CHARACTERS:
-                yield ids, shingle_sets(texts)
-                ids, texts, size = [], [], 0
-        yield ids, shingle_sets(texts)
+                yield ids, hashes, shingle_sets(texts)
+                ids, hashes, texts, size = [], [], [], 0
+        yield ids, hashes, shingle_sets(texts)
 
 
 def _counter(shingles: np.ndarray) -> np.ndarray:
@@ -109,19 +116,20 @@ def _counter(shingles: np.ndarray) -> np.ndarray:
 
 
 def describe(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """``doc_id, n, sig, point`` of every document, and the rank of every counter of the sketch."""
+    """``doc_id, th, n, sig, point`` of every document (``th`` a hash of its text), and the rank of
+    every counter of the sketch."""
     spark = docs.sparkSession
     ship(spark)
-    names = ["doc_id", "n", "sig", "point", "slot"]
+    names = ["doc_id", "th", "n", "sig", "point", "slot"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(COUNTERS, np.uint32)
-        for ids, sets in _texts(batches):
+        for ids, hashes, sets in _texts(batches):
             if any(len(s) for s in sets):
                 sketch += np.bincount(_counter(np.concatenate(sets)), minlength=COUNTERS).astype(np.uint32)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([signature(s) if len(s) else None for s in sets], pa.int64()),
                     pa.array([points(s) for s in sets], pa.binary()), pa.nulls(len(ids), pa.int32()),
                 ],
@@ -131,11 +139,9 @@ def describe(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
             parts = [p.tobytes() for p in sketch.reshape(SLOTS, -1)]
             nothing = pa.nulls(SLOTS, pa.int64())
             slots = pa.array(range(SLOTS), pa.int32())
-            yield pa.RecordBatch.from_arrays([nothing, nothing, nothing, pa.array(parts, pa.binary()), slots], names=names)
+            yield pa.RecordBatch.from_arrays([nothing] * 4 + [pa.array(parts, pa.binary()), slots], names=names)
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id LONG, n LONG, sig LONG, point BINARY, slot INT"
-    )
+    rows = _hashed(docs).mapInArrow(run, "doc_id LONG, th LONG, n LONG, sig LONG, point BINARY, slot INT")
     rows = materialise(rows, "sets")
 
     def added(group: pd.DataFrame) -> pd.DataFrame:
@@ -157,7 +163,7 @@ def _prefixes(docs: DataFrame, order: np.ndarray) -> DataFrame:
     """``key, sig``: the rarest shingles of every set, as many as the join needs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, sets in _texts(batches):
+        for _, _, sets in _texts(batches):
             keys, sigs, seen = [], [], set()
             for s in sets:
                 sig = signature(s) if len(s) else None
@@ -171,7 +177,7 @@ def _prefixes(docs: DataFrame, order: np.ndarray) -> DataFrame:
                 columns = [pa.array(np.concatenate(x)) for x in (keys, sigs)]
                 yield pa.RecordBatch.from_arrays(columns, names=["key", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "key LONG, sig LONG")
+    return _hashed(docs).mapInArrow(run, "key LONG, sig LONG")
 
 
 def trees(docs: DataFrame, order: np.ndarray) -> DataFrame:
@@ -187,21 +193,20 @@ def trees(docs: DataFrame, order: np.ndarray) -> DataFrame:
     return materialise(held.where("least <> most").select("tree", "sig").distinct(), "trees")
 
 
-def _sets(docs: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``sig, shingles`` of the wanted sets, from one document each."""
-    wanted = materialise(wanted.select("sig").distinct(), "wanted")
-    holders = sets.where("sig IS NOT NULL AND doc_id IS NOT NULL").join(small(wanted, SMALL), "sig", "left_semi")
-    holders = materialise(holders.groupBy("sig").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), "holders")
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(small(holders, SMALL), "doc_id", "left_semi")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, found in _texts(batches):
-            found = [s for s in found if len(s)]
-            columns = [pa.array([signature(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["sig", "shingles"])
+def _texts_of(docs: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``sig, text`` of the wanted sets, from one document each.
 
-    found = texts.mapInArrow(run, "sig LONG, shingles BINARY")
-    return materialise(found.join(small(wanted, SMALL), "sig", "left_semi").dropDuplicates(["sig"]), "shingles")
+    Texts are sent and their shingles hashed again where they are compared: they are half as long
+    as the hashes, and unlike them can be compressed.
+    """
+    wanted = materialise(wanted.select("sig").distinct(), "wanted")
+    holders = sets.where("sig IS NOT NULL").join(small(wanted, SMALL), "sig", "left_semi")
+    holders = holders.groupBy("sig").agg(F.min(F.struct("doc_id", "th")).alias("of")).select("sig", "of.*")
+    holders = materialise(holders, "holders")
+    same = F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("d.th") == F.col("h.th"))
+    found = _hashed(docs).alias("d").join(small(holders, SMALL).alias("h"), same).select("sig", "text")
+    # Rows of equal id and text are the same set.
+    return materialise(found.groupBy("sig").agg(F.first("text").alias("text")), "texts")
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -241,18 +246,25 @@ def bounded(pairs: DataFrame, ends: DataFrame) -> DataFrame:
 
 
 def compared(pairs: DataFrame, whole: DataFrame) -> DataFrame:
-    """The pairs whose sets, ``sig, shingles``, are linked."""
+    """The pairs whose sets are linked, by the texts in ``sig, text``."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = [
-                linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))
-                for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
-            ]
+            rows = list(zip(*(batch.column(i).to_pylist() for i in range(4))))
+            ok: list[bool] = []
+            held: dict[int, np.ndarray] = {}
+            for at in range(0, len(rows), PAIRS):
+                part = rows[at : at + PAIRS]
+                texts = {i: t for a, b, x, y in part for i, t in ((a, x), (b, y)) if i not in held}
+                if len(held) > KEPT:
+                    held, texts = {}, {i: t for a, b, x, y in part for i, t in ((a, x), (b, y))}
+                held.update(zip(texts, shingle_sets(list(texts.values()))))
+                ok += [linked(held[a], held[b]) for a, b, _, _ in part]
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(ok, pa.bool_())) for i in (0, 1)], names=["a", "b"])
 
-    both = _with_end(_with_end(pairs, "a", whole, "shingles", "x"), "b", whole, "shingles", "y")
-    return materialise(both.select("a", "b", "x", "y").mapInArrow(compare, "a LONG, b LONG"), "links")
+    both = _with_end(_with_end(pairs, "b", whole, "text", "y"), "a", whole, "text", "x")
+    both = both.sortWithinPartitions("a").select("a", "b", "x", "y")
+    return materialise(both.mapInArrow(compare, "a LONG, b LONG"), "links")
 
 
 def verified(docs: DataFrame, sets: DataFrame, ends: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -262,7 +274,7 @@ def verified(docs: DataFrame, sets: DataFrame, ends: DataFrame, pairs: DataFrame
     compared that this has left in different classes.
     """
     may = bounded(pairs, ends)
-    whole = _sets(docs, sets, may.select(F.explode(F.array("a", "b")).alias("sig")))
+    whole = _texts_of(docs, sets, may.select(F.explode(F.array("a", "b")).alias("sig")))
     forest = materialise(may.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "forest")
     first = compared(forest, whole)
     classes = materialise(components(first), "forest-classes")
@@ -337,40 +349,52 @@ def _trees(block: pd.DataFrame) -> Trees:
     return Trees(block["point"].tolist(), block["n"].to_numpy(), block["class"].to_numpy())
 
 
+class Forest:
+    """Classes that become one as links are found."""
+
+    def __init__(self):
+        self.root: dict[int, int] = {}
+
+    def find(self, c: int) -> int:
+        root = self.root
+        while root.get(c, c) != c:
+            root[c] = root.get(root[c], root[c])
+            c = root[c]
+        return c
+
+    def join(self, a: int, b: int) -> bool:
+        """Whether the two were apart."""
+        a, b = self.find(a), self.find(b)
+        self.root[max(a, b)] = min(a, b)
+        return a != b
+
+
 def _promising(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """The points of two blocks that may be linked to one of another class in the other block."""
-    out = set()
-    tree_id = int(left["tree"].iloc[0]) if len(left) else 0
+    """Pairs of points of two blocks and of other classes that may be linked: as many as it takes
+    to join all that such pairs join, so that every point with a partner is in one of them."""
+    links: list[tuple[int, int]] = []
     if len(left) and len(right):
-        trees_, names = _trees(right), right["sig"].to_numpy()
+        forest, trees_, names = Forest(), _trees(right), right["sig"].to_numpy()
         for sig, n, point, own in zip(left["sig"], left["n"], left["point"], left["class"]):
-            at = trees_.search(point, n, own)
-            if len(at):
-                out.add(sig)
-                out.update(names[at].tolist())
-    return pd.DataFrame({"tree": tree_id, "sig": pd.Series(sorted(out), dtype="int64")}).astype("int64")
+            for other in names[trees_.search(point, n, own)].tolist():
+                if forest.join(int(sig), other):
+                    links.append((int(sig), other))
+    return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
 
 def _joined(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     """Links between two blocks that join classes; classes joined on the way are one from then on."""
     links: list[tuple[int, int]] = []
     if len(left) and len(right):
-        root: dict[int, int] = {}
-
-        def find(c: int) -> int:
-            while root.get(c, c) != c:
-                root[c] = root.get(root[c], root[c])
-                c = root[c]
-            return c
-
-        trees_, names, classes = _trees(right), right["sig"].to_numpy(), right["class"].to_numpy()
-        sets = [np.frombuffer(s, np.uint64) for s in right["shingles"]]
-        for sig, n, point, own, held in zip(left["sig"], left["n"], left["point"], left["class"], left["shingles"]):
-            mine = np.frombuffer(held, np.uint64)
+        forest, trees_ = Forest(), _trees(right)
+        names, classes = right["sig"].to_numpy(), right["class"].to_numpy()
+        sets = shingle_sets(right["text"].tolist())
+        mine = sets if left is right else shingle_sets(left["text"].tolist())
+        for k, (sig, n, point, own) in enumerate(zip(left["sig"], left["n"], left["point"], left["class"])):
             for i in trees_.search(point, n, own):
-                a, b = find(int(own)), find(int(classes[i]))
-                if a != b and linked(mine, sets[i]):
-                    root[max(a, b)] = min(a, b)
+                a, b = int(own), int(classes[i])
+                if forest.find(a) != forest.find(b) and linked(mine[k], sets[i]):
+                    forest.join(a, b)
                     links.append((int(sig), int(names[i])))
     return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
@@ -434,7 +458,7 @@ def links(docs: DataFrame, sets: DataFrame, order: np.ndarray) -> DataFrame:
     large = materialise(held.join(sizes.where(F.col("size") > LEAF).drop("size"), "tree"), "large-trees")
     pairs = pairs.unionByName(large.where("pivot <> sig").select(F.col("pivot").alias("a"), F.col("sig").alias("b")))
     first = verified(docs, sets, ends, materialise(pairs.distinct(), "pairs"))
-    classes = components(first)
+    classes = materialise(components(first), "link-classes")
     classed = large.join(classes, F.col("sig") == F.col("node"), "left").select("tree", "sig", F.coalesce("component", "sig").alias("class"))
     classed = materialise(classed, "classed")
     open_ = classed.groupBy("tree").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("tree")
@@ -443,11 +467,14 @@ def links(docs: DataFrame, sets: DataFrame, order: np.ndarray) -> DataFrame:
     if members.isEmpty():
         return first
     dealt, meet = _blocks(members)
-    promising = materialise(_meeting(dealt, meet, _promising, "tree LONG, sig LONG").distinct(), "promising")
-    whole = _sets(docs, sets, promising)
-    left = dealt.drop("block").join(promising, ["tree", "sig"], "left_semi").join(whole, "sig")
-    left = materialise(left, "left-over")
-    dealt, meet = _blocks(left)
+    # Points that may be linked to another class, in clusters that no link leaves.
+    promising = materialise(_meeting(dealt, meet, _promising, "a LONG, b LONG").distinct(), "promising")
+    clusters = materialise(components(promising), "clusters")
+    whole = _texts_of(docs, sets, clusters.select(F.col("node").alias("sig")))
+    left = clusters.select(F.col("component").alias("tree"), F.col("node").alias("sig"))
+    left = left.join(ends, "sig").join(classes.withColumnRenamed("node", "sig"), "sig", "left")
+    left = left.withColumn("class", F.coalesce("component", "sig")).drop("component")
+    dealt, meet = _blocks(materialise(left.join(whole, "sig"), "left-over"))
     second = materialise(_meeting(dealt, meet, _joined, "a LONG, b LONG").distinct(), "links")
     return first.unionByName(second)
 
