@@ -12,25 +12,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tomeweave.llm.common import small
 from tomeweave.sources.workspace import materialise
 
 
+# Rows up to which a table of minima is broadcast.
+SMALL = 500_000
+
+
 def _star(links: DataFrame, upper: bool) -> DataFrame:
-    """Links ``u > v`` after one star over all nodes."""
+    """Links ``u > v`` after one star over all nodes, perhaps repeated."""
     if upper:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         both = links
     least = both.groupBy("u").agg(F.min("v").alias("m"))
     least = materialise(least.select("u", F.least("u", "m").alias("m")), "star-least")
-    joined = both.join(least, "u")
+    joined = both.join(small(least, SMALL), "u")
     if upper:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             least.select("u", F.col("m").alias("v"))
         )
-    return materialise(out.where("u <> v").distinct(), "star")
+    return out.where("u <> v")
 
 
 def _mark(links: DataFrame) -> tuple:
@@ -48,7 +53,7 @@ def components(edges: DataFrame) -> DataFrame:
     links = materialise(edges.where("a <> b").select(high, low).distinct(), "links")
     mark = _mark(links)
     while True:
-        links = _star(_star(links, upper=True), upper=False)
+        links = materialise(_star(_star(links, upper=True), upper=False).distinct(), "star")
         last, mark = mark, _mark(links)
         if mark == last:
             break

@@ -270,20 +270,22 @@ def compared(pairs: DataFrame, whole: DataFrame) -> DataFrame:
 def verified(docs: DataFrame, sets: DataFrame, ends: DataFrame, pairs: DataFrame) -> DataFrame:
     """Links among the pairs that join what all links among them join.
 
-    Each set is compared with its least candidate first; of the other pairs only those are
-    compared that this has left in different classes.
+    Each set is compared with its least candidate first. Of the other pairs those need no
+    comparison whose ends are linked to the same least candidate.
     """
     may = bounded(pairs, ends)
     whole = _texts_of(docs, sets, may.select(F.explode(F.array("a", "b")).alias("sig")))
     forest = materialise(may.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "forest")
     first = compared(forest, whole)
-    classes = materialise(components(first), "forest-classes")
-    rest = may
-    for end in ("a", "b"):
-        named = small(classes.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")), SMALL)
-        rest = rest.join(named, end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
-    rest = rest.where("ca <> cb").select("a", "b").join(forest, ["a", "b"], "left_anti")
-    return first.unionByName(compared(materialise(rest, "rest"), whole))
+    least = forest.select("b", F.col("a").alias("tried"))
+    hung = first.select("b", F.col("a").alias("under"))
+    rest = (
+        may.join(small(least, SMALL), "b")
+        .join(small(hung, SMALL), "b", "left")
+        .join(small(hung.select(F.col("b").alias("a"), F.col("under").alias("over")), SMALL), "a", "left")
+        .where("a <> tried AND coalesce(over, a) <> coalesce(under, b)")
+    )
+    return first.unionByName(compared(materialise(rest.select("a", "b"), "rest"), whole))
 
 
 class CountTree:
@@ -445,18 +447,20 @@ def _meeting(dealt: DataFrame, meet: DataFrame, run, schema: str) -> DataFrame:
     return own.unionByName(left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(both, schema))
 
 
-def links(docs: DataFrame, sets: DataFrame, order: np.ndarray) -> DataFrame:
-    """``a, b``: links between set names that join exactly what all links join."""
+def classes_of(docs: DataFrame, sets: DataFrame, order: np.ndarray) -> DataFrame:
+    """``node, component``: the sets that links join, by name, and the class each is in."""
     held = trees(docs, order)
     sizes = materialise(held.groupBy("tree").agg(F.count("*").alias("size"), F.min("sig").alias("pivot")), "tree-sizes")
     members = materialise(held.select("sig").distinct(), "tree-members")
     ends = sets.where("sig IS NOT NULL").join(small(members, SMALL), "sig", "left_semi")
     ends = materialise(ends.groupBy("sig").agg(F.first("n").alias("n"), F.first("point").alias("point")), "end-points")
-    # Up to a leaf, every point of a tree meets every other.
+    # Up to a leaf, every point of a tree meets every other; larger trees are first probed by their least.
     few = materialise(held.join(sizes.where(F.col("size") <= LEAF).select("tree"), "tree"), "small-trees")
     pairs = few.alias("x").join(few.alias("y"), "tree").where("x.sig < y.sig").select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b"))
-    large = materialise(held.join(sizes.where(F.col("size") > LEAF).drop("size"), "tree"), "large-trees")
-    pairs = pairs.unionByName(large.where("pivot <> sig").select(F.col("pivot").alias("a"), F.col("sig").alias("b")))
+    # Large trees of one pivot hold much the same sets: they are one tree from here on.
+    large = held.join(sizes.where(F.col("size") > LEAF).select("tree", "pivot"), "tree")
+    large = materialise(large.select(F.col("pivot").alias("tree"), "sig").distinct(), "large-trees")
+    pairs = pairs.unionByName(large.where("tree <> sig").select(F.col("tree").alias("a"), F.col("sig").alias("b")))
     first = verified(docs, sets, ends, materialise(pairs.distinct(), "pairs"))
     classes = materialise(components(first), "link-classes")
     classed = large.join(classes, F.col("sig") == F.col("node"), "left").select("tree", "sig", F.coalesce("component", "sig").alias("class"))
@@ -465,7 +469,7 @@ def links(docs: DataFrame, sets: DataFrame, order: np.ndarray) -> DataFrame:
     members = classed.join(small(materialise(open_, "open-trees"), SMALL), "tree", "left_semi")
     members = materialise(members.join(ends, "sig"), "members")
     if members.isEmpty():
-        return first
+        return classes
     dealt, meet = _blocks(members)
     # Points that may be linked to another class, in clusters that no link leaves.
     promising = materialise(_meeting(dealt, meet, _promising, "a LONG, b LONG").distinct(), "promising")
@@ -476,13 +480,23 @@ def links(docs: DataFrame, sets: DataFrame, order: np.ndarray) -> DataFrame:
     left = left.withColumn("class", F.coalesce("component", "sig")).drop("component")
     dealt, meet = _blocks(materialise(left.join(whole, "sig"), "left-over"))
     second = materialise(_meeting(dealt, meet, _joined, "a LONG, b LONG").distinct(), "links")
-    return first.unionByName(second)
+    if second.isEmpty():
+        return classes
+    # Classes that the second round joins; a set that had no class is one of its own.
+    ends_ = second
+    for end in ("a", "b"):
+        named = small(classes.select(F.col("node").alias(end), F.col("component").alias("c")), SMALL)
+        ends_ = ends_.join(named, end, "left").withColumn(end, F.coalesce("c", end)).drop("c")
+    joined = materialise(components(ends_), "joined-classes")
+    alone = joined.select("node", F.col("node").alias("component")).join(small(classes, SMALL), "node", "left_anti")
+    merged = small(joined.select(F.col("node").alias("component"), F.col("component").alias("c")), SMALL)
+    return classes.unionByName(alone).join(merged, "component", "left").select("node", F.coalesce("c", "component").alias("component"))
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id, class``: a row per document."""
     sets, order = describe(docs)
-    classes = materialise(components(links(docs, sets, order)), "classes")
+    classes = materialise(classes_of(docs, sets, order), "classes")
     rows = sets.join(small(classes, SMALL), F.col("sig") == F.col("node"), "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "sig").alias("class")
     )
