@@ -17,7 +17,7 @@ from tomeweave.plans import jobs
 from tomeweave.plans.registry.tables import documents, sql_list, table
 from tomeweave.plans.registry.terms import BUCKET_SQL, STOP_WORDS, TERM_COUNTS_SQL
 from tomeweave.sources import sinks
-from tomeweave.sources.workspace import fresh_path
+from tomeweave.sources.workspace import fresh_path, materialise
 
 
 def _parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -73,6 +73,8 @@ def write_probabilities(spark: SparkSession, d: str) -> DataFrame:
 # What holds of any fitted classifier and SQL can state without fitting one: every document is
 # scored once, the probabilities are a distribution over the labels, and the prediction is its mode.
 def _sound(scored: DataFrame) -> DataFrame:
+    # Stored, so that no expression below scores the texts once more.
+    scored = materialise(scored.select("doc_id", "label", "prediction", "proba"), "scored")
     values = F.transform("proba", lambda p: p["probability"])
     total = F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
     best = F.array_max(values)
