@@ -9,7 +9,7 @@ from tomeweave.functions import clean, names
 from tomeweave.operators import profile as prof
 from tomeweave.operators.groups import first_per_group
 from tomeweave.plans import jobs
-from tomeweave.plans.registry.tables import documents, pages, table
+from tomeweave.plans.registry.tables import documents, pages
 from tomeweave.sources import files, sinks
 from tomeweave.sources.workspace import fresh_path
 
