@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tomeweave.llm.common import table
-from tomeweave.llm.vectors import HITS, best, dimensions, matrix, pack, ranked, spread
+from tomeweave.llm.vectors import HITS, best, dimensions, matrix, pack, ranked
 from tomeweave.sources.workspace import materialise
 
 # Rows the tree is fitted on and queries it is calibrated on, at most about; neither grows.
