@@ -44,7 +44,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the mixed documents in sequences of 2,048 tokens."""
-    return packing.pack(docs)
+    # Workers and executors still hold memory of the stages before.
+    return packing.pack(docs, remembered=300_000)
 
 
 STAGES: list[tuple[str, Stage]] = [

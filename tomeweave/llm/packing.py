@@ -33,7 +33,7 @@ _ARROW = pa.schema(
     [(n, pa.int64()) for n in ("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset")]
     + [("ids", pa.binary())]
 )
-# Words whose ids a Python worker remembers; beyond it the memory starts anew.
+# Words whose ids a Python worker remembers, some 200 bytes each; beyond it the memory starts anew.
 REMEMBERED = 1_200_000
 # Marks that the tokenizer parts from the letters before them.
 MARKS = ".,;:!?%$#&*()"
@@ -61,7 +61,7 @@ class Encoder:
     ones, are encoded many at a time and parted again at the tokens that end a word.
     """
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
@@ -69,6 +69,7 @@ class Encoder:
         self.ends = np.zeros(max(words.values()) + 1, bool)
         self.ends[[i for w, i in words.items() if w.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        self.remembered = remembered
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -111,7 +112,7 @@ class Encoder:
         # Stops after a letter are words of their own, so fewer words are new.
         words = [STOP.sub(r" \1", t.lower()).split() if ok else [] for t, ok in zip(texts, plain)]
         new = set().union(*words) - self.known.keys()
-        if len(self.known) + len(new) > REMEMBERED:
+        if len(self.known) + len(new) > self.remembered:
             self.known.clear()
             new = set().union(*words)
         if new:
@@ -125,10 +126,11 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(vocabulary: str) -> Encoder:
+def encoder(vocabulary: str, remembered: int) -> Encoder:
     """One per Python worker and vocabulary, kept between tasks."""
     if vocabulary not in _encoders:
-        _encoders[vocabulary] = Encoder(vocabulary)
+        _encoders[vocabulary] = Encoder(vocabulary, remembered)
+    _encoders[vocabulary].remembered = remembered
     return _encoders[vocabulary]
 
 
@@ -233,10 +235,13 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]
         yield docs, texts
 
 
-def pack(docs: DataFrame, window: int = 2048, end: int = 1, vocabulary: str | None = None) -> DataFrame:
+def pack(
+    docs: DataFrame, window: int = 2048, end: int = 1, vocabulary: str | None = None, remembered: int = REMEMBERED
+) -> DataFrame:
     """Pieces of all documents: where each lies in its document and its sequence, and its ids.
 
     ``ids`` holds little-endian unsigned 32-bit token ids. ``sequence_id`` is unique over tasks.
+    Remembering fewer words takes less memory and more time.
     """
     ship(docs.sparkSession)
     vocabulary = vocabulary or default_vocabulary()
@@ -245,7 +250,7 @@ def pack(docs: DataFrame, window: int = 2048, end: int = 1, vocabulary: str | No
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Nothing here forms cycles, and the many remembered words are dear to walk through.
         gc.disable()
-        encode, packer = encoder(vocabulary), Packer(window)
+        encode, packer = encoder(vocabulary, remembered), Packer(window)
         sequence = TaskContext.get().partitionId() << 33
         rows: list[tuple] = []
 

@@ -231,5 +231,8 @@ def query(spark, folder: str) -> DataFrame:
 def kept(spark, docs: DataFrame, folder: str) -> DataFrame:
     """The documents that are not toxic, columns as they were."""
     model = learned(docs, table(spark, folder, "labels"))
+    if not {"severity", "p_toxic", "grade", "toxic"} & set(docs.columns):
+        return score(docs, model).where(~F.col("toxic")).select(*docs.columns)
+    # Columns named like a result are carried apart.
     scored = score(docs.select(F.struct("*").alias("row"), "doc_id", "text"), model)
     return scored.where(~F.col("toxic")).select("row.*")
