@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from tomeweave.llm import shingle_join
@@ -128,6 +129,21 @@ def test_no_link_is_lost_between_resolutions():
         assert links <= set(trees.search(packed[i], len(a), i).tolist())
 
 
+@pytest.mark.parametrize("n", [512, 1024, 2048])
+def test_blocks_of_neighbouring_resolutions_meet_in_both_orders(n):
+    words = [f"w{i}" for i in range(n + 20)]
+    texts = [" ".join(words[: n - 8 + 4]), " ".join(words[: n + 8 + 4])]
+    sets = shingle_sets(texts)
+    assert len(sets[0]) <= n < len(sets[1]) and shingle_join.linked(*sets)
+
+    def block(k):
+        return pd.DataFrame({"sig": [k], "n": [len(sets[k])], "point": [shingle_join.points(sets[k])], "class": [k], "text": [texts[k]]})
+
+    for a, b in ((0, 1), (1, 0)):
+        for meet in (shingle_join._promising, shingle_join._joined):
+            assert meet(block(a), block(b)).to_numpy().tolist() == [[a, b]]
+
+
 def test_hashes_tell_shingles_apart(spark, small):
     texts = [r["text"] for r in table(spark, small, "documents").collect()]
     sets = shingle_sets(texts)

@@ -323,25 +323,31 @@ class CountTree:
 
 
 class Trees:
-    """A tree for each resolution, over its points and those of the next finer one.
+    """A tree for each resolution that is asked for, over its points and those of the next finer one.
 
     Linked sets differ by a third in size at most, and so by one resolution.
     """
 
     def __init__(self, packed: list[bytes], sizes: np.ndarray, classes: np.ndarray):
+        self.packed, self.sizes, self.classes = packed, sizes, classes
         self.groups = np.array([len(p) for p in packed], int)
-        self.trees = {}
-        for g in set(self.groups.tolist()):
+        self.present = set(self.groups.tolist())
+        self.trees: dict[int, tuple[np.ndarray, CountTree]] = {}
+
+    def _tree(self, g: int) -> tuple[np.ndarray, CountTree]:
+        if g not in self.trees:
             held = [np.flatnonzero(self.groups == x) for x in (g, 2 * g)]
-            rows = np.concatenate([unpacked([packed[i] for i in h], g) for h in held if len(h)])
+            rows = np.concatenate([unpacked([self.packed[i] for i in h], g) for h in held if len(h)])
             held = np.concatenate(held)
-            self.trees[g] = held, CountTree(rows, sizes[held], classes[held])
+            self.trees[g] = held, CountTree(rows, self.sizes[held], self.classes[held])
+        return self.trees[g]
 
     def search(self, packed: bytes, size: int, own: int) -> np.ndarray:
         found = []
         for g in (len(packed), len(packed) // 2):
-            if g in self.trees:
-                held, tree = self.trees[g]
+            # Finer points are found at the query's own resolution, whether or not others have it.
+            if g in self.present or (g == len(packed) and 2 * g in self.present):
+                held, tree = self._tree(g)
                 at = held[tree.search(unpacked([packed], g)[0], size, own)]
                 found.append(at if g == len(packed) else at[self.groups[at] == g])
         return np.concatenate(found) if found else np.zeros(0, int)
