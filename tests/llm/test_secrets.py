@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import random
 import re
 import zlib
 from urllib.parse import quote
@@ -81,6 +82,47 @@ def test_cycles_and_bombs_end():
     assert layers == 2 and finds == []
 
 
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+@pytest.mark.parametrize("width", [64, 76, 50])
+def test_wrapped_base64(width, end):
+    rng = random.Random(width)
+    words = " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) + str(rng.randrange(10**6)) for _ in range(60))
+
+    def wrapped(data):
+        code = base64.b64encode(data).decode()
+        return end.join(code[i : i + width] for i in range(0, len(code), width))
+
+    for pack, step in ((zlib.compress, "zlib"), (gzip.compress, "gzip")):
+        code = wrapped(pack(f"{words} password: hunter22".encode()))
+        assert f"base64+{step}/assign:4:{4 + len(code)}" in scanned(f"xx:{end[-1]}{code}{end}!")
+        pem = f"-----BEGIN DATA-----{end}{code}{end}-----END DATA-----"
+        assert any(x.startswith(f"base64+{step}/assign") for x in scanned(pem))
+    for before in range(width):
+        secret = "password=hunter22andmore"
+        code = wrapped((" " * before + secret + " " + words).encode())
+        a, b = before // 3 * 4 + before % 3, (before + len(secret) - 1) // 3 * 4 + (before + len(secret) - 1) % 3 + 1
+        a, b = (x + x // width * len(end) for x in (a, b))
+        assert f"base64/assign:{a}:{b + 1}" in scanned(code)
+
+
+@pytest.mark.parametrize("before", ["/path/", "id_", "//host/", "x", "ab", "abc", "a-b_c/"])
+def test_base64_behind_other_characters(before):
+    secret = b"my password: hunter22, keep it"
+    code = base64.b64encode(secret + b"\xc3\xbf??>>").decode()
+    (span,) = [x for x in scanned(before + code) if "/" in x]
+    assert span == f"base64/assign:{len(before) + 4}:{len(before) + 28}"
+    code = base64.b64encode(zlib.compress(secret)).decode()
+    assert f"base64+zlib/assign:{len(before)}:{len(before) + len(code)}" in scanned(before + code)
+
+
+def test_all_members_of_a_compressed_run():
+    parts = gzip.compress(b"nothing here", mtime=0) + gzip.compress(b"token=abcdef", mtime=0)
+    code = base64.b64encode(parts).decode()
+    assert scanned(code) == [f"base64+gzip/assign:0:{len(code)}"]
+    code = base64.b64encode(zlib.compress(b"nothing here") + b" and token=abcdef").decode()
+    assert [x.split(":")[0] for x in scanned(code)] == ["base64/assign"]
+
+
 def test_query(spark, small):
     texts = {r["doc_id"]: r["text"] for r in table(spark, small, "documents").collect()}
     rows = {r["doc_id"]: r for r in secrets.query(spark, small).collect()}
