@@ -82,6 +82,23 @@ def test_cycles_and_bombs_end():
     assert layers == 2 and finds == []
 
 
+def test_nothing_is_cut_from_a_compressed_layer():
+    rng = random.Random(1)
+    for filler in ("x" * 20_000_000, "ab cd, " * 3_000_000, "token " * 500_000, "é\n" * 1_500_000):
+        inner = base64.b64encode(b"so password: hunter22 it is").decode()
+        code = base64.b64encode(zlib.compress(f"{filler} token=abcdef {filler} {inner}".encode())).decode()
+        finds, _ = secrets.scan_text(f"a {code} b")
+        # All of it is at the place of the outer code, and of one kind.
+        assert finds == [(2, "base64+zlib/assign", 2 + len(code), False)]
+        code = base64.b64encode(gzip.compress(f"{filler} {inner}".encode(), mtime=0)).decode()
+        assert [f[1] for f in secrets.scan_text(code)[0]] == ["base64+gzip+base64/assign"]
+    # Pieces are cut where nothing is open, wherever the ends of the chunks fall.
+    for _ in range(20):
+        text = "lorem ipsum " * 87_380 + "z" * rng.randrange(30) + " password  =  'hunter22' AKIA" + "Z" * 16 + " " + HEX
+        code = base64.b64encode(zlib.compress(text.encode())).decode()
+        assert {f[1].split("/")[1] for f in secrets.scan_text(code)[0]} == {"assign", "access", "hex"}
+
+
 @pytest.mark.parametrize("end", ["\n", "\r\n"])
 @pytest.mark.parametrize("width", [64, 76, 50])
 def test_wrapped_base64(width, end):

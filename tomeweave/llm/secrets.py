@@ -15,8 +15,10 @@ that led there, as in ``base64+zlib/assign``, and are dropped where the same kin
 same place with fewer steps.
 
 Defined results: NULL and empty texts have no spans. Texts are read whole. Equal rows give equal
-rows; an empty table gives none. Other columns are not read. A compressed layer is read up to
-``inflate`` characters, the bound that keeps a decompression bomb from filling a task.
+rows; an empty table gives none. Other columns are not read. A compressed layer is read whole, in
+chunks that are cut where nothing is open, so that a decompression bomb does not fill a task: of
+it no more is held than a chunk and the longest stretch without such a place. A caller may bound
+it to ``inflate`` characters.
 """
 
 from __future__ import annotations
@@ -329,7 +331,7 @@ def scan_text(text: str, inflate: int | None = None) -> tuple[list[tuple], int]:
     return sorted((f for _, f in found.values()), key=lambda f: (f[0], place.get(f[1], len(KINDS)), f[1], f[2])), layers
 
 
-def scan(docs: DataFrame, inflate: int | None = 1 << 24) -> DataFrame:
+def scan(docs: DataFrame, inflate: int | None = None) -> DataFrame:
     """Each document's finds, in order of start."""
     ship(docs.sparkSession)
 
