@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import inspect
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -87,6 +89,11 @@ def test_neighbours_reach_recall(spark):
     assert hits / 600 >= 0.9
 
 
+def test_calibrated_recall_is_not_lowered():
+    """A query's visits are those that find 97 of 100 true neighbours."""
+    assert inspect.signature(neighbour_tree.neighbours).parameters["recall"].default == 0.97
+
+
 def test_neighbours_of_odd_rows(spark):
     rng = np.random.default_rng(4)
     rows = odd_vectors(rng)
