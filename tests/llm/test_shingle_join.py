@@ -178,3 +178,15 @@ def test_stage_keeps_one_of_each_group(spark, small):
     found = shingle_join.query(spark, small).collect()
     assert left.columns == docs.columns
     assert {r["doc_id"] for r in left.collect()} == {r["doc_id"] for r in found if r["doc_id"] == r["component_id"]}
+
+
+def test_stage_keeps_one_row_of_repeated_and_missing_ids(spark):
+    a, near, other = "a b c d e f g h", "A b c d e f g h", "one two three four five six"
+    rows = [(1, a), (1, a), (2, near), (2, other), (None, "x y z"), (None, "x y z"), (None, other), (7, None), (7, None), (8, ""), (3, "alone in here"), (9, "p q"), (9, "P q")]
+    df = spark.createDataFrame([(d, t, "s", "clash") for d, t in rows], "doc_id LONG, text STRING, source STRING, th STRING").repartition(3)
+    left = shingle_join.kept(df)
+    assert left.columns == df.columns and left.schema.simpleString() == df.schema.simpleString()
+    got = sorted((r["doc_id"] or 0, (r["text"] or "").lower(), r["th"]) for r in left.collect())
+    want = [(1, a), (2, other), (0, "x y z"), (7, ""), (7, ""), (8, ""), (3, "alone in here"), (9, "p q")]
+    assert got == sorted((*w, "clash") for w in want)
+    assert shingle_join.kept(df.limit(0)).collect() == []

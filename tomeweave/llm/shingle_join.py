@@ -500,31 +500,49 @@ def classes_of(docs: DataFrame, sets: DataFrame, order: np.ndarray) -> DataFrame
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id, class``: a row per document."""
+    """``doc_id, th, n_shingles, component_id, class``: a row per document."""
     sets, order = describe(docs)
     classes = materialise(classes_of(docs, sets, order), "classes")
     rows = sets.join(small(classes, SMALL), F.col("sig") == F.col("node"), "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "sig").alias("class")
+        "doc_id", "th", F.col("n").alias("n_shingles"), F.coalesce("component", "sig").alias("class")
     )
     rows = materialise(rows, "document-classes")
     # Classes of one document need no join back.
     several = rows.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("c"))
     several = materialise(several.where("c > 1").drop("c"), "several")
     return rows.join(small(several, SMALL), "class", "left").select(
-        "doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"), "class"
+        "doc_id", "th", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"), "class"
     )
 
 
 def query(spark, folder: str) -> DataFrame:
     """Contract ``op5``: the component of every document."""
-    return near_copies(table(spark, folder, "documents")).drop("class")
+    return near_copies(table(spark, folder, "documents")).drop("th", "class")
 
 
 def kept(docs: DataFrame) -> DataFrame:
-    """One document of every component, that of the least id; columns as they were."""
-    found = materialise(near_copies(docs), "components")
-    out = materialise(found.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    return docs.join(small(out, SMALL), "doc_id", "left_anti").select(*docs.columns)
+    """One document of every component, that of the least id, then text hash; columns as they were.
+
+    NULL ids come last. Of rows of equal id and text one stays. Documents of no words all stay.
+    """
+    found = materialise(near_copies(docs).where("class IS NOT NULL").select("doc_id", "th", "class"), "components")
+    here = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")
+    first = found.groupBy("class").agg(F.min(here).alias("first"), F.count("*").alias("c"))
+    first = materialise(first.where("c > 1").drop("c"), "first-copies")
+    grouped = materialise(found.join(small(first, SMALL), "class").select("doc_id", "th", here.eqNullSafe(F.col("first")).alias("stays")), "grouped")
+    counts = grouped.groupBy("doc_id", "th", "stays").agg(F.count("*").alias("c"))
+    named = materialise(counts.where("NOT stays OR c > 1").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "stays"), "copies")
+    text_hash = F.xxhash64("text")
+
+    def held(which: str, how: str) -> DataFrame:
+        some = named.where(which).select("_id", "_th")
+        return docs.join(small(some, SMALL), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (text_hash == F.col("_th")), how)
+
+    alone = held("true", "left_anti").select(*docs.columns)
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    twins = held("stays", "left_semi").select("doc_id", text_hash.alias("_th"), own.alias("row"))
+    one = twins.groupBy("doc_id", "_th").agg(F.first("row").alias("row")).select("row.*")
+    return alone.unionByName(one)
 
 
 SQL = r"""
