@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tomeweave.operators import evaluate, linear, stages, terms
 from tomeweave.operators.stages import DocumentStats
 from tomeweave.plans import jobs
+from tomeweave.plans.registry import models
 from tomeweave.sources import sinks
 
 WORDS = {
@@ -161,3 +162,23 @@ def test_mllib_bayes_agrees_with_the_relational_one(spark, small):
     assert both.count() > 0
     # The smoothed prior may tip a close call.
     assert both.filter("mllib <> prediction").count() <= 0.05 * both.count()
+
+
+def test_ngram_and_union_classifiers_are_fitted_and_scored(spark, small, monkeypatch):
+    """With the reference's cap, and on the features that their names promise."""
+    fitted = []
+
+    def train(rows, **options):
+        fitted.append(linear_train(rows, **options))
+        return fitted[-1]
+
+    linear_train = linear.train
+    monkeypatch.setattr(linear, "train", train)
+    sizes = {}
+    for name in ("lr_ngram_predict", "lr_char_ngram_predict", "lr_stats_union_predict"):
+        assert models.QUERIES[name](spark, small).count() > 20
+        names = fitted[-1].feature_names()
+        sizes[name] = len(names)
+        assert 2000 < len(names) <= 50000 + 3
+    assert sizes["lr_ngram_predict"] > 5000
+    assert len(fitted) == 3
