@@ -5,6 +5,7 @@ from __future__ import annotations
 from tomeweave.llm import (
     chat,
     exact_search,
+    hard_negatives,
     licences,
     line_dedup,
     mixing,
@@ -26,10 +27,12 @@ QUERIES = {
     "op8_k_means_tree_neighbours": neighbour_tree.query,
     "op9_segment_line_dedup": line_dedup.query,
     "op10_sum_of_squares_packing": packing.query,
+    "op11_threshold_join_negatives": hard_negatives.query,
 }
 
 ORACLES: dict[str, str] = {
     "op1_norm_bucketed_top_k": exact_search.SQL,
     "op3_prefix_target_chat": chat.SQL,
     "op5_count_tree_jaccard": shingle_join.SQL,
+    "op11_threshold_join_negatives": hard_negatives.SQL,
 }
