@@ -15,7 +15,7 @@ NATIVE = {"op3_prefix_target_chat", "op7_licence_labels", "op9_segment_line_dedu
 
 def test_entry_hands_out_every_query():
     names = set(__spark_entry__.queries())
-    assert {f"op{i}" for i in (*range(1, 12),)} == {n.split("_")[0] for n in QUERIES}
+    assert {f"op{i}" for i in range(1, 14)} == {n.split("_")[0] for n in QUERIES}
     assert set(QUERIES) | {"pipeline"} <= names
     assert set(ORACLES) <= set(__spark_entry__.oracle_sql())
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tomeweave.llm import (
+    alignment,
     chat,
     exact_search,
     hard_negatives,
@@ -13,6 +14,7 @@ from tomeweave.llm import (
     packing,
     secrets,
     shingle_join,
+    token_counts,
     toxicity,
 )
 
@@ -28,6 +30,8 @@ QUERIES = {
     "op9_segment_line_dedup": line_dedup.query,
     "op10_sum_of_squares_packing": packing.query,
     "op11_threshold_join_negatives": hard_negatives.query,
+    "op12_fragment_alignment": alignment.query,
+    "op13_resynchronised_counts": token_counts.query,
 }
 
 ORACLES: dict[str, str] = {
