@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import io
 import os
 import zipfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +62,24 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(application)
 
 
+def release() -> None:
+    """Give a Python worker's free memory back, at the end of a task: workers outlive their stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task that gives its free memory back when it has read all of its rows."""
+
+    def whole(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        release()
+
+    return whole
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """A stored table, to be broadcast if it has no more than so many rows."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("merge")

@@ -16,6 +16,7 @@ names cannot clash.
 from __future__ import annotations
 
 import gc
+import itertools
 import re
 from collections.abc import Iterator
 from unicodedata import is_normalized
@@ -26,19 +27,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tomeweave.llm.common import ship, table
+from tomeweave.llm.common import released, ship, table
 
 SCHEMA = "doc_id LONG, start LONG, length LONG, doc_tokens LONG, sequence_id LONG, offset LONG, ids BINARY"
 _ARROW = pa.schema(
     [(n, pa.int64()) for n in ("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset")]
     + [("ids", pa.binary())]
 )
-# Words whose ids a Python worker remembers, some 200 bytes each; beyond it the memory starts anew.
-REMEMBERED = 1_200_000
+# Bytes of words and their ids that a Python worker remembers, and what a word takes beside its
+# own and its ids' bytes: two objects and a place in a table.
+REMEMBERED, OVERHEAD = 64_000_000, 180
 # Marks that the tokenizer parts from the letters before them.
 MARKS = ".,;:!?%$#&*()"
 # Words that one call of the tokenizer takes; characters whose words are looked up together.
-TOGETHER, CHARACTERS = 1000, 2_000_000
+TOGETHER, CHARACTERS = 1000, 500_000
 # Rows of an output batch.
 ROWS = 2000
 STOP = re.compile(r"(?<=[a-z])([.,])(?=[ \n])")
@@ -68,7 +70,11 @@ class Encoder:
         words = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(words.values()) + 1, bool)
         self.ends[[i for w, i in words.items() if w.endswith("</w>")]] = True
+        # Two generations: words that are met again move to the younger one, which replaces the
+        # older when it holds half of what is remembered.
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.size = 0
         self.remembered = remembered
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -111,12 +117,17 @@ class Encoder:
         plain = [self._plain(t) for t in texts]
         # Stops after a letter are words of their own, so fewer words are new.
         words = [STOP.sub(r" \1", t.lower()).split() if ok else [] for t, ok in zip(texts, plain)]
-        new = set().union(*words) - self.known.keys()
-        if len(self.known) + len(new) > self.remembered:
-            self.known.clear()
-            new = set().union(*words)
+        if 2 * self.size > self.remembered:
+            self.known, self.older, self.size = {}, self.known, 0
+        new, before = set().union(*words) - self.known.keys(), len(self.known)
+        again = [(w, self.older[w]) for w in new if w in self.older] if self.older else []
+        if again:
+            self.known.update(again)
+            new = new - self.known.keys()
         if new:
             self._learn(new)
+        fresh = itertools.islice(reversed(self.known.items()), len(self.known) - before)
+        self.size += sum([OVERHEAD + len(w) + len(ids) for w, ids in fresh])
         get = self.known.__getitem__
         return [
             b"".join(map(get, w)) if ok else self._encode([t])[0] for t, w, ok in zip(texts, words, plain)
@@ -127,7 +138,7 @@ _encoders: dict[str, Encoder] = {}
 
 
 def encoder(vocabulary: str, remembered: int) -> Encoder:
-    """One per Python worker and vocabulary, kept between tasks."""
+    """One per Python worker and vocabulary, kept between tasks; what it remembers is bounded."""
     if vocabulary not in _encoders:
         _encoders[vocabulary] = Encoder(vocabulary, remembered)
     _encoders[vocabulary].remembered = remembered
@@ -241,7 +252,7 @@ def pack(
     """Pieces of all documents: where each lies in its document and its sequence, and its ids.
 
     ``ids`` holds little-endian unsigned 32-bit token ids. ``sequence_id`` is unique over tasks.
-    Remembering fewer words takes less memory and more time.
+    Remembering fewer bytes of words takes less memory and more time.
     """
     ship(docs.sparkSession)
     vocabulary = vocabulary or default_vocabulary()
@@ -275,7 +286,7 @@ def pack(
         gc.enable()
         yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(released(run), SCHEMA)
 
 
 def query(spark, folder: str) -> DataFrame:

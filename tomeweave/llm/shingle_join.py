@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tomeweave.llm.common import ship, small, table
+from tomeweave.llm.common import released, ship, small, table
 from tomeweave.llm.components import components
 from tomeweave.llm.shingles import mix, shingle_sets
 from tomeweave.sources.workspace import materialise
@@ -141,7 +141,7 @@ def describe(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
             slots = pa.array(range(SLOTS), pa.int32())
             yield pa.RecordBatch.from_arrays([nothing] * 4 + [pa.array(parts, pa.binary()), slots], names=names)
 
-    rows = _hashed(docs).mapInArrow(run, "doc_id LONG, th LONG, n LONG, sig LONG, point BINARY, slot INT")
+    rows = _hashed(docs).mapInArrow(released(run), "doc_id LONG, th LONG, n LONG, sig LONG, point BINARY, slot INT")
     rows = materialise(rows, "sets")
 
     def added(group: pd.DataFrame) -> pd.DataFrame:
@@ -177,7 +177,7 @@ def _prefixes(docs: DataFrame, order: np.ndarray) -> DataFrame:
                 columns = [pa.array(np.concatenate(x)) for x in (keys, sigs)]
                 yield pa.RecordBatch.from_arrays(columns, names=["key", "sig"])
 
-    return _hashed(docs).mapInArrow(run, "key LONG, sig LONG")
+    return _hashed(docs).mapInArrow(released(run), "key LONG, sig LONG")
 
 
 def trees(docs: DataFrame, order: np.ndarray) -> DataFrame:
@@ -242,7 +242,7 @@ def bounded(pairs: DataFrame, ends: DataFrame) -> DataFrame:
 
     both = _with_end(_with_end(near, "a", ends, "point", "x"), "b", ends, "point", "y")
     both = both.select("a", "b", "na", "nb", "x", "y")
-    return materialise(both.mapInArrow(bound, "a LONG, b LONG"), "candidates")
+    return materialise(both.mapInArrow(released(bound), "a LONG, b LONG"), "candidates")
 
 
 def compared(pairs: DataFrame, whole: DataFrame) -> DataFrame:
@@ -264,7 +264,7 @@ def compared(pairs: DataFrame, whole: DataFrame) -> DataFrame:
 
     both = _with_end(_with_end(pairs, "b", whole, "text", "y"), "a", whole, "text", "x")
     both = both.sortWithinPartitions("a").select("a", "b", "x", "y")
-    return materialise(both.mapInArrow(compare, "a LONG, b LONG"), "links")
+    return materialise(both.mapInArrow(released(compare), "a LONG, b LONG"), "links")
 
 
 def verified(docs: DataFrame, sets: DataFrame, ends: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tomeweave.llm.common import ship, table
+from tomeweave.llm.common import released, ship, table
 from tomeweave.sources.workspace import materialise
 
 # Labelled rows to learn from and features to keep, at most about.
@@ -66,7 +66,7 @@ def featured(rows: DataFrame) -> DataFrame:
                 ids.append(sorted(found))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return rows.select("doc_id", "text").mapInArrow(run, "doc_id LONG, ids ARRAY<INT>")
+    return rows.select("doc_id", "text").mapInArrow(released(run), "doc_id LONG, ids ARRAY<INT>")
 
 
 def screened(rows: DataFrame, keep: int = FEATURES) -> list[int]:
@@ -193,7 +193,7 @@ def score(docs: DataFrame, model: Ordinal, least: float = 0.5) -> DataFrame:
             columns = [*batch.columns, *(pa.array(x, t) for x, (_, t) in zip(out, results))]
             yield pa.RecordBatch.from_arrays(columns, names=[*carried, *(n for n, _ in results)])
 
-    return docs.select(*carried).mapInArrow(run, schema)
+    return docs.select(*carried).mapInArrow(released(run), schema)
 
 
 def graded_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
