@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from tomeweave.operators import catalog as cat
 from tomeweave.plans import jobs
-from tomeweave.sources import files, sinks, workspace
+from tomeweave.sources import file_stream, files, sinks, workspace
 from tomeweave.streaming import ingest
 
 
@@ -139,15 +141,53 @@ def test_build_catalog_status(spark):
     assert row["genres_scraped"] == {"fiction": 9, "war": 4} and row["genres_mapped"] == {"historical-fiction": 4}
 
 
+def _ingest(spark, tmp_path):
+    rows = ingest.stream_raw_files(spark, str(tmp_path / "in"), str(tmp_path / "log"))
+    query = ingest.ingest_new(rows, str(tmp_path / "out"), str(tmp_path / "check"))
+    query.awaitTermination()
+    got = spark.read.schema(rows.schema).parquet(str(tmp_path / "out"))
+    return sorted(tuple(r) for r in got.select("label", "file_name", "charset", "text").collect())
+
+
 def test_ingest_reads_each_file_once(spark, tmp_path):
-    source, target, checkpoint = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "check")
-    put(source, "Poetry/a.txt", "one")
+    put(tmp_path / "in", "Poetry/a.txt", "one")
     for _ in range(2):
-        ingest.ingest_new(ingest.stream_raw_files(spark, str(source)), target, checkpoint).awaitTermination()
-    put(source, "History/b.txt", b"\xe9t\xe9")
-    ingest.ingest_new(ingest.stream_raw_files(spark, str(source)), target, checkpoint).awaitTermination()
-    got = spark.read.parquet(target).select("label", "file_name", "charset", "text").collect()
-    assert sorted(map(tuple, got)) == [("History", "b.txt", "ISO-8859-1", "été"), ("Poetry", "a.txt", "ascii", "one")]
+        assert _ingest(spark, tmp_path) == [("Poetry", "a.txt", "ascii", "one")]
+    put(tmp_path / "in", "History/b.txt", b"\xe9t\xe9")
+    assert _ingest(spark, tmp_path) == [("History", "b.txt", "ISO-8859-1", "été"), ("Poetry", "a.txt", "ascii", "one")]
+
+
+def test_ingest_sees_files_of_all_names_sizes_and_times(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(file_stream, "BYTES", 8)  # several tasks
+    names = ["_x.txt", ".y", "a b %20é.txt", "empty", "_dir/z", ".dir/deep/w"]
+    put(tmp_path / "in", "first", "1")
+    _ingest(spark, tmp_path)
+    for n in names:
+        put(tmp_path / "in", f"p/{n}", "" if n == "empty" else f"in {n}".encode())
+        os.utime(tmp_path / "in" / "p" / n, (1, 1))  # older than what was read before
+    got = _ingest(spark, tmp_path)
+    want = {(n.rpartition("/")[2], "" if n == "empty" else f"in {n}") for n in names} | {("first", "1")}
+    assert {(f, t) for _, f, _, t in got} == want and len(got) == 7
+
+
+def test_a_batch_run_again_reads_the_files_it_was_planned_with(spark, tmp_path):
+    """What was listed before a failure is neither lost nor read twice."""
+    put(tmp_path / "in", "p/a", "a")
+    source = file_stream.every_file_source()({"root": str(tmp_path / "in"), "log": str(tmp_path / "log")})
+    reader = source.streamReader(None)
+    assert reader.latestOffset() == {"manifest": 0} == reader.latestOffset()
+    put(tmp_path / "in", "p/b", "b")  # arrives between planning and failure
+    again = source.streamReader(None)
+    (part,) = again.partitions({"manifest": -1}, {"manifest": 0})
+    assert [c for _, c in again.read(part)] == [b"a"]
+    assert again.latestOffset() == {"manifest": 1}
+    (part,) = again.partitions({"manifest": 0}, {"manifest": 1})
+    assert [c for _, c in again.read(part)] == [b"b"]
+    assert source.streamReader(None).initialOffset() == {"manifest": -1}
+
+
+def test_no_files(spark, tmp_path):
+    assert _ingest(spark, tmp_path / "none") == []
 
 
 def test_first_writer_wins_across_batches_and_reruns(spark, tmp_path):

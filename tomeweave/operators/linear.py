@@ -231,6 +231,27 @@ def fit_features(
     return PipelineModel(fitted), rows
 
 
+def sparse_rows(df: DataFrame, keep: Sequence[str], vector: str) -> DataFrame:
+    """``keep..., at, value`` of a vector column, stored entries only.
+
+    Read from the vector's physical struct, so a sparse one is never laid out over its width.
+    """
+    raw = F.unwrap_udt(vector)
+    at = F.coalesce(raw["indices"], F.sequence(F.lit(0), F.size(raw["values"]) - 1))
+    entries = F.arrays_zip(at.alias("at"), raw["values"].alias("value"))
+    return df.select(*keep, F.inline(entries)).where("value <> 0")
+
+
+def intercept_rows(model: TextClassifier, spark) -> DataFrame:
+    """``label, intercept`` rows."""
+    fitted = model.model
+    if isinstance(fitted, LogisticRegressionModel):
+        values = fitted.interceptVector.toArray().tolist()
+    else:
+        values = [m.intercept for m in fitted.models]
+    return spark.createDataFrame(list(zip(model.labels, values)), "label STRING, intercept DOUBLE")
+
+
 def probability_rows(scored: DataFrame, key: str, proba: str = "proba") -> DataFrame:
     """``key, label, probability``: one row per document and class.
 

@@ -86,11 +86,14 @@ def build_corpus(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ingest_files(spark: SparkSession, d: str) -> DataFrame:
-    """Raw files as a stream; a second run finds nothing new."""
-    name = F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))
-    root, target = _tree(spark, d, F.col("source"), name, F.col("text")), fresh_path(spark, "ingested")
-    for _ in range(2):
-        rows = stream_raw_files(spark, root)
+    """Raw files of all names and sizes as a stream, in two halves; a third run finds nothing new."""
+    root, target = fresh_path(spark, "tree"), fresh_path(spark, "ingested")
+    path = F.concat("source", F.lit("/"), _odd_name()).alias("path")
+    docs = documents(spark, d, "source", "text").select("doc_id", path, F.encode(_odd_text(), "UTF-8").alias("content"))
+    for half in (0, 1, None):
+        if half is not None:
+            sinks.write_files(docs.where(F.col("doc_id") % 2 == half).drop("doc_id"), root)
+        rows = stream_raw_files(spark, root, f"{target}-listing")
         ingest_new(rows, target, f"{target}-checkpoint").awaitTermination()
     ingested = spark.read.schema(rows.schema).parquet(target)
     return ingested.select("label", "file_name", "charset", F.md5("text").alias("text_md5"))
@@ -137,9 +140,10 @@ select 'Book ' || doc_id as title, 'A/B' as author, 'Book ' || doc_id || '%%%AB.
        md5(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31)
                 || chr(133) || chr(160))) as text_md5
 from latin""",
-    "ingest_files": r"""
-select source as label, doc_id || '.txt' as file_name,
-       case when regexp_full_match(text, '(?s)[\x00-\x7f]*') then 'ascii' else 'UTF-8' end as charset,
-       md5(text) as text_md5
-from documents""",
+    "ingest_files": rf"""
+with {_ODD_SQL}
+select source as label, file_name,
+       case when regexp_full_match(body, '(?s)[\x00-\x7f]*') then 'ascii' else 'UTF-8' end as charset,
+       md5(body) as text_md5
+from odd""",
 }

@@ -14,8 +14,6 @@ from tomeweave.functions.text import strip
 from tomeweave.sources.workspace import materialise
 from tomeweave.vocab import SHELVES
 
-RAW_SCHEMA = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
-
 
 def client_in_tasks():
     """For use inside tasks: a function from a URI to a file-system client and its path.

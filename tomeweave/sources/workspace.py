@@ -45,6 +45,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(stored: DataFrame) -> None:
+    """Delete a table that ``materialise`` wrote, once its last reader is done."""
+    spark = stored.sparkSession
+    ours = f"/{spark.sparkContext.applicationId}/"
+    folders = {f.rpartition("/")[0] for f in stored.inputFiles() if ours in f}
+    for folder in folders:
+        place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 # Rows up to which a stored table of terms or keys is broadcast, some tens of MB in memory.
 FEW = 500_000
 

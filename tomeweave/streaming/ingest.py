@@ -6,39 +6,27 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamReader, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from tomeweave.functions.clean import charset_of, decode_bytes
 from tomeweave.functions.names import file_name_of, parent_name_of
 from tomeweave.operators.groups import keep_first
-from tomeweave.sources.files import RAW_SCHEMA
+from tomeweave.sources.file_stream import stream_every_file
 from tomeweave.sources.workspace import path_exists
 
 
-def _reader(spark: SparkSession, files_per_batch: int | None) -> DataStreamReader:
-    reader = spark.readStream
-    return reader if files_per_batch is None else reader.option("maxFilesPerTrigger", files_per_batch)
+def stream_raw_files(spark: SparkSession, root: str, log: str) -> DataFrame:
+    """``path, label, file_name, charset, text`` of each file, as files arrive, whatever their names.
 
-
-def stream_raw_files(spark: SparkSession, root: str, files_per_batch: int | None = None) -> DataFrame:
-    """``path, label, file_name, charset, text`` of each file, as files arrive.
-
-    The built-in file stream passes over empty files and names that begin with ``_`` or ``.``.
+    ``log`` is a folder of the stream's own, where it keeps what it has listed.
     """
     path, content = F.col("path"), F.col("content")
-    return (
-        _reader(spark, files_per_batch)
-        .format("binaryFile")
-        .schema(RAW_SCHEMA)
-        .option("recursiveFileLookup", "true")
-        .load(root)
-        .select(
-            path,
-            parent_name_of(path).alias("label"),
-            file_name_of(path).alias("file_name"),
-            charset_of(content).alias("charset"),
-            decode_bytes(content).alias("text"),
-        )
+    return stream_every_file(spark, root, log).select(
+        path,
+        parent_name_of(path).alias("label"),
+        file_name_of(path).alias("file_name"),
+        charset_of(content).alias("charset"),
+        decode_bytes(content).alias("text"),
     )
 
 
@@ -46,7 +34,10 @@ def stream_table(
     spark: SparkSession, path: str, schema, files_per_batch: int | None = None
 ) -> DataFrame:
     """Rows of a Parquet table's files as they arrive."""
-    return _reader(spark, files_per_batch).schema(schema).parquet(path)
+    reader = spark.readStream.schema(schema)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(path)
 
 
 def ingest_new(rows: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
