@@ -36,7 +36,7 @@ _ARROW = pa.schema(
 )
 # Bytes of words and their ids that a Python worker remembers, and what a word takes beside its
 # own and its ids' bytes: two objects and a place in a table.
-REMEMBERED, OVERHEAD = 64_000_000, 180
+REMEMBERED, OVERHEAD = 160_000_000, 180
 # Marks that the tokenizer parts from the letters before them.
 MARKS = ".,;:!?%$#&*()"
 # Words that one call of the tokenizer takes; characters whose words are looked up together.
