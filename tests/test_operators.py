@@ -327,3 +327,21 @@ def test_tag_map_keeps_the_greatest_of_double_labels(spark):
 def test_category_pages_skips_empty_categories(spark):
     df = spark.createDataFrame([("A", 2), ("B", 0)], "category string, pages int")
     assert rows(extract.category_pages(df, "b")) == [("A", 1, "b/categories/A/1/en"), ("A", 2, "b/categories/A/2/en")]
+
+
+@pytest.mark.parametrize("size", [0, 1, 37, 60, 61, 119, 120, 500])
+def test_vocabulary_cut_at_ties_without_a_single_task(spark, size):
+    """Whole counts above the cut, the first terms of the count it lies in."""
+    rows = [(f"t{i:03d}", i % 7, [90, 40, 1][(i > 2) + (i > 59)]) for i in range(120)]
+    df = spark.createDataFrame(rows, "term string, df bigint, n bigint").repartition(5)
+    got = terms.vocabulary_cut(df, size).collect()
+    want = sorted(rows, key=lambda r: (-r[2], r[0]))[:size]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+@pytest.mark.parametrize("n", [0, 1, 25, 99, 100, 101])
+def test_first_n_over_several_ranges(spark, n):
+    df = spark.range(100).select((F.col("id") * 37 % 100).alias("k"), F.lit("x").alias("v")).repartition(7)
+    got = groups.first_n(df, [F.desc("k")], n, parts=6)
+    assert sorted(r["k"] for r in got.collect()) == sorted(range(100), reverse=True)[:n][::-1]
+    assert groups.first_n(df.limit(0), [F.desc("k")], 3).collect() == []

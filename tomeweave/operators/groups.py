@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tomeweave.functions.names import is_system_file
+from tomeweave.sources.workspace import materialise
 
 _SALTS = 64
 
@@ -62,6 +63,31 @@ def top_n_per_group(
     return ranked.filter(F.col(rank) <= n).withColumn(rank, F.col(rank).cast("bigint"))
 
 
+def first_n(df: DataFrame, order: Sequence[Column], n: int, parts: int | None = None) -> DataFrame:
+    """The first ``n`` rows of the whole table in ``order``, without a task that sees them all.
+
+    Rows are dealt out by ranges of ``order`` and sorted there, so a row's place is the rows of the
+    ranges before it, one number per range, and its place within its own. ``order`` should be
+    total. The result is a stored table.
+    """
+    ranges = df.repartitionByRange(*order) if parts is None else df.repartitionByRange(parts, *order)
+    # The number holds the range above bit 33 and the place in it below.
+    placed = materialise(ranges.sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "ranges")
+    held = placed.groupBy(F.shiftright("_at", 33).alias("part")).agg(F.count("*").alias("n")).collect()
+    before, starts = 0, []
+    for r in sorted(held, key=lambda r: r["part"]):
+        starts.append((r["part"], before))
+        before += r["n"]
+        if before >= n:
+            break
+    if not starts:
+        return placed.drop("_at")
+    last, skipped = starts[-1]
+    # Ranges before the last are kept whole, of the last one what is missing.
+    place = F.col("_at") - F.lit(last).cast("bigint") * F.lit(1 << 33)
+    return placed.where(place < n - skipped).drop("_at")
+
+
 def top_features(df: DataFrame, label: str, feature: str, weight: str, n: int = 25) -> DataFrame:
     """The ``n`` features of greatest weight per label."""
     return top_n_per_group(df, [label], [F.desc(weight), F.asc(feature)], n)

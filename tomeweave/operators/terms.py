@@ -16,7 +16,7 @@ from tomeweave.functions.text import (
     word_ngrams,
     word_tokens,
 )
-from tomeweave.operators.groups import top_n_per_group
+from tomeweave.operators.groups import first_n, top_n_per_group
 from tomeweave.sources.workspace import broadcast_if_few, materialise
 
 Tokenizer = Callable[[Column], Column]
@@ -56,8 +56,24 @@ def document_frequency(counts: DataFrame) -> DataFrame:
 
 
 def vocabulary_cut(frequencies: DataFrame, size: int) -> DataFrame:
-    """The ``size`` most frequent terms; equal counts in term order."""
-    return frequencies.orderBy(F.desc("n"), F.asc("term")).limit(size)
+    """The ``size`` most frequent terms; equal counts in term order.
+
+    How many terms have each count says at which count the cut lies; terms above it are kept as
+    they are, and only its own are put in order, by ranges. No task holds the vocabulary.
+    """
+    frequencies = materialise(frequencies, "frequencies")
+    # A row for each count that occurs, far fewer than terms: one task.
+    seen = frequencies.groupBy("n").agg(F.count("*").alias("terms"))
+    above = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = seen.withColumn("above", F.coalesce(F.sum("terms").over(above), F.lit(0)))
+    cut = totals.where((F.col("above") < size) & (F.col("above") + F.col("terms") >= size)).first()
+    if size <= 0 or cut is None:
+        return frequencies if size > 0 else frequencies.limit(0)
+    tied = frequencies.where(F.col("n") == cut["n"])
+    missing = size - cut["above"]
+    if missing < cut["terms"]:
+        tied = first_n(tied, [F.asc("term")], missing)
+    return frequencies.where(F.col("n") > cut["n"]).unionByName(tied)
 
 
 def top_terms(counts: DataFrame, label: str, n: int = 25) -> DataFrame:

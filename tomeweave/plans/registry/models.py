@@ -355,15 +355,19 @@ def lr_stats_union(spark: SparkSession, d: str) -> DataFrame:
 
 
 def grid_search(spark: SparkSession, d: str) -> DataFrame:
-    """Two points on every axis but the cost; every combination has an accuracy."""
+    """Two points on every axis but the cost; every combination has an accuracy, and the best one is
+    above the share of the most frequent label."""
     docs = documents(spark, d, "lang", "text").withColumnRenamed("lang", "label")
     found = linear.grid_search(
         docs, "doc_id", vocab_sizes=(500, 1000), ngrams=(2, 3), weights=((1.0, 0.75), (0.75, 1.0)),
         costs=(10.0,), penalties=("l1", "l2"), analyzer="char", folds=2,
     )[1]
+    majority = docs.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n") / F.sum("n")).scalar()
+    best = F.max("accuracy").over(Window.partitionBy())  # a row per combination
     return found.select(
         "ngram", "vocab_size", "cost", "penalty", "tfidf_weight", "stats_weight",
         F.col("accuracy").between(0, 1).alias("has_accuracy"),
+        (best > majority).alias("best_beats_majority"),
     )
 
 
@@ -651,7 +655,7 @@ select doc_id, round(0.75 * l / (select stddev_samp(l) from v), 6) as length,
 from v""",
     "grid_search": """
 select ngram::int as ngram, vocab_size::int as vocab_size, 10.0::double as cost, penalty,
-       t::double as tfidf_weight, s::double as stats_weight, true as has_accuracy
+       t::double as tfidf_weight, s::double as stats_weight, true as has_accuracy, true as best_beats_majority
 from (values (2), (3)) a(ngram), (values (500), (1000)) b(vocab_size), (values ('l1'), ('l2')) c(penalty),
      (values (1.0, 0.75), (0.75, 1.0)) e(t, s)""",
     "predict_into_catalog": f"""
