@@ -141,6 +141,28 @@ def test_build_catalog_status(spark):
     assert row["genres_scraped"] == {"fiction": 9, "war": 4} and row["genres_mapped"] == {"historical-fiction": 4}
 
 
+def _buckets(path):
+    return {p.parent.name: p.name for p in path.rglob("*.parquet")}
+
+
+def test_upsert_in_place_touches_only_buckets_with_new_keys(spark, tmp_path):
+    path = tmp_path / "table"
+    old = [(f"k{i}", i) for i in range(200)] + [(None, -1), ("k3", -5)]
+    sinks.upsert_in_place(spark.createDataFrame(old, "k string, v int"), ["k"], str(path), buckets=16)
+    before = _buckets(path)
+    want = {k: v for k, v in old} | {"k3": 3}
+    assert dict(map(tuple, spark.read.parquet(str(path)).select("k", "v").collect())) == want and len(before) == 16
+    new = spark.createDataFrame([("k7", 70), ("k7", 71), ("new", 1), (None, -2)], "k string, v int")
+    sinks.upsert_in_place(new, ["k"], str(path), [F.col("v")])
+    after = _buckets(path)
+    rows = [tuple(r) for r in spark.read.parquet(str(path)).select("k", "v").collect()]
+    assert dict(rows) == want | {"k7": 71, "new": 1, None: -2} and len(rows) == len(dict(rows)) == 202
+    changed = {b for b in before if after[b] != before[b]}
+    assert after.keys() == before.keys() and 1 <= len(changed) <= 3
+    sinks.upsert_in_place(new.limit(0), ["k"], str(path))
+    assert _buckets(path) == after
+
+
 def _ingest(spark, tmp_path):
     rows = ingest.stream_raw_files(spark, str(tmp_path / "in"), str(tmp_path / "log"))
     query = ingest.ingest_new(rows, str(tmp_path / "out"), str(tmp_path / "check"))

@@ -165,6 +165,19 @@ def upsert_catalog(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def upsert_in_place(spark: SparkSession, d: str) -> DataFrame:
+    """The same into a table laid out by the key, first the old rows, then the new ones twice."""
+    orders = table(spark, d, "orders")
+    path, isbn = fresh_path(spark, "catalog"), F.col("o_orderkey").cast("string").alias("isbn")
+    sinks.upsert_in_place(
+        orders.filter("o_orderstatus <> 'P'").select(isbn, F.col("o_orderstatus").alias("gtype")), ["isbn"], path
+    )
+    urgent = orders.filter("o_orderpriority = '1-URGENT'")
+    for _ in range(2):
+        sinks.upsert_in_place(urgent.select(isbn, F.lit("new").alias("gtype")), ["isbn"], path)
+    return spark.read.parquet(path).select("isbn", "gtype")
+
+
 def append_catalog(spark: SparkSession, d: str) -> DataFrame:
     """An empty table is set up, then the entries with a file are appended to it."""
     path = fresh_path(spark, "catalog")
@@ -233,6 +246,7 @@ QUERIES = {
     "resume_marker": resume_marker,
     "safe_isbn_cast": safe_isbn_cast,
     "upsert_catalog": upsert_catalog,
+    "upsert_in_place": upsert_in_place,
     "append_catalog": append_catalog,
     "write_texts": write_texts,
     "ingest_incremental": ingest_incremental,
@@ -348,6 +362,10 @@ select o_orderkey, isbn, try_cast(isbn as bigint) as number from k""",
     "upsert_catalog": """
 select o_orderkey::varchar as isbn,
        case when o_orderpriority = '1-URGENT' then 'new' else o_orderstatus end as gtype
+from orders where o_orderstatus <> 'P' or o_orderpriority = '1-URGENT'""",
+    "upsert_in_place": """
+select o_orderkey::varchar as isbn,
+       case when o_orderpriority = '1-URGENT' then 'new' else o_orderstatus end as gtype
 from orders where o_orderstatus <> 'P' or o_orderpriority = '1-URGENT'""",
     "append_catalog": f"""
 select c.* from ({_catalog_sql("O")}) c
