@@ -198,11 +198,11 @@ def write_texts(spark: SparkSession, d: str) -> DataFrame:
         pack_name(title, F.col("source")).alias("name"),
         F.col("lang").alias("label"),
         "doc_id",
-        F.md5("text").alias("text_md5"),
+        "text",
     )
     path = fresh_path(spark, "texts")
     sinks.write_texts(books, path, [F.col("doc_id")])
-    return spark.read.parquet(path).select("name", "label", "doc_id", "text_md5")
+    return spark.read.parquet(path).select("name", "label", "doc_id", F.md5("text").alias("text_md5"))
 
 
 def _documents_stream(spark: SparkSession, d: str) -> DataFrame:
