@@ -44,7 +44,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the mixed documents in sequences of 2,048 tokens."""
-    return packing.pack(docs)
+    # Executors hold memory of four stages by now: fewer words are remembered, more are encoded again.
+    return packing.pack(docs, remembered=24_000_000)
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tomeweave.llm.common import released, ship, table
+from tomeweave.llm.common import release, released, ship, table
 
 SCHEMA = "doc_id LONG, start LONG, length LONG, doc_tokens LONG, sequence_id LONG, offset LONG, ids BINARY"
 _ARROW = pa.schema(
@@ -141,6 +141,7 @@ def encoder(vocabulary: str, remembered: int) -> Encoder:
     """One per Python worker and vocabulary, kept between tasks; what it remembers is bounded."""
     if vocabulary not in _encoders:
         _encoders[vocabulary] = Encoder(vocabulary, remembered)
+        release()  # what reading the vocabulary took
     _encoders[vocabulary].remembered = remembered
     return _encoders[vocabulary]
 
