@@ -86,3 +86,21 @@ def test_encoder_equals_the_tokenizer(spark, small, tokenizer):
     encode = packing.Encoder(packing.default_vocabulary())
     for text, ids in zip(texts, encode(texts)):
         assert ids == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_a_small_memory_gives_the_same_ids():
+    """Words go in generations; those met again stay, and what is remembered is bounded."""
+    rng = np.random.default_rng(8)
+    letters = np.array(list("abcdefghij"))
+    texts = [" ".join("".join(rng.choice(letters, rng.integers(1, 6))) for _ in range(60)) + ", the end." for _ in range(60)]
+    small = packing.Encoder(packing.default_vocabulary(), 80_000)
+    large = packing.Encoder(packing.default_vocabulary())
+    learned = []
+    learn = small._learn
+    small._learn = lambda new: (learned.extend(new), learn(new))
+    for text in texts:
+        assert small([text]) == large([text])
+        held = sum(packing.OVERHEAD + len(w) + len(x) for w, x in small.known.items())
+        assert small.size == held and held < 80_000 // 2 + 15_000  # and the words of one call
+    assert len(small.known) + len(small.older) < len(large.known) and large.older == {}
+    assert learned.count("the") == 1 and "the" in small.known
