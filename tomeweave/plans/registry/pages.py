@@ -153,7 +153,8 @@ def known_shelf_books(spark: SparkSession, d: str) -> DataFrame:
 def listing_catalog(spark: SparkSession, d: str) -> DataFrame:
     """One shelf was filled before, and the files of another did not arrive."""
     categories, store = _shelves(spark, d)
-    files = jobs.listing_entries(categories, store, BASE, ROOT).select("local_file")
+    # Stored: both sides are read from it, and pages are costly to parse.
+    files = materialise(jobs.listing_entries(categories, store, BASE, ROOT).select("local_file"), "files")
     before = files.filter(F.contains("local_file", F.lit("/ASIA/")))
     now = files.filter(~F.contains("local_file", F.lit("/AFRICA/")))
     return jobs.build_listing_catalog(categories, store, before, now, BASE, ROOT)
