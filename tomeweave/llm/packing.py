@@ -40,7 +40,7 @@ REMEMBERED, OVERHEAD = 160_000_000, 180
 # Marks that the tokenizer parts from the letters before them.
 MARKS = ".,;:!?%$#&*()"
 # Words that one call of the tokenizer takes; characters whose words are looked up together.
-TOGETHER, CHARACTERS = 1000, 500_000
+TOGETHER, CHARACTERS = 1000, 2_000_000
 # Rows of an output batch.
 ROWS = 2000
 STOP = re.compile(r"(?<=[a-z])([.,])(?=[ \n])")
@@ -119,18 +119,22 @@ class Encoder:
         words = [STOP.sub(r" \1", t.lower()).split() if ok else [] for t, ok in zip(texts, plain)]
         if 2 * self.size > self.remembered:
             self.known, self.older, self.size = {}, self.known, 0
-        new, before = set().union(*words) - self.known.keys(), len(self.known)
-        again = [(w, self.older[w]) for w in new if w in self.older] if self.older else []
-        if again:
-            self.known.update(again)
-            new = new - self.known.keys()
+        # Each word is looked up once; the memory is large, so that is what takes the time.
+        found = [list(map(self.known.get, w)) for w in words]
+        new = {w for ws, ids in zip(words, found) for w, x in zip(ws, ids) if x is None}
         if new:
-            self._learn(new)
-        fresh = itertools.islice(reversed(self.known.items()), len(self.known) - before)
-        self.size += sum([OVERHEAD + len(w) + len(ids) for w, ids in fresh])
-        get = self.known.__getitem__
+            before = len(self.known)
+            if self.older:
+                self.known.update([(w, self.older[w]) for w in new if w in self.older])
+                new = new - self.known.keys()
+            if new:
+                self._learn(new)
+            fresh = itertools.islice(reversed(self.known.items()), len(self.known) - before)
+            self.size += sum([OVERHEAD + len(w) + len(ids) for w, ids in fresh])
+        known = self.known
         return [
-            b"".join(map(get, w)) if ok else self._encode([t])[0] for t, w, ok in zip(texts, words, plain)
+            b"".join([known[w] if x is None else x for w, x in zip(ws, ids)]) if ok else self._encode([t])[0]
+            for t, ws, ids, ok in zip(texts, words, found, plain)
         ]
 
 
