@@ -194,3 +194,14 @@ def test_sparse_rows_read_both_kinds_of_vectors(spark):
     rows = [(1, Vectors.sparse(5, [1, 3], [2.0, 0.0])), (2, Vectors.dense([0.0, 4.0])), (3, Vectors.sparse(5, [], []))]
     df = spark.createDataFrame(rows, StructType().add("k", "integer").add("v", VectorUDT()))
     assert sorted(tuple(r) for r in linear.sparse_rows(df, ["k"], "v").collect()) == [(1, 1, 2.0), (2, 1, 4.0)]
+
+
+def test_frequent_and_rare_terms_meet_in_one_optimum(spark, data, monkeypatch):
+    """With ten of the thirty terms broadcast at most."""
+    monkeypatch.setattr(logistic, "FEW", 40)
+    numbers = [r["t"] % 2 for r in logistic._numbered(data[0]).collect()]
+    assert len(numbers) == 30 and 0 < numbers.count(0) <= 10
+    model = logistic.fit(*data, "doc_id", tol=1e-3)
+    left = logistic.optimality(model.coefficients(), model.intercept_rows(), *data, "doc_id")
+    assert left.where("gradient > 1.01e-3 * at_zero").count() == 0 and model.steps < 80
+    assert {r["label"]: r["at_zero"] for r in left.collect()} == pytest.approx(dict(zip(model.labels, model.at_zero)))
