@@ -9,7 +9,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from tomeweave.operators import evaluate, linear, stages, terms
+from tomeweave.operators import evaluate, linear, stages, tables, terms
 from tomeweave.operators.stages import DocumentStats
 from tomeweave.plans import jobs
 from tomeweave.plans.registry import models
@@ -182,3 +182,38 @@ def test_ngram_and_union_classifiers_are_fitted_and_scored(spark, small, monkeyp
         assert 2000 < len(names) <= 50000 + 3
     assert sizes["lr_ngram_predict"] > 5000
     assert len(fitted) == 3
+
+
+@pytest.mark.parametrize("strategy", ["ovr", "multinomial"])
+def test_many_terms_are_fitted_in_tables(spark, docs, monkeypatch, tmp_path, strategy):
+    """Beyond DRIVER_TERMS no vocabulary is collected; weights, scores and the saved model stay the same."""
+    twice = docs.unionByName(docs.where("doc_id % 2 = 0")).unionByName(docs.limit(1).withColumn("doc_id", F.lit(None).cast("int")))
+    stages_of = lambda: linear.union_stages(stats_weight=0.5, tfidf_weight=2.0)
+    vectors = linear.train(twice, stages=stages_of(), strategy=strategy, max_iter=1000)
+    monkeypatch.setattr(tables, "DRIVER_TERMS", 5)
+    monkeypatch.setattr(tables, "TOLERANCE", 1e-6)
+    monkeypatch.setattr(stages, "MOST_TERMS", 0)
+    model = linear.train(twice, stages=stages_of(), strategy=strategy, max_iter=1000)
+    assert isinstance(model, tables.TableTextClassifier) and model.labels == ("de", "en", "fr")
+    want = {(r["label"], r["term"]): r["weight"] for r in vectors.coefficients(spark).collect()}
+    got = {(r["label"], r["term"]): r["weight"] for r in model.coefficients(spark).collect()}
+    assert {k: v for k, v in got.items() if abs(v) > 1e-9} == pytest.approx({k: v for k, v in want.items() if abs(want[k]) > 1e-9 and k in got}, abs=0.02)
+    rows = lambda m: m.score(twice).select("doc_id", "text", "prediction", "proba").orderBy("doc_id", "text").collect()
+    a, b = rows(vectors), rows(model)
+    assert [r["prediction"] for r in a] == [r["prediction"] for r in b]
+    for x, y in zip(a, b, strict=True):
+        assert [p["probability"] for p in x["proba"]] == pytest.approx([p["probability"] for p in y["proba"]], abs=0.01)
+    sinks.save_classifier(model, str(tmp_path / "m"))
+    assert rows(sinks.load_classifier(str(tmp_path / "m"))) == b
+
+
+@pytest.mark.parametrize("name", ["lr_tfidf", "lr_stats_union"])
+def test_feature_queries_in_tables_equal_those_in_vectors(spark, small, monkeypatch, name):
+    key = lambda r: tuple(str(x) for x in r[:2])
+    want = sorted(models.QUERIES[name](spark, small).collect(), key=key)
+    monkeypatch.setattr(tables, "DRIVER_TERMS", 5)
+    monkeypatch.setattr(stages, "MOST_TERMS", 0)
+    got = sorted(models.QUERIES[name](spark, small).collect(), key=key)
+    assert len(got) == len(want) > 20
+    for a, b in zip(got, want, strict=True):
+        assert a.asDict() == pytest.approx(b.asDict(), abs=2e-6)
