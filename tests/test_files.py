@@ -257,3 +257,24 @@ def test_spread_is_the_sessions_choice(spark):
     spark.conf.unset(workspace.SPREAD)
     assert workspace.spread(rows, "id") is rows
     spark.conf.set(workspace.SPREAD, chosen)
+
+
+def test_a_directory_is_listed_in_parts_of_bounded_size(tmp_path):
+    """However many files a directory holds, a task has but a part of them in memory."""
+    (tmp_path / "sub").mkdir()
+    for i in range(23):
+        (tmp_path / f"{'_' if i % 2 else '.'}f{i}").write_bytes(b"x" * i)
+    (tmp_path / "gone").symlink_to(tmp_path / "nothing")
+    parts = list(files.listing_in_tasks(at_once=10)(f"file:{tmp_path}"))
+    assert [p.num_rows for p in parts] == [10, 10, 5]
+    found = {r["path"].rpartition("/")[2]: r for p in parts for r in p.to_pylist()}
+    assert found["sub"]["directory"] and found["sub"]["length"] is None
+    assert not found["gone"]["directory"] and found["gone"]["length"] is None
+    for i in range(23):
+        name = f"{'_' if i % 2 else '.'}f{i}"
+        at = found[name]["modificationTime"].timestamp()
+        assert found[name]["length"] == i and at == pytest.approx((tmp_path / name).stat().st_mtime, abs=1e-3)
+    single = list(files.listing_in_tasks()(f"file:{tmp_path}/_f1"))
+    assert [r["length"] for p in single for r in p.to_pylist()] == [1]
+    (tmp_path / "empty").mkdir()
+    assert list(files.listing_in_tasks()(f"file:{tmp_path}/empty")) == []

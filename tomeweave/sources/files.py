@@ -36,29 +36,65 @@ def client_in_tasks():
 _LISTED = "path STRING, directory BOOLEAN, length BIGINT, modificationTime TIMESTAMP"
 
 
-def _list_level(directories: DataFrame) -> DataFrame:
-    """What the directories of a ``path`` column hold; a file stands for itself."""
+def listing_in_tasks(at_once: int = 5000):
+    """For use inside tasks: a function from a URI to batches of what it holds.
+
+    A local directory is read entry by entry, so a task holds ``at_once`` of them however many
+    there are. Other file systems list a directory in one answer, which is passed on in batches.
+    """
     open_at = client_in_tasks()
 
-    def run(batches):
+    def entries(client, place):
+        import os
+        import stat
+
+        from pyarrow import fs
+
+        if not isinstance(client, fs.LocalFileSystem):
+            for f in client.get_file_info(fs.FileSelector(place)):
+                at = f.mtime and int(f.mtime.timestamp()) * 1_000_000 + f.mtime.microsecond
+                yield f.base_name, f.type == fs.FileType.Directory, f.size, at
+            return
+        with os.scandir(place) as found:
+            for f in found:
+                try:
+                    s = f.stat()
+                except FileNotFoundError:  # a link to nothing
+                    yield f.name, False, None, None
+                    continue
+                yield f.name, f.is_dir(), s.st_size if stat.S_ISREG(s.st_mode) else None, s.st_mtime_ns // 1000
+
+    def listing(uri):
+        import itertools
+
         import pyarrow as pa
         from pyarrow import fs
 
-        types = [pa.string(), pa.bool_(), pa.int64(), pa.timestamp("us", tz="UTC")]
+        types = [pa.string(), pa.bool_(), pa.int64(), pa.int64()]
         names = ["path", "directory", "length", "modificationTime"]
+        client, place = open_at(uri)
+        own = client.get_file_info(place)
+        if own.type == fs.FileType.File:
+            at = int(own.mtime.timestamp()) * 1_000_000 + own.mtime.microsecond
+            rows = iter([(uri, False, own.size, at)])
+        else:
+            rows = ((f"{uri.rstrip('/')}/{name}", *rest) for name, *rest in entries(client, place))
+        while part := list(itertools.islice(rows, at_once)):
+            columns = [pa.array(c, t) for c, t in zip(zip(*part), types)]
+            columns[3] = columns[3].cast(pa.timestamp("us", tz="UTC"))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return listing
+
+
+def _list_level(directories: DataFrame) -> DataFrame:
+    """What the directories of a ``path`` column hold; a file stands for itself."""
+    listing = listing_in_tasks()
+
+    def run(batches):
         for batch in batches:
             for uri in batch.column(0).to_pylist():
-                client, place = open_at(uri)
-                own = client.get_file_info(place)
-                if own.type == fs.FileType.File:
-                    rows = [(uri, False, own.size, own.mtime)]
-                else:
-                    rows = [
-                        (f"{uri.rstrip('/')}/{f.base_name}", f.type == fs.FileType.Directory, f.size, f.mtime)
-                        for f in client.get_file_info(fs.FileSelector(place))
-                    ]
-                columns = list(zip(*rows)) or [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+                yield from listing(uri)
 
     return directories.select("path").mapInArrow(run, _LISTED)
 
