@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tomeweave import vocab
 from tomeweave.functions.text import hash_bucket
 from tomeweave.operators import bayes, catalog, evaluate, extract, groups, labels, profile, terms
+from tomeweave.sources.workspace import materialise
 
 
 def rows(df):
@@ -345,3 +346,21 @@ def test_first_n_over_several_ranges(spark, n):
     got = groups.first_n(df, [F.desc("k")], n, parts=6)
     assert sorted(r["k"] for r in got.collect()) == sorted(range(100), reverse=True)[:n][::-1]
     assert groups.first_n(df.limit(0), [F.desc("k")], 3).collect() == []
+
+
+def test_texts_are_dealt_out_and_single_terms_left_unstored(spark, monkeypatch):
+    """No task counts the n-grams of a large split; a vocabulary cut stores repeated terms only."""
+    docs = spark.createDataFrame([(i, f"a{i} b c d e") for i in range(40)], "doc_id int, text string").coalesce(1)
+    assert terms.dealt(docs).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(terms, "TASK_CHARS", 50)
+    parts = terms.dealt(docs)
+    assert parts.rdd.getNumPartitions() == 9 and sorted(parts.collect()) == sorted(docs.collect())
+    totals = terms.document_frequency(terms.term_counts(docs, ["doc_id"]))
+    stored = []
+    monkeypatch.setattr(terms, "materialise", lambda df, name: stored.append(materialise(df, name)) or stored[-1])
+    rows = spark.createDataFrame([("x", 3, 3), ("y", 2, 2), ("z", 1, 1), ("w", 1, 1)], "term string, df bigint, n bigint")
+    assert sorted(r["term"] for r in terms.vocabulary_cut(rows, 2).collect()) == ["x", "y"]
+    assert [t.count() for t in stored] == [2]
+    assert sorted(r["term"] for r in terms.vocabulary_cut(rows, 3).collect()) == ["w", "x", "y"]
+    assert terms.vocabulary_cut(totals, 99).count() == 40
+    assert terms.vocabulary_cut(rows, 0).count() == 0

@@ -114,13 +114,18 @@ def _ngram_totals(spark: SparkSession, d: str, tokenizer) -> DataFrame:
     return terms.document_frequency(grams)
 
 
+def _word_ngram_totals(spark: SparkSession, d: str, n: int) -> DataFrame:
+    texts = terms.dealt(documents(spark, d, "text"))
+    grams = terms.term_counts(texts, ["doc_id"], tokenizer=terms.ngram_tokenizer(n, stop_words=STOP_WORDS))
+    return terms.document_frequency(grams)
+
+
 def word_trigrams(spark: SparkSession, d: str) -> DataFrame:
-    return _ngram_totals(spark, d, terms.ngram_tokenizer(3, stop_words=STOP_WORDS))
+    return _word_ngram_totals(spark, d, 3)
 
 
 def word_quadgram_vocabulary(spark: SparkSession, d: str) -> DataFrame:
-    totals = _ngram_totals(spark, d, terms.ngram_tokenizer(4, stop_words=STOP_WORDS))
-    return terms.vocabulary_cut(totals, 50000)
+    return terms.vocabulary_cut(_word_ngram_totals(spark, d, 4), 50000)
 
 
 def char_bigrams(spark: SparkSession, d: str) -> DataFrame:
