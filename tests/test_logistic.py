@@ -205,3 +205,22 @@ def test_frequent_and_rare_terms_meet_in_one_optimum(spark, data, monkeypatch):
     left = logistic.optimality(model.coefficients(), model.intercept_rows(), *data, "doc_id")
     assert left.where("gradient > 1.01e-3 * at_zero").count() == 0 and model.steps < 80
     assert {r["label"]: r["at_zero"] for r in left.collect()} == pytest.approx(dict(zip(model.labels, model.at_zero)))
+
+
+def test_documents_are_never_broadcast(spark, data, monkeypatch):
+    """Residuals are brought to the buckets of the features; the driver would have to collect them."""
+    monkeypatch.setattr(logistic, "FEW", 8)  # some terms are rare
+    plans = {}
+
+    def recorded(df, name):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return materialise(df, name)
+
+    monkeypatch.setattr(logistic, "materialise", recorded)
+    model = logistic.fit(*data, "doc_id", tol=1e-6, max_steps=2)
+    steps = plans["weights"][1:]
+    assert model.steps == 2 and len(steps) == 3
+    for text in steps:
+        assert text.count("ShuffledHashJoin [row") == 2 and "BroadcastHashJoin" not in text
+        assert text.count("Bucketed: true") == 2
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("tomeweave_")]
