@@ -140,6 +140,52 @@ def test_vocabulary_is_whole_and_does_not_depend_on_partitions(spark, monkeypatc
         Pipeline(stages=linear.tfidf_stages()).fit(df)
 
 
+@pytest.mark.parametrize("options", [{"analyzer": "char", "ngram": 3}, {"ngram": 2, "stop_words": ("the", "le")}, {}])
+def test_tokens_are_made_once_for_a_vocabulary(docs, monkeypatch, options):
+    """No filter derived from the exploded array makes them again, and no term is sent to the JVM by itself."""
+    plans = []
+
+    def store(df, name):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return materialise(df, name)
+
+    materialise = stages.materialise
+    monkeypatch.setattr(stages, "materialise", store)
+    monkeypatch.setattr(stages.CountVectorizerModel, "from_vocabulary", None)
+    texts = docs.select("doc_id", F.concat("text", F.lit(" end")).alias("text"))
+    before = linear.tfidf_stages(vocab_size=30, **options)
+    at = next(i for i, s in enumerate(before) if isinstance(s, stages.TermVocabulary))
+    ready = PipelineModel(before[:at]).transform(texts)
+    counter = before[at].fit(ready)
+    made = max(plans[0].count("regexp_extract_all("), plans[0].count("UDF("))
+    assert made == sum(not isinstance(s, stages.TermVocabulary) for s in before[:at])
+    found = ready.select(F.explode(before[at].getInputCol()).alias("t")).groupBy("t").count().collect()
+    assert counter.vocabulary == [r["t"] for r in sorted(found, key=lambda r: (-r["count"], r["t"]))][:30]
+
+
+def test_a_vocabulary_without_terms_is_a_blank(spark):
+    df = spark.createDataFrame([(1, ""), (2, None)], "doc_id int, text string").fillna("")
+    for size in (None, 5):
+        fitted = Pipeline(stages=linear.tfidf_stages(vocab_size=size)).fit(df)
+        assert next(s.vocabulary for s in fitted.stages if hasattr(s, "vocabulary")) == [" "]
+
+
+def test_mllib_bayes_sums_in_no_more_tasks_than_cores(spark, small, monkeypatch):
+    """Each holds a row as long as the vocabulary for each label."""
+    seen = []
+
+    class Seen:
+        def fit(self, df):
+            seen.append(df.rdd.getNumPartitions())
+            return bayes().fit(df)
+
+    bayes = linear.naive_bayes
+    monkeypatch.setattr(linear, "naive_bayes", Seen)
+    monkeypatch.setattr("tomeweave.plans.registry.tables.spread", lambda df, *keys: df.repartition(23))
+    assert models.nb_mllib(spark, small).count() > 0
+    assert seen == [spark.sparkContext.defaultParallelism]
+
+
 def test_split_keeps_rows_without_a_key(spark):
     df = spark.createDataFrame([(1,), (None,), (2,)], "k int")
     train, test = terms.split_by_hash(df, "k")
