@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tomeweave.operators import evaluate, linear, logistic
+from tomeweave.operators import blocks, evaluate, linear, logistic
 from tomeweave.operators.terms import inverse_document_frequency, term_counts, tfidf
 from tomeweave.plans.registry import models
 from tomeweave.sources.workspace import discard, materialise
@@ -224,3 +224,56 @@ def test_documents_are_never_broadcast(spark, data, monkeypatch):
         assert text.count("ShuffledHashJoin [row") == 2 and "BroadcastHashJoin" not in text
         assert text.count("Bucketed: true") == 2
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("tomeweave_")]
+
+
+@pytest.fixture
+def in_blocks(monkeypatch):
+    """Small blocks for small tables."""
+    monkeypatch.setattr(blocks, "LEAST", 0)
+    monkeypatch.setattr(blocks, "BLOCK", 100)
+    monkeypatch.setattr(blocks, "RANGE", 7)
+    monkeypatch.setattr(logistic, "_Fit", None)
+
+
+@pytest.mark.parametrize("strategy", ["ovr", "multinomial"])
+def test_blocks_reach_the_optimum(spark, data, in_blocks, strategy):
+    """Also of terms that one document holds."""
+    features, docs = data
+    alone = spark.createDataFrame([(i, f"own{i}-{j}", 0.5 + j) for i in range(0, 90, 4) for j in range(2)], features.schema)
+    features = features.unionByName(alone)
+    model = logistic.fit(features, docs, "doc_id", tol=1e-6, strategy=strategy)
+    left = logistic.optimality(model.coefficients(), model.intercept_rows(), features, docs, "doc_id", strategy=strategy)
+    assert left.where("gradient > 1.01e-6 * at_zero").count() == 0 and model.steps < 30
+    assert model.weights.count() == model.weights.select("term").distinct().count() == 30 + 46
+    assert {r["label"]: r["gradient"] for r in left.collect()} == pytest.approx(dict(zip(model.labels, model.gradient)), rel=1e-3)
+    assert {r["label"]: r["at_zero"] for r in left.collect()} == pytest.approx(dict(zip(model.labels, model.at_zero)))
+
+
+def test_blocks_are_as_large_as_asked_and_go_with_the_fit(spark, data, in_blocks, monkeypatch):
+    written, counts = [], []
+
+    def noted(df, name):
+        written.append(materialise(df, name))
+        if name == "blocks":
+            counts.append(written[-1].count())
+        return written[-1]
+
+    monkeypatch.setattr(blocks, "materialise", noted)
+    model = logistic.fit(*data, "doc_id", max_steps=2)
+    assert model.steps == 2 and model.weights.count() == 30 and counts[0] > 1
+    folders = {f.rpartition("/")[0].removeprefix("file://").removeprefix("file:") for t in written for f in t.inputFiles()}
+    left = {f for f in folders if os.path.isdir(f)}
+    assert len(left) == 1 and "/model-" in left.pop()
+
+
+def test_blocks_leave_other_fits_to_tables(spark, data, monkeypatch):
+    features, docs = data
+    monkeypatch.setattr(blocks, "LEAST", 0)
+    assert blocks.suits(features, docs, "doc_id", "label").count() == 30
+    twice, null = docs.unionByName(docs.limit(1)), docs.unionByName(docs.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
+    assert blocks.suits(features, twice, "doc_id", "label") is None and blocks.suits(features, null, "doc_id", "label") is None
+    monkeypatch.setattr(blocks, "NUMBERS", 3 * (30 + 91))
+    assert blocks.suits(features, docs, "doc_id", "label") is None
+    monkeypatch.setattr(blocks, "NUMBERS", 10**6)
+    monkeypatch.setattr(blocks, "LEAST", features.count() + 1)
+    assert blocks.suits(features, docs, "doc_id", "label") is None
