@@ -263,3 +263,31 @@ def test_feature_queries_in_tables_equal_those_in_vectors(spark, small, monkeypa
     assert len(got) == len(want) > 20
     for a, b in zip(got, want, strict=True):
         assert a.asDict() == pytest.approx(b.asDict(), abs=2e-6)
+
+
+def test_grid_search_makes_a_vocabulary_once_and_agrees_with_mllib(docs, monkeypatch):
+    """A vocabulary for each fold and one for the best model, not one for each combination."""
+    made, fit = [], stages.TermVocabulary._fit
+
+    def counted(self, dataset):
+        made.append(self.getOrDefault(self.vocabSize))
+        return fit(self, dataset)
+
+    monkeypatch.setattr(stages.TermVocabulary, "_fit", counted)
+    best, results = linear.grid_search(
+        docs, "doc_id", vocab_sizes=(4, 20), costs=(1.0,), penalties=("l1", "l2"), weights=((1.0, 0.5),), folds=2
+    )
+    assert len(made) == 3 and made[:2] == [20, 20]
+    assert best.avgMetrics == [r["accuracy"] for r in results.collect()]
+    monkeypatch.setattr(stages.TermVocabulary, "_fit", fit)
+    folded = docs.withColumn("label_index", F.expr("CAST(array_position(array('de', 'en', 'fr'), label) - 1 AS DOUBLE)"))
+    folded = folded.withColumn("_fold", linear.hash_bucket(F.col("doc_id"), 2).cast("int"))
+    for r in results.collect():
+        hits = []
+        for fold in range(2):
+            lr = linear.classifier(docs.count() // 2, "multinomial", 1.0, r["penalty"])
+            steps = [*linear.union_stages(tfidf_weight=1.0, stats_weight=0.5, vocab_size=r["vocab_size"]), lr]
+            model = Pipeline(stages=steps).fit(folded.where(F.col("_fold") != fold))
+            scored = model.transform(folded.where(F.col("_fold") == fold))
+            hits.append(scored.agg(F.avg((F.col("prediction") == F.col("label_index")).cast("double"))).first()[0])
+        assert r["accuracy"] == pytest.approx(sum(hits) / 2, abs=0.04)
